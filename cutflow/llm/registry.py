@@ -1,9 +1,11 @@
 """The subpackage's queries, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import neardup
+from . import neardup, packing, quality
 
 QUERIES = {
     "op1_minhash": neardup.op1_minhash,
+    "op4_packing": packing.op4_packing,
+    "op5_quality": quality.op5_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
