@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 #: Words are maximal runs of characters other than space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,3 +52,28 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Array of words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once, though body uses it many times or inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def alnum_text(text: Column) -> Column:
+    """The words of a text (A-Z lower-cased, runs of ASCII letters and digits and of all characters beyond ASCII), each
+    after one space, and a last space: " under the mit license ". A text without words gives one space."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), NOT_ALNUM, " ")), F.lit(" "))
+
+
+def alnum_words(text: Column) -> Column:
+    """Array of the words of alnum_text."""
+    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), lambda w: w != "")
+
+
+def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A small constant table (of fixed parameters or of bounded size) as SQL VALUES; an empty list gives no rows."""
+    names = ", ".join(c.split()[0] for c in columns.split(","))
+    cast = [f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in columns.split(",")]
+    lit = lambda x: "null" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
+    body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows or [(None,) * len(cast)])
+    return spark.sql(f"select {', '.join(cast)} from values {body} as t({names})" + " where false" * (not rows))

@@ -7,7 +7,7 @@ import math
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import SPACE, table
+from .common import SPACE, let, table
 
 BUCKETS = 1 << 14
 TRUSTED = 20_000  # the target is learnt from at most so many labelled documents, those with the smallest hash of their id
@@ -15,11 +15,6 @@ THRESHOLD = -0.5  # nats an n-gram
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once, though body uses it many times or inside lambdas."""
-    return F.transform(F.array(value), body)[0]
-
-
 def word_array(text: Column) -> Column:
     """Words of a text; none if it is null or blank."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))

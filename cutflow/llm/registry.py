@@ -1,11 +1,15 @@
 """The subpackage's queries, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import neardup, packing, quality
+from . import decontaminate, licenses, neardup, packing, quality
 
 QUERIES = {
     "op1_minhash": neardup.op1_minhash,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
+    "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_licenses": licenses.op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_licenses": licenses.OP10_SQL,
+}
