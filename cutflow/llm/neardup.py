@@ -84,30 +84,61 @@ def _slot(doc_id) -> F.Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << BITS))
 
 
-def _confirmed(spark, docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those whose full sets reach the threshold."""
-    sk = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"))
-    near = pairs.join(sk("a"), "a").join(sk("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    near = staged(near.where(shared * K >= F.size(union) * SHARED).select("a", "b"), "near")
-    # A bitmap of fixed size tells which documents' sets are needed; false positives only cost time. Spark counts the
-    # 4 KB buckets from 1 and the values from 1.
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """doc_id, full: whole shingle sets of the documents in ids(doc_id), and of a few more.
+
+    A bitmap of fixed size tells which documents are meant; false positives only cost time. Spark counts the 4 KB
+    buckets from 1 and the values from 1."""
     rows = ids.select((_slot("doc_id") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     bits = np.zeros((1 << BITS) // 8, np.uint8)
     for r in rows:
         start = (r["k"] - 1) * 4096
         bits[start : start + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = spark.sparkContext.broadcast(bits)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
     full = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("at")).mapInArrow(_sets(size, sent), "doc_id long, full array<long>")
-    full = staged(full, "full")
+    return staged(full, "full")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int, full: DataFrame | None = None) -> DataFrame:
+    """Of the candidate pairs (a, b), those whose full sets reach the threshold."""
+    sk = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"))
+    near = pairs.join(sk("a"), "a").join(sk("b"), "b")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
+    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
+    near = staged(near.where(shared * K >= F.size(union) * SHARED).select("a", "b"), "near")
+    if full is None:
+        full = _full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
     side = lambda x: full.select(F.col("doc_id").alias(x), F.col("full").alias(f"f{x}"))
     both = near.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("fa", "fb"))
     return both.where(100 * common >= percent * (F.size("fa") + F.size("fb") - common)).select("a", "b").distinct()
 
 
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(doc_id, sid, c, full) -> pairs (a, b) of different c that can reach the threshold: exact prefix filtering.
+
+    All sets are put in one order, values rarest among them first. With an overlap of percent / (100 + percent) of both
+    sizes together, the smaller set has one of its first few values in common with a slightly longer prefix of the
+    larger, and at no place where too few values follow. A value that no other set has takes up a place of the prefix,
+    so a copy with many edits of its own meets few others, however large its group is."""
+    rows = sets.select("doc_id", "sid", F.explode("full").alias("value"))
+    often = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = rows.join(often, "value").groupBy("doc_id", "sid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    n, v = F.col("n"), F.col("v")
+    probe = n - F.ceil(n * (percent / 100) - 1e-9) + 1
+    index = n - F.ceil(n * (2 * percent / (100 + percent)) - 1e-9) + 1
+    # Values that only this set has come first in the order; they take up n - size(v) places.
+    kept = sets.select("doc_id", "sid", "c", F.size("full").alias("n")).join(ranked, ["doc_id", "sid"]).where(probe > n - F.size(v))
+    kept = kept.select("doc_id", "c", "n", (n - F.size(v)).alias("own"), (index - n + F.size(v)).alias("few"), F.slice(v, F.lit(1), (probe - n + F.size(v)).cast("int")).alias("v"))
+    placed = staged(kept.select("doc_id", "c", "n", "own", "few", F.posexplode("v.value").alias("i", "value")), "prefixes")
+    side = lambda d: placed.select("value", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), (F.col("own") + F.col("i")).alias(f"i{d}"), (F.col("i") < F.col("few")).alias(f"few{d}"))
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    need = F.ceil((F.col("nx") + F.col("ny")) * (percent / (100 + percent)) - 1e-9)
+    room = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= need
+    pairs = side("x").where("fewx").join(side("y"), "value").where(smaller & (F.col("cx") != F.col("cy")) & (100 * F.col("nx") >= percent * F.col("ny")) & room)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int = 3) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept.
 
@@ -119,10 +150,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int
 
     Candidates come from inverted lists of sketch values, rarest values first: of a sketch of m values only those up to
     the (m - t + 1)-th rarest can be needed to share t. Each list first links its members to a few of its own members;
-    what those links join is not compared again, and every other pair of a list is. So large groups of near copies cost
-    a few comparisons a member, and no pair is left out for a list's length. The lists are split by skew joins.
+    what those links join is not compared again. The documents of lists that are then still mixed are joined by exact prefix
+    filtering of their whole sets. So large groups of near copies cost a few comparisons a member, and no pair is left
+    out for a list's length. The lists are split by skew joins.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     meta = staged(docs.mapInArrow(_sketches(size), "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "sketches")
     some = meta.where("n > 0 and doc_id is not null")
@@ -143,17 +174,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int
     heads = lists.groupBy("value").agg(*order, F.count("*").alias("df")).where("df > 1").select("value", F.explode(F.array_distinct(F.array(*[f"r{i}" for i in range(reps)]))).alias("r"))
     first = lists.join(heads, "value").where((F.col("doc_id") != F.col("r.doc_id")) & alike(F.col("n"), F.col("r.n")))
     first = staged(first.select(F.least("doc_id", "r.doc_id").alias("a"), F.greatest("doc_id", "r.doc_id").alias("b")).distinct(), "pairs")
-    sure = staged(_confirmed(spark, docs, first, one, size, percent), "links")
+    sure = staged(_confirmed(docs, first, one, size, percent), "links")
     joined = staged(connected_components(sure.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    # Second pass: the pairs of a list that are neither joined yet nor compared above.
-    left = lists.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    # Second pass: lists with members that are neither joined nor all compared. Whole sets tell which pairs are left.
+    left = lists.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = left.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi and df > 2").select("value")
-    left = staged(left.join(mixed, "value"), "left")
-    x, y = (left.select("value", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("c").alias(f"c{d}")) for d in "ab")
-    rest = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    rest = staged(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _confirmed(spark, docs, rest, one, size, percent)
+    some = staged(left.join(mixed, "value").select("doc_id", "c").distinct(), "left")
+    full = _full_sets(docs, some.select("doc_id"), size)
+    sets = staged(some.join(full, "doc_id").withColumn("sid", F.xxhash64("full")), "sets")
+    rest = staged(_prefix_pairs(sets, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = _confirmed(docs, rest, one, size, percent, full)
     links = sure.unionByName(more)
     final = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
