@@ -104,7 +104,8 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, end, facts>>: every word with a digit or an at sign, without punctuation at its ends."""
+    """array<struct<start, end, facts>>: every word with a digit or an at sign, without punctuation at its ends, unless it
+    is but a part of a base span."""
 
     def one(x: Column) -> Column:
         head = F.char_length(x["m"]) - F.char_length(F.ltrim(x["m"], F.lit(EDGE)))
@@ -119,7 +120,7 @@ def candidates(text: Column, base: Column) -> Column:
             "credential_word": F.regexp_like(F.lower(m), F.lit(CREDENTIAL)),
             "assigned": has(r"[A-Za-z][=:][^\s=:]{6}"),
             "context": F.regexp_like(x["before"], F.lit(rf"(^|[^a-z])({CONTEXT})[^a-z]*$")),
-            "plain_number": has(r"^[0-9]{1,6}([.,:/-][0-9]{1,4})*%?$"),
+            "plain_number": has(r"^[0-9]{1,6}([.,:/-][0-9]{1,4}){0,2}%?$"),
             "number_suffix": has(r"^[0-9]+[A-Za-z]{1,3}$"),
             "long": F.char_length(m) >= 12,
             "upper_digit": has("[A-Z]") & has("[0-9]"),
@@ -132,7 +133,8 @@ def candidates(text: Column, base: Column) -> Column:
         return F.struct(x["start"].alias("start"), end.alias("end"), bits.cast("int").alias("facts"))
 
     none = F.array().cast("array<struct<start:int,end:int,facts:int>>")
-    found = F.filter(F.transform(_matches(text, CANDIDATE), one), lambda x: x["end"] > x["start"])
+    part = lambda x: F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]) & ((b["start"] < x["start"]) | (b["end"] > x["end"])))
+    found = F.filter(F.transform(_matches(text, CANDIDATE), one), lambda x: (x["end"] > x["start"]) & ~part(x))
     return F.when(F.regexp_like(text, F.lit("[0-9@]")), found).otherwise(none)
 
 
