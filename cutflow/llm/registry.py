@@ -1,11 +1,13 @@
 """The subpackage's queries, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import decontaminate, licenses, neardup, packing, quality
+from . import classifier, decontaminate, licenses, neardup, packing, pii, quality
 
 QUERIES = {
     "op1_minhash": neardup.op1_minhash,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
+    "op7_quality_classifier": classifier.op7_quality_classifier,
+    "op8_pii": pii.op8_pii,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_licenses": licenses.op10_licenses,
 }
