@@ -129,7 +129,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     index = n - F.ceil(n * (2 * percent / (100 + percent)) - 1e-9) + 1
     # Values that only this set has come first in the order; they take up n - size(v) places.
     kept = sets.select("doc_id", "sid", "c", F.size("full").alias("n")).join(ranked, ["doc_id", "sid"]).where(probe > n - F.size(v))
-    kept = kept.select("doc_id", "c", "n", (n - F.size(v)).alias("own"), (index - n + F.size(v)).alias("few"), F.slice(v, F.lit(1), (probe - n + F.size(v)).cast("int")).alias("v"))
+    kept = kept.select("doc_id", "c", "n", (n - F.size(v)).alias("own"), (index - n + F.size(v)).alias("few"), F.slice(v, F.lit(1), F.greatest(probe - n + F.size(v), F.lit(0)).cast("int")).alias("v"))
     placed = staged(kept.select("doc_id", "c", "n", "own", "few", F.posexplode("v.value").alias("i", "value")), "prefixes")
     side = lambda d: placed.select("value", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), (F.col("own") + F.col("i")).alias(f"i{d}"), (F.col("i") < F.col("few")).alias(f"few{d}"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))

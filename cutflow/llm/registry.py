@@ -1,11 +1,13 @@
 """The subpackage's queries, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import classifier, decontaminate, licenses, neardup, packing, pii, quality
+from . import classifier, decontaminate, html_text, licenses, neardup, packing, pii, quality, urls
 
 QUERIES = {
     "op1_minhash": neardup.op1_minhash,
+    "op2_urls": urls.op2_urls,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
+    "op6_html": html_text.op6_html,
     "op7_quality_classifier": classifier.op7_quality_classifier,
     "op8_pii": pii.op8_pii,
     "op9_decontamination": decontaminate.op9_decontamination,
@@ -13,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_urls": urls.OP2_SQL,
     "op10_licenses": licenses.OP10_SQL,
 }
