@@ -45,6 +45,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_checked(left: DataFrame, right: DataFrame, on, how: str, most: int = 2_000_000) -> DataFrame:
+    """A join that broadcasts right if it has at most `most` narrow rows, so that left is not shuffled; else a plain
+    one. right is counted, so it should be a written table."""
+    return left.join(F.broadcast(right) if right.count() <= most else right, on, how)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

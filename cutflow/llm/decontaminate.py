@@ -11,7 +11,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import NOT_ALNUM, ascii_lower, let, table
+from .common import NOT_ALNUM, ascii_lower, join_checked, let, staged, table
 
 #: Masks, as starts of pairs of adjacent words: 1111011, 1101111 and 11011011. Each hits any run in which every fifth
 #: word is replaced.
@@ -103,11 +103,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     Null and blank texts and texts of fewer than SHORTEST words are kept. Rows with equal doc_id and text get the same
     verdict; rows without doc_id are judged too. Items without text, or of fewer than SHORTEST words, match nothing; an
     empty benchmark keeps everything. Other columns pass through; columns of docs with the names above are replaced."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("items").alias("_i"), F.col("n_items").alias("_n"), F.col("score").alias("_s"))
-    out = docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_h"]), "left")
+    return _judged(docs.withColumn("_h", F.xxhash64("text")), contaminated(docs, benchmark, **options))
+
+
+def _judged(docs: DataFrame, found: DataFrame) -> DataFrame:
+    found = staged(found.select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"), F.col("items").alias("_i"), F.col("n_items").alias("_n"), F.col("score").alias("_s")), "contaminated")
+    out = join_checked(docs, found, docs["doc_id"].eqNullSafe(found["_d"]) & (docs["_h"] == found["_g"]), "left")
     out = out.withColumns({"items": F.coalesce("_i", F.lit("")), "n_items": F.coalesce("_n", F.lit(0).cast("long")), "score": F.coalesce("_s", F.lit(0).cast("long")), "kept": F.col("_n").isNull()})
-    return out.drop("_d", "_h", "_i", "_n", "_s")
+    return out.drop("_d", "_h", "_g", "_i", "_n", "_s")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
+    docs = table(spark, sf_dir, "documents")
+    return _judged(docs.select("doc_id", F.xxhash64("text").alias("_h")), contaminated(docs, table(spark, sf_dir, "benchmark")))

@@ -1,10 +1,11 @@
 """The subpackage's queries, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import classifier, decontaminate, html_text, licenses, neardup, packing, pii, quality, urls
+from . import classifier, decontaminate, hpylm, html_text, licenses, neardup, packing, pii, quality, urls
 
 QUERIES = {
     "op1_minhash": neardup.op1_minhash,
     "op2_urls": urls.op2_urls,
+    "op3_hpylm": hpylm.op3_hpylm,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_html": html_text.op6_html,
