@@ -73,7 +73,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block: i
     out = None
     for k in range(parts):
         side = known if parts == 1 else known.where(F.pmod(F.xxhash64("item", "place", "seed"), F.lit(parts)) == k)
-        hits = hashed.select("doc_id", "h", "w", "n", F.posexplode("s").alias("at", "seed")).join(F.broadcast(side), "seed")
+        hits = hashed.select("doc_id", "h", "w", "n", F.posexplode_outer("s").alias("at", "seed")).join(F.broadcast(side), "seed")
         # The masks' seeds stand one after the other: n - 1 - span of them each.
         sizes = [F.greatest(F.col("n") - 1 - m[2], F.lit(0)) for m in MASKS]
         first, second = sizes[0], sizes[0] + sizes[1]

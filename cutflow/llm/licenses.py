@@ -46,10 +46,10 @@ def blocks(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
     """doc_id, h (hash of the text), line, at (its place), tokens: the template tokens of a block that has `least` or more."""
     line = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     known = F.array(*map(F.lit, vocabulary))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(line).alias("line", "x"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode_outer(line).alias("line", "x"))
     words = keyed.select("doc_id", "h", "line", F.split(F.trim(alnum_text(F.col("x"))), " ").alias("w")).where(F.size(F.array_intersect("w", known)) >= least)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (BLOCK - STEP), F.lit(1)), F.lit(STEP))
-    cut = words.select("doc_id", "h", "line", "w", F.explode(starts).alias("at"))
+    cut = words.select("doc_id", "h", "line", "w", F.explode_outer(starts).alias("at"))
     return cut.select("doc_id", "h", "line", "at", F.array_intersect(F.slice("w", F.col("at"), F.lit(BLOCK)), known).alias("tokens")).where(F.size("tokens") >= least)
 
 
@@ -72,7 +72,7 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THR
     ranks = F.map_from_arrays(F.array(*map(F.lit, rank)), F.array(*[F.lit(i) for i in rank.values()]))
     key = ["doc_id", "h", "line", "at"]
     held = found.select(*key, F.array_sort(F.transform("tokens", lambda w: F.element_at(ranks, w))).alias("b"))
-    pairs = held.select(*key, "b", F.posexplode("b").alias("j", "r")).join(index, "r")
+    pairs = held.select(*key, "b", F.posexplode_outer("b").alias("j", "r")).join(index, "r")
     pairs = pairs.where((F.size("b") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("b") - F.col("j") - 1) >= F.col("need")))
     pairs = pairs.withColumn("m", F.array_intersect("b", "t")).where(F.size("m") >= F.col("need"))
     # A template gives way in a block to one that explains the same tokens better: cc-by to cc-by-nc, lgpl-3 to gpl-3.

@@ -197,7 +197,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     columns pass through; a column named spans is replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("_b", base_spans(text))
-    patterns = found.select(F.explode(candidates(text, F.col("_b")))).select("col.facts").groupBy("facts").agg(F.count("*").alias("n")).collect()
+    patterns = found.select(F.explode_outer(candidates(text, F.col("_b")))).select("col.facts").where("facts is not null").groupBy("facts").agg(F.count("*").alias("n")).collect()
     bias, weights = train(np.array([r["facts"] for r in patterns], int), np.array([r["n"] for r in patterns], float))
     on = lambda x, f: F.shiftright(x["facts"], FACTS.index(f)).bitwiseAND(F.lit(1))
     margin = lambda x: sum((on(x, f) * F.lit(w) for f, w in weights.items()), F.lit(bias))

@@ -65,8 +65,8 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> li
 
     Every n-gram of every document is counted; the counts are pre-aggregated to at most BUCKETS rows a task."""
     mark = F.broadcast(trusted_ids(labels, most)).select(F.col("doc_id"), F.lit(1).alias("good"))
-    grams = docs.select("doc_id", "text").join(mark, "doc_id", "left").select("good", F.explode(ngrams(word_array(F.col("text")))).alias("b"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
+    grams = docs.select("doc_id", "text").join(mark, "doc_id", "left").select("good", F.explode_outer(ngrams(word_array(F.col("text")))).alias("b"))
+    counts = grams.where("b is not null").groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for r in counts:
         raw[r["b"]] += r["raw"]
