@@ -255,7 +255,7 @@ QUERIES = {
     "nearest_frame_join": (q_nearest_frame_join, f"with {AROUND} select track, id, case when bt is null then ft when ft is null or t - bt <= ft - t then bt else ft end as near_t, case when bt is null then fv when ft is null or t - bt <= ft - t then bv else fv end as near_v from ar"),
     "lerp_track": (q_lerp_track, f"with {AROUND} select track, id, case when bt is null then fv when ft is null or bt = ft then bv else bv + (fv - bv) * (t - bt) / (ft - bt) end as value from ar"),
     "series_smoothing": (q_series_smoothing, None),
-    "best_window": (q_best_window, f"with {SAMPLES}, h as (select track, floor(t / 86400)::bigint as i, sum(v) as p from samples group by all), gr as (select track, i, coalesce(p, 0.0) as p from (select distinct track from h), range(30) r(i) left join h using (track, i)), s as (select track, i, sum(p) over (partition by track order by i rows between 4 preceding and current row) as total, sum(p * i) over (partition by track) / sum(p) over (partition by track) as c from gr), n as (select *, max(total) over (partition by track) as best from s where i >= 4) select track, arg_min(i - 4, {{'a': abs(i - 4 + 2.0 - c), 'b': i}}) as lo, arg_min(total, {{'a': abs(i - 4 + 2.0 - c), 'b': i}}) as total from n where total >= best - 0.02 * abs(best) group by track"),
+    "best_window": (q_best_window, f"with {SAMPLES}, h as (select track, floor(t / 86400)::bigint as i, sum(v) as p from samples group by all), gr as (select track, i, coalesce(p, 0.0) as p from (select distinct track from h) cross join range(30) r(i) left join h using (track, i)), s as (select track, i, sum(p) over (partition by track order by i rows between 4 preceding and current row) as total, sum(p * i) over (partition by track) / sum(p) over (partition by track) as c from gr), n as (select *, max(total) over (partition by track) as best from s where i >= 4) select track, arg_min(i - 4, {{'a': abs(i - 4 + 2.0 - c), 'b': i}}) as lo, arg_min(total, {{'a': abs(i - 4 + 2.0 - c), 'b': i}}) as total from n where total >= best - 0.02 * abs(best) group by track"),
     "downsample": (q_downsample, f"with {SAMPLES} select track, id, t from samples qualify (row_number() over (partition by track order by t, id) - 1) % 10 = 0"),
     "frame_difference": (q_frame_difference, f"with {SAMPLES} select track, id, abs(v - lag(v) over (partition by track order by t, id)) as diff from samples"),
     "motion_stats": (q_motion_stats, f"with {SAMPLES} select track, avg(v) as mean, stddev_pop(v) as std, quantile_cont(v, 0.8) as p80, median(v) as med from samples group by track"),
