@@ -93,17 +93,18 @@ def q_target_duration(spark, d):
     return all_.withColumn("closest", F.row_number().over(Window.orderBy(F.abs(F.col("total") - 30), "style")) == 1)
 
 
-HOT = F.col("v") > 60
+def hot():
+    return F.col("v") > 60
 
 
 def q_drops_islands(spark, d):
-    return I.islands(samples(spark, d), "track", "t", HOT, "id", 1.0)
+    return I.islands(samples(spark, d), "track", "t", hot(), "id", 1.0)
 
 
 def q_vad_islands(spark, d):
     s = samples(spark, d)
     end = s.agg(F.max("t")).first()[0]
-    return I.islands(s, "track", "t", HOT, "id", 0.2, F.lit(end))
+    return I.islands(s, "track", "t", hot(), "id", 0.2, F.lit(end))
 
 
 def _islands(least: float, keep_open: str) -> str:
