@@ -18,6 +18,7 @@ from .components import connected_components
 K = 32  # retained values per document
 SHARED = 16  # of K: a pair at Jaccard 0.8 shares fewer with probability about 2e-5
 SHORT = 20  # sets below this size are retained whole, and the needed overlap is exact
+LIST = 32  # lists up to this length give all their pairs; the members of longer ones are joined by their whole sets
 BITS = 23  # log2 of the bits of the candidate filter that is broadcast: 1 MB, whatever the input
 
 _cache: dict[bytes, int] = {}
@@ -99,15 +100,14 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return staged(full, "full")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int, full: DataFrame | None = None) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b), those whose full sets reach the threshold."""
     sk = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"))
     near = pairs.join(sk("a"), "a").join(sk("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     near = staged(near.where(shared * K >= F.size(union) * SHARED).select("a", "b"), "near")
-    if full is None:
-        full = _full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
+    full = _full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
     side = lambda x: full.select(F.col("doc_id").alias(x), F.col("full").alias(f"f{x}"))
     both = near.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("fa", "fb"))
@@ -121,14 +121,14 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     sizes together, the smaller set has one of its first few values in common with a slightly longer prefix of the
     larger, and at no place where too few values follow. A value that no other set has takes up a place of the prefix,
     so a copy with many edits of its own meets few others, however large its group is."""
-    rows = sets.select("doc_id", "sid", F.explode("full").alias("value"))
+    rows = sets.select("sid", F.explode("full").alias("value"))
     often = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = rows.join(often, "value").groupBy("doc_id", "sid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    ranked = rows.join(often, "value").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     n, v = F.col("n"), F.col("v")
     probe = n - F.ceil(n * (percent / 100) - 1e-9) + 1
     index = n - F.ceil(n * (2 * percent / (100 + percent)) - 1e-9) + 1
     # Values that only this set has come first in the order; they take up n - size(v) places.
-    kept = sets.select("doc_id", "sid", "c", F.size("full").alias("n")).join(ranked, ["doc_id", "sid"]).where(probe > n - F.size(v))
+    kept = sets.select("doc_id", "sid", "c", F.size("full").alias("n")).join(ranked, "sid").where(probe > n - F.size(v))
     kept = kept.select("doc_id", "c", "n", (n - F.size(v)).alias("own"), (index - n + F.size(v)).alias("few"), F.slice(v, F.lit(1), F.greatest(probe - n + F.size(v), F.lit(0)).cast("int")).alias("v"))
     placed = staged(kept.select("doc_id", "c", "n", "own", "few", F.posexplode("v.value").alias("i", "value")), "prefixes")
     side = lambda d: placed.select("value", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), (F.col("own") + F.col("i")).alias(f"i{d}"), (F.col("i") < F.col("few")).alias(f"few{d}"))
@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int
 
     Candidates come from inverted lists of sketch values, rarest values first: of a sketch of m values only those up to
     the (m - t + 1)-th rarest can be needed to share t. Each list first links its members to a few of its own members;
-    what those links join is not compared again. The documents of lists that are then still mixed are joined by exact prefix
-    filtering of their whole sets. So large groups of near copies cost a few comparisons a member, and no pair is left
+    what those links join is not compared again. Lists that are then still mixed give all pairs if they are short; the
+    documents of the long ones are joined by exact prefix filtering of their whole sets. So large groups of near copies cost a few comparisons a member, and no pair is left
     out for a list's length. The lists are split by skew joins.
     """
     docs = docs.select("doc_id", "text")
@@ -177,14 +177,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int
     sure = staged(_confirmed(docs, first, one, size, percent), "links")
     joined = staged(connected_components(sure.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    # Second pass: lists with members that are neither joined nor all compared. Whole sets tell which pairs are left.
-    left = lists.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = left.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi and df > 2").select("value")
-    some = staged(left.join(mixed, "value").select("doc_id", "c").distinct(), "left")
-    full = _full_sets(docs, some.select("doc_id"), size)
-    sets = staged(some.join(full, "doc_id").withColumn("sid", F.xxhash64("full")), "sets")
-    rest = staged(_prefix_pairs(sets, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _confirmed(docs, rest, one, size, percent, full)
+    # Second pass: lists with members that are neither joined nor all compared. Short ones give their pairs; for long
+    # ones whole sets tell which pairs are left.
+    left = lists.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    mixed = left.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi and df > 2").select("value", "df")
+    left = staged(left.join(mixed, "value"), "left")
+    x, y = (left.where(F.col("df") <= LIST).select("value", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("c").alias(f"c{d}")) for d in "ab")
+    few = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    some = left.where(F.col("df") > LIST).select("doc_id", "c").distinct()
+    sets = staged(some.join(_full_sets(docs, some.select("doc_id"), size), "doc_id").withColumn("sid", F.xxhash64("doc_id", "full")), "sets")
+    rest = few.unionByName(_prefix_pairs(sets, percent)).distinct().join(first, ["a", "b"], "left_anti")
+    more = _confirmed(docs, staged(rest, "pairs"), one, size, percent)
     links = sure.unionByName(more)
     final = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
