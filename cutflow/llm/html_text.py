@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import join_checked, staged, table
 from .urls import host_path
 
 MIN_PAGES = 4  # a template subtree is on so many pages of its host at least,
@@ -207,13 +207,13 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
 
     Null, empty and broken html give what text can be found, else an empty one. Pages without a url share an empty
     host. Repeated rows count as pages of their own and come out repeated; other columns are ignored. Each page's few
-    template hashes are joined to it; pages of one large host are told apart by their own keys there."""
+    template hashes are joined to it by its own key, so pages of one large host don't meet."""
     pages = pages.select("page_id", "url", "html")
     keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "html")
-    found = keyed.select("key", host_path(F.col("url"))["host"].alias("host"), "html").mapInArrow(_candidates, "key long, host string, subtrees array<long>")
-    templates = template_subtrees(found, min_pages, min_share)
-    each = found.dropDuplicates(["key"]).select("key", "host", F.explode("subtrees").alias("subtree"))
-    gone = each.join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("templates"))
+    found = staged(keyed.select("key", host_path(F.col("url"))["host"].alias("host"), "html").mapInArrow(_candidates, "key long, host string, subtrees array<long>"), "subtrees")
+    templates = staged(template_subtrees(found, min_pages, min_share), "templates")
+    each = found.select("key", "host", F.explode("subtrees").alias("subtree"))
+    gone = join_checked(each, templates, ["host", "subtree"], "inner").groupBy("key").agg(F.collect_set("subtree").alias("templates"))
     ids = dict(pages.dtypes)
     packed = keyed.mapInArrow(_packed, f"key long, page_id {ids['page_id']}, url string, packed binary")
     out = packed.join(gone, "key", "left").select("page_id", "url", "packed", "templates").mapInArrow(_extracted, f"page_id {ids['page_id']}, url string, text string")
