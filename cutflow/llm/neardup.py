@@ -31,7 +31,7 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # splits at space, \t, \n, \v, \f and \r only
     if not found:
         return np.empty(0, np.int64)
-    if len(_cache) > 1_000_000:  # bounds a worker's memory
+    if len(_cache) > 300_000:  # bounds a worker's memory
         _cache.clear()
     get = _cache.get
     hashes = [get(w) for w in found]
