@@ -9,7 +9,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import ascii_lower, let, table
+from .common import ascii_lower, let, staged, table
 from .components import connected_components
 
 #: Verdict, host and path of each rule (fixed values).
@@ -76,7 +76,7 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     links = page_links(pages.select("url", "html"))
     if redirects is not None:
         links = links.unionByName(redirects.select("from_url", "to_url").where("from_url is not null and to_url is not null"))
-    passed = component_verdicts(links, rules)
+    passed = component_verdicts(staged(links, "links"), rules)
     own = pages.select("page_id", "url", host_path(F.col("url")).alias("hp")).select("page_id", "url", "hp.host", "hp.path")
     own = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("node", canonical(F.col("url")))
     out = own.join(passed, "node", "left")
