@@ -1,7 +1,7 @@
 """Queries over the test tables, by name, each with its DuckDB equivalent where SQL can express it."""
 
-from . import media, plan, sources, streams, text, work
+from . import details, media, plan, sources, streams, text, work
 
-MODULES = [media, text, work, plan, sources, streams]
+MODULES = [media, text, work, plan, sources, details, streams]
 QUERIES = {name: query for m in MODULES for name, (query, _) in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
