@@ -67,7 +67,7 @@ def _sketches(size: int):
 
 
 def _sets(size: int, bits):
-    schema = pa.schema([("doc_id", pa.int64()), ("full", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("full", pa.list_(pa.int64())), *[(f"bits{i}", pa.int64()) for i in range(4)]])
 
     def run(batches):
         table = bits.value
@@ -76,7 +76,8 @@ def _sets(size: int, bits):
             keep = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             b = b.filter(pa.array(keep))
             full = [shingle_hashes(t, size) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(full, pa.list_(pa.int64()))], schema=schema)
+            odd = np.array([np.packbits(np.bincount(h & 255, minlength=256) & 1).view(np.int64) for h in full], np.int64).reshape(-1, 4)
+            yield pa.record_batch([b.column(0), pa.array(full, pa.list_(pa.int64())), *map(pa.array, odd.T)], schema=schema)
 
     return run
 
@@ -86,7 +87,8 @@ def _slot(doc_id) -> F.Column:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id, full: whole shingle sets of the documents in ids(doc_id), and of a few more.
+    """doc_id, full, bits0 to bits3: whole shingle sets of the documents in ids(doc_id), and of a few more, and of each
+    the parities of its values' counts in 256 hash slots.
 
     A bitmap of fixed size tells which documents are meant; false positives only cost time. Spark counts the 4 KB
     buckets from 1 and the values from 1."""
@@ -96,7 +98,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         start = (r["k"] - 1) * 4096
         bits[start : start + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
-    full = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("at")).mapInArrow(_sets(size, sent), "doc_id long, full array<long>")
+    full = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("at")).mapInArrow(_sets(size, sent), "doc_id long, full array<long>, bits0 long, bits1 long, bits2 long, bits3 long")
     return staged(full, "full")
 
 
@@ -120,7 +122,9 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     All sets are put in one order, values rarest among them first. With an overlap of percent / (100 + percent) of both
     sizes together, the smaller set has one of its first few values in common with a slightly longer prefix of the
     larger, and at no place where too few values follow. A value that no other set has takes up a place of the prefix,
-    so a copy with many edits of its own meets few others, however large its group is."""
+    so a copy with many edits of its own meets few others, however large its group is. Slots whose parities differ
+    count values that only one of two sets has: a lower bound of their difference, and so an upper one of the overlap."""
+    bits = [f"bits{i}" for i in range(4)]
     rows = sets.select("sid", F.explode("full").alias("value"))
     often = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = rows.join(often, "value").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
@@ -128,13 +132,15 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     probe = n - F.ceil(n * (percent / 100) - 1e-9) + 1
     index = n - F.ceil(n * (2 * percent / (100 + percent)) - 1e-9) + 1
     # Values that only this set has come first in the order; they take up n - size(v) places.
-    kept = sets.select("doc_id", "sid", "c", F.size("full").alias("n")).join(ranked, "sid").where(probe > n - F.size(v))
-    kept = kept.select("doc_id", "c", "n", (n - F.size(v)).alias("own"), (index - n + F.size(v)).alias("few"), F.slice(v, F.lit(1), F.greatest(probe - n + F.size(v), F.lit(0)).cast("int")).alias("v"))
-    placed = staged(kept.select("doc_id", "c", "n", "own", "few", F.posexplode("v.value").alias("i", "value")), "prefixes")
-    side = lambda d: placed.select("value", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), (F.col("own") + F.col("i")).alias(f"i{d}"), (F.col("i") < F.col("few")).alias(f"few{d}"))
+    kept = sets.select("doc_id", "sid", "c", F.size("full").alias("n"), *bits).join(ranked, "sid").where(probe > n - F.size(v))
+    kept = kept.select("doc_id", "c", "n", *bits, (n - F.size(v)).alias("own"), (index - n + F.size(v)).alias("few"), F.slice(v, F.lit(1), F.greatest(probe - n + F.size(v), F.lit(0)).cast("int")).alias("v"))
+    placed = staged(kept.select("doc_id", "c", "n", *bits, "own", "few", F.posexplode("v.value").alias("i", "value")), "prefixes")
+    side = lambda d: placed.select("value", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), (F.col("own") + F.col("i")).alias(f"i{d}"), (F.col("i") < F.col("few")).alias(f"few{d}"), *[F.col(b).alias(f"{b}{d}") for b in bits])
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     need = F.ceil((F.col("nx") + F.col("ny")) * (percent / (100 + percent)) - 1e-9)
     room = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= need
+    differ = sum((F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in bits), F.lit(0))
+    room = room & (F.col("nx") + F.col("ny") - differ >= 2 * need)
     pairs = side("x").where("fewx").join(side("y"), "value").where(smaller & (F.col("cx") != F.col("cy")) & (100 * F.col("nx") >= percent * F.col("ny")) & room)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
