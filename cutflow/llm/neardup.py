@@ -19,6 +19,7 @@ K = 32  # retained values per document
 SHARED = 16  # of K: a pair at Jaccard 0.8 shares fewer with probability about 2e-5
 SHORT = 20  # sets below this size are retained whole, and the needed overlap is exact
 LIST = 32  # lists up to this length give all their pairs; the members of longer ones are joined by their whole sets
+WORDS = 8  # of parity bits: a power of two
 BITS = 23  # log2 of the bits of the candidate filter that is broadcast: 1 MB, whatever the input
 
 _cache: dict[bytes, int] = {}
@@ -67,7 +68,7 @@ def _sketches(size: int):
 
 
 def _sets(size: int, bits):
-    schema = pa.schema([("doc_id", pa.int64()), ("full", pa.list_(pa.int64())), *[(f"bits{i}", pa.int64()) for i in range(4)]])
+    schema = pa.schema([("doc_id", pa.int64()), ("full", pa.list_(pa.int64())), *[(f"bits{i}", pa.int64()) for i in range(WORDS)]])
 
     def run(batches):
         table = bits.value
@@ -76,7 +77,7 @@ def _sets(size: int, bits):
             keep = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             b = b.filter(pa.array(keep))
             full = [shingle_hashes(t, size) for t in b.column(1).to_pylist()]
-            odd = np.array([np.packbits(np.bincount(h & 255, minlength=256) & 1).view(np.int64) for h in full], np.int64).reshape(-1, 4)
+            odd = np.array([np.packbits(np.bincount(h & (64 * WORDS - 1), minlength=64 * WORDS) & 1).view(np.int64) for h in full], np.int64).reshape(-1, WORDS)
             yield pa.record_batch([b.column(0), pa.array(full, pa.list_(pa.int64())), *map(pa.array, odd.T)], schema=schema)
 
     return run
@@ -87,8 +88,8 @@ def _slot(doc_id) -> F.Column:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id, full, bits0 to bits3: whole shingle sets of the documents in ids(doc_id), and of a few more, and of each
-    the parities of its values' counts in 256 hash slots.
+    """doc_id, full, bits0 and so on: whole shingle sets of the documents in ids(doc_id), and of a few more, and of each
+    the parities of its values' counts in 64 * WORDS hash slots.
 
     A bitmap of fixed size tells which documents are meant; false positives only cost time. Spark counts the 4 KB
     buckets from 1 and the values from 1."""
@@ -98,7 +99,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         start = (r["k"] - 1) * 4096
         bits[start : start + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
-    full = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("at")).mapInArrow(_sets(size, sent), "doc_id long, full array<long>, bits0 long, bits1 long, bits2 long, bits3 long")
+    full = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("at")).mapInArrow(_sets(size, sent), "doc_id long, full array<long>, " + ", ".join(f"bits{i} long" for i in range(WORDS)))
     return staged(full, "full")
 
 
@@ -124,7 +125,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     larger, and at no place where too few values follow. A value that no other set has takes up a place of the prefix,
     so a copy with many edits of its own meets few others, however large its group is. Slots whose parities differ
     count values that only one of two sets has: a lower bound of their difference, and so an upper one of the overlap."""
-    bits = [f"bits{i}" for i in range(4)]
+    bits = [f"bits{i}" for i in range(WORDS)]
     rows = sets.select("sid", F.explode("full").alias("value"))
     often = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = rows.join(often, "value").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
