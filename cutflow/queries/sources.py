@@ -83,7 +83,7 @@ def q_histogram(spark, d):
 
 
 def q_similarity_dedup(spark, d):
-    v = table(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 17).cast("double").alias("score"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 17).cast("double").alias("score"), F.col("embedding").cast("array<double>").alias("embedding"))
     return S.similarity_dedup(v, 0.25)
 
 

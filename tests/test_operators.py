@@ -155,3 +155,40 @@ def test_caption_readers(spark, tmp_path):
     assert read("a.json") == [(0.2, 1.2, "hello")]
     with pytest.raises(ValueError):
         C.load_captions(spark, "x.txt")
+
+
+def test_similarity_dedup_judges_all_vectors(spark, data, monkeypatch):
+    from cutflow.queries import QUERIES
+
+    monkeypatch.setattr(S, "BATCH", 90)
+    got = {r["id"]: r["dropped"] for r in QUERIES["similarity_dedup"](spark, data).collect()}
+    vectors = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    assert got == plain_dedup([(i, float(i % 17), v) for i, v in vectors.items()], 0.25)
+
+
+def test_similarity_dedup_groups_ties_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "BATCH", 16)
+    turn = lambda i: [math.cos(i * 0.37), math.sin(i * 0.37)]
+    rows = [(i, float(i * 7 % 5), turn(i)) for i in range(60)] + [(100 + i, 2.0, [1.0, 0.0]) for i in range(40)]
+    rows += [(200, 9.0, None), (201, 9.0, [None, 1.0]), (202, 9.0, [1.0]), (203, None, [-0.5, 0.5]), (204, 1.0, [0.5, 0.0]), (205, 0.5, [0.5, 0.0])]
+    frame = spark.createDataFrame(rows, "id long, score double, embedding array<double>")
+    for threshold in (0.05, 0.5, 1.0):
+        assert {r["id"]: r["dropped"] for r in S.similarity_dedup(frame, threshold).collect()} == plain_dedup(rows, threshold)
+    assert S.similarity_dedup(frame.limit(0), 0.5).count() == 0
+
+
+def plain_dedup(rows, threshold):
+    def near(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return False
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            total += x * y
+        return 1 - total < threshold
+
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0.0), r[0])):
+        if not any(near(r[2], k[2]) for k in kept):
+            kept.append(r)
+    ids = {k[0] for k in kept}
+    return {r[0]: r[0] not in ids for r in rows}
