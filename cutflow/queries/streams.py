@@ -32,11 +32,11 @@ def q_task_state_stream(spark, d):
 
 
 def q_window_counts_stream(spark, d):
-    return S.drain(S.windows(_events(spark, d), "ts", "event_type", "value", "6 hours"), _folder(spark)).where("a < '2024-01-25'")
+    return S.drain(S.windows(_events(spark, d), "ts", "event_type", "value", "6 hours", late=None), _folder(spark), "complete")
 
 
 def q_sessions_stream(spark, d):
-    return S.drain(S.sessions(_events(spark, d), "user_id", "ts", "4 hours"), _folder(spark)).select("user_id", "n", F.to_date("a").alias("day")).where("day < '2024-01-25'")
+    return S.drain(S.sessions(_events(spark, d), "user_id", "ts", "4 hours", late=None), _folder(spark), "complete").select("user_id", "n", F.to_date("a").alias("day"))
 
 
 QUERIES = {

@@ -47,23 +47,34 @@ def task_states(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Streaming activity sessions of each key: closed by a gap, events later than `late` are dropped."""
-    timed = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
+def _timed(events: DataFrame, ts: str, late: str | None) -> DataFrame:
+    timed = events.withColumn("_t", F.col(ts).cast("timestamp"))
+    return timed.withWatermark("_t", late) if late else timed
+
+
+def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
+    """Streaming activity sessions of each key: closed by a gap, events later than `late` are dropped.
+
+    Without `late` no event is dropped and no session closed: for complete mode, whose state holds all sessions."""
+    timed = _timed(events, ts, late)
     return timed.groupBy(key, F.session_window("_t", gap)).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("a"), F.col("session_window.end").alias("b"), "n")
 
 
-def windows(events: DataFrame, ts: str, kind: str, value: str, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Streaming counts and sums of each kind in tumbling windows."""
-    timed = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
+def windows(events: DataFrame, ts: str, kind: str, value: str, size: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    """Streaming counts and sums of each kind in tumbling windows; `late` as in sessions."""
+    timed = _timed(events, ts, late)
     return timed.groupBy(F.window("_t", size), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("a"), kind, "n", "total")
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns all it wrote; in update mode, with the batch of each row."""
+    """Runs a stream over what is there and returns all it wrote; in update mode, with the batch of each row.
+
+    Append mode leaves out what the watermark has not closed by the end; complete mode returns that too."""
     spark = stream.sparkSession
     if mode == "update":
         write = stream.writeStream.outputMode("update").foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{folder}/out"))
+    elif mode == "complete":
+        write = stream.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{folder}/out"))
     else:
         write = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
     query = write.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
