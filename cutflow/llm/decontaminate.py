@@ -4,6 +4,10 @@ A seed is a fixed mask over consecutive words that ignores some positions. Docum
 the hashes of their masked words, and around every hit the two texts are compared word by word along its diagonal. An
 overlap scores 1 for an equal word and -2 for a different one; its best run must reach `least`, so about one word in
 five may be replaced, and a run of fewer equal words, as prose shares by chance, does not count.
+
+A short item whose words are replaced to that share does not reach `least`. It counts too if the whole of it stands in
+the document with no more than one word in five replaced, wherever those are: it is cut into one part more than words
+may be replaced, one of the parts must be intact, and its first three words are a seed.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from .common import NOT_ALNUM, ascii_lower, join_checked, let, staged, table
 MASKS = ((0, 2, 5), (0, 3, 5), (0, 3, 6))
 LEAST = 10  # score of an overlap, or the item's length if that is smaller
 SHORTEST = 7  # items of fewer words have no seed
+SHARE = 5  # one word in so many may be replaced
+LONG = 25  # items of fewer words also have seeds of three words
 SEEDS = 50_000  # benchmark seeds broadcast at a time; a larger benchmark is joined in more blocks
 
 
@@ -37,15 +43,33 @@ def seeds(w: Column) -> Column:
         first = F.zip_with(F.slice(p, 1, n), F.slice(p, mask[1] + 1, n), lambda a, b: F.xxhash64(a, b))
         return F.zip_with(first, F.slice(p, mask[2] + 1, n), lambda a, b: F.xxhash64(a, b, F.lit(number)))
 
+    def triples(p: Column) -> Column:
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        return F.zip_with(F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: F.xxhash64(a, b, F.lit(len(MASKS))))
+
     empty = F.array().cast("array<long>")
-    each = lambda p: F.array(*[F.when(F.size(p) > m[2], masked(p, m, k)).otherwise(empty) for k, m in enumerate(MASKS)])
+    each = lambda p: F.array(*[F.when(F.size(p) > m[2], masked(p, m, k)).otherwise(empty) for k, m in enumerate(MASKS)], triples(p))
     return F.when(F.size(w) >= SHORTEST, let(pairs(F.transform(w, lambda x: F.xxhash64(x))), each)).otherwise(F.array().cast("array<array<long>>"))
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
     """item (its words), seed, place. Items of equal words are one; a seed stands once for each place."""
     items = benchmark.select(F.filter(words(F.col("text")), lambda x: x != "").alias("item")).where(F.size("item") >= SHORTEST).distinct()
-    return items.select("item", F.explode(seeds(F.col("item"))).alias("s")).select("item", F.posexplode("s").alias("place", "seed"))
+    n, parts = F.size("item"), replaced(F.size("item")) + 1
+    starts = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.floor(k * n / parts).cast("int"))
+    each = items.select("item", F.posexplode(seeds(F.col("item"))).alias("mask", "s")).select("item", "mask", F.posexplode("s").alias("place", "seed"))
+    return each.where((F.col("mask") < len(MASKS)) | ((n < LONG) & F.array_contains(starts, F.col("place")))).select("item", "place", "seed")
+
+
+def replaced(n: Column) -> Column:
+    """How many words of an item of n words may be replaced, wherever they stand."""
+    return F.floor(n / SHARE).cast("int")
+
+
+def whole(found: Column, item: Column) -> Column:
+    """Whether two arrays differ in no more words than may be replaced."""
+    differ = F.filter(F.zip_with(found, item, lambda a, b: F.coalesce(a != b, F.lit(True))), lambda x: x)
+    return F.size(differ) <= replaced(F.size(item))
 
 
 def score(found: Column, item: Column) -> Column:
@@ -76,14 +100,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block: i
         hits = hashed.select("doc_id", "h", "w", "n", F.posexplode_outer("s").alias("at", "seed")).join(F.broadcast(side), "seed")
         # The masks' seeds stand one after the other: n - 1 - span of them each.
         sizes = [F.greatest(F.col("n") - 1 - m[2], F.lit(0)) for m in MASKS]
-        first, second = sizes[0], sizes[0] + sizes[1]
-        at = F.when(F.col("at") < first, F.col("at")).when(F.col("at") < second, F.col("at") - first).otherwise(F.col("at") - second)
+        first, second, third = sizes[0], sizes[0] + sizes[1], sizes[0] + sizes[1] + sizes[2]
+        at = F.when(F.col("at") < first, F.col("at")).when(F.col("at") < second, F.col("at") - first).when(F.col("at") < third, F.col("at") - second).otherwise(F.col("at") - third)
         hits = hits.withColumn("shift", at - F.col("place"))
         # The item's words and the document's words along the hit; what stands outside the document counts as different.
         lo, size = F.greatest(F.col("shift"), F.lit(0)), F.size("item")
         there = F.concat(F.array_repeat(F.lit(""), F.least(lo - F.col("shift"), size)), F.slice("w", lo + 1, F.greatest(F.col("shift") + size - lo, F.lit(0))))
-        near = hits.groupBy("doc_id", "h", "item", "shift").agg(F.first(there).alias("there"))
-        near = near.withColumn("score", score(F.col("there"), F.col("item"))).where(F.col("score") >= F.least(F.lit(least), F.size("item")))
+        # Three words stand in prose by chance, so their hits are verified before they leave the task; by a generator, as
+        # a filter would go into the join and have it handle a copy of the document for each of its seeds.
+        hits = hits.select("doc_id", "h", "item", "shift", (F.col("at") >= third).alias("short"), there.alias("there"))
+        hits = hits.select("doc_id", "h", "item", "shift", F.explode_outer(F.when(~F.col("short") | whole(F.col("there"), F.col("item")), F.array("there"))).alias("there")).where("there is not null")
+        near = hits.groupBy("doc_id", "h", "item", "shift").agg(F.first("there").alias("there"))
+        near = near.withColumn("score", score(F.col("there"), F.col("item"))).where((F.col("score") >= F.least(F.lit(least), F.size("item"))) | whole(F.col("there"), F.col("item")))
         best = near.groupBy("doc_id", "h", "item").agg(F.max("score").alias("score"))
         out = best if out is None else out.unionByName(best)
     return out.groupBy("doc_id", "h", "item").agg(F.max("score").alias("score")) if parts > 1 else out

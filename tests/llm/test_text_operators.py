@@ -1,6 +1,7 @@
 """Quality rules, decontamination, licenses, personal data: against plain versions, and odd rows."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -82,6 +83,34 @@ def test_decontamination_in_blocks(spark, data):
     assert whole == parts and exact <= {r[0] for r in whole}
 
 
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(5)
+    known = [f"word{i}" for i in range(60)]
+    items = {n * 10 + k: rng.choices(known, k=n) for n in [7, 10, 12, *range(15, 25)] for k in range(3)}
+    items[1], spread = ITEM.split(), [3, 7, 11]  # every fourth word: no spaced seed is left
+    texts = [["x" if i in (4, 9) else w for i, w in enumerate(items[151])], ["x" if i in spread else w for i, w in enumerate(items[1])]]
+    for item in items.values():
+        for many in (0, len(item) // 5, len(item) // 5, len(item) // 5 + 1, len(item) // 2):
+            gone = rng.sample(range(len(item)), many)
+            texts.append(rng.choices(known, k=9) + [rng.choice(known) if i in gone else w for i, w in enumerate(item)] + rng.choices(known, k=9))
+        texts.append(item[len(item) // 5 :] + rng.choices(known, k=9))  # cut off: the first words stand outside the document
+    texts += [rng.choices(known, k=300) for _ in range(40)]
+
+    def counts(text, item):
+        """Whether some place has the item with one word in five replaced at most."""
+        return any(sum(0 <= s + i < len(text) and text[s + i] == w for i, w in enumerate(item)) >= len(item) - len(item) // 5 for s in range(-len(item), len(text)))
+
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    out = decontaminate.decontaminate(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), bench).collect()
+    got = {r["doc_id"]: {int(x) for x in r["items"].split(",") if x} for r in out}
+    scores = {r["doc_id"]: r["score"] for r in out}
+    for i, text in enumerate(texts):
+        want = {k for k, item in items.items() if counts(text, item)}
+        assert want <= got[i] and (got[i] == want or scores[i] >= 7)
+        assert {k for k in got[i] - want if len(items[k]) < 10} == set()
+    assert 151 in got[0] and 1 in got[1]
+
+
 # ---- licenses
 
 
