@@ -1,18 +1,21 @@
-"""License scan: exact set-similarity join of text blocks with notice templates; built-in functions only.
+"""License scan: exact set-similarity join of text blocks with license texts and notices; built-in functions only.
 
-Blocks and templates are sets of tokens in one global order, rarest in the corpus first. A template is contained in a
-block if the block holds at least threshold * |template| of its tokens. Only tokens of some template can count, so a
-block's set is cut to those without loss; prefix, length and positional filters then find the pairs to compare.
+Blocks are overlapping windows over all words of a text, whatever its lines, and templates are sets of tokens in one
+global order, rarest in the corpus first. A template is contained in a block if the block holds at least threshold *
+|template| of its tokens. Only tokens of some template can count, so a block's set is cut to those without loss; prefix,
+length and positional filters then find the pairs to compare. Short notices are sought in short blocks and whole license
+texts in long ones; two blocks overlap by the longest template of their kind, so one block holds it whole.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import alnum_text, let, table, values
+from .common import alnum_text, let, staged, table, values
 
 #: Phrases whose consecutive words make a base label (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -32,56 +35,142 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "to the extent possible under law all copyright and related rights have been waived cc0"),
     ("proprietary", "all rights reserved no part may be reproduced without written permission of the publisher"),
+    ("all-rights-reserved", "all rights reserved"),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+        OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+        "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
+        IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    ),
+    (
+        "apache-2",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "gpl-3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    ),
 ]
 THRESHOLD = 0.9
-BLOCK = 64  # words; longer lines are cut into overlapping blocks
-STEP = 32  # no template has more words than BLOCK - STEP, so one block holds any notice whole
-
-
-def template_sets(templates) -> list[tuple[str, list[str]]]:
-    return [(label, sorted(set(text.split()))) for label, text in templates]
-
-
-def blocks(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """doc_id, h (hash of the text), line, at (its place), tokens: the template tokens of a block that has `least` or more."""
-    line = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    known = F.array(*map(F.lit, vocabulary))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode_outer(line).alias("line", "x"))
-    words = keyed.select("doc_id", "h", "line", F.split(F.trim(alnum_text(F.col("x"))), " ").alias("w")).where(F.size(F.array_intersect("w", known)) >= least)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (BLOCK - STEP), F.lit(1)), F.lit(STEP))
-    cut = words.select("doc_id", "h", "line", "w", F.explode_outer(starts).alias("at"))
-    return cut.select("doc_id", "h", "line", "at", F.array_intersect(F.slice("w", F.col("at"), F.lit(BLOCK)), known).alias("tokens")).where(F.size("tokens") >= least)
-
-
-def license_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, h, label, containment: the greatest containment of a label in a document.
-
-    Two passes over the blocks: the first counts in how many blocks each template token stands, which gives the order;
-    one row for each token of the templates reaches the driver. The templates are a parameter of fixed size, and their
-    prefixes are broadcast. Rows of docs with equal doc_id and text are one; null and blank texts have no blocks."""
-    sets = template_sets(templates)
-    need = [math.ceil(threshold * len(t) - 1e-9) for _, t in sets]
-    vocabulary, least = sorted({w for _, t in sets for w in t}), min(need)
-    found = blocks(docs, vocabulary, least)
-    often = {r["w"]: r["n"] for r in found.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
-    ordered = [sorted(rank[w] for w in t) for _, t in sets]
-    # Some of the first |T| - need + 1 tokens of T must be in a block that holds `need` of them.
-    prefix = [(r, k, i, len(t), n, label, ",".join(map(str, t))) for k, ((label, _), t, n) in enumerate(zip(sets, ordered, need, strict=True)) for i, r in enumerate(t[: len(t) - n + 1])]
-    index = F.broadcast(values(docs.sparkSession, "r int, k int, i int, size int, need int, label string, t string", prefix).withColumn("t", F.split("t", ",").cast("array<int>")))
-    ranks = F.map_from_arrays(F.array(*map(F.lit, rank)), F.array(*[F.lit(i) for i in rank.values()]))
-    key = ["doc_id", "h", "line", "at"]
-    held = found.select(*key, F.array_sort(F.transform("tokens", lambda w: F.element_at(ranks, w))).alias("b"))
-    pairs = held.select(*key, "b", F.posexplode_outer("b").alias("j", "r")).join(index, "r")
+#: Words of a block and of the step to the next one, by kind. A template belongs to the first kind whose blocks overlap
+#: by as many words as it has.
+KINDS = ((64, 32), (512, 256))
+
+
+def template_sets(templates) -> list[tuple[str, int, list[str]]]:
+    """label, kind and distinct tokens of each template; one longer than the last kind's overlap is an error."""
+    out = []
+    for label, text in templates:
+        words = [w for w in re.split("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+        kind = next((k for k, (size, step) in enumerate(KINDS) if len(words) <= size - step), None)
+        if kind is None or not words:
+            raise ValueError(f"a template of {len(words)} words fits no kind of block: {text[:60]!r}")
+        out.append((label, kind, sorted(set(words))))
+    return out
+
+
+def blocks(w: Column, kind: int, known: list[str], least: int) -> Column:
+    """array<struct<kind, at, tokens>> of the blocks of a word array that hold `least` or more of the known tokens."""
+    size, step = KINDS[kind]
+    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (size - step), F.lit(1)), F.lit(step))
+    some = F.array(*map(F.lit, known))
+    each = F.transform(starts, lambda at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.array_intersect(F.slice(w, at, F.lit(size)), some).alias("tokens")))
+    none = F.array().cast("array<struct<kind:int,at:int,tokens:array<string>>>")
+    return F.when(F.size(F.array_intersect(w, some)) >= least, F.filter(each, lambda x: F.size(x["tokens"]) >= least)).otherwise(none)
+
+
+def parsed(docs: DataFrame, sets: list[tuple[str, int, list[str]]], threshold: float) -> DataFrame:
+    """doc_id, h (hash of the text), n_words, p0 and so on (places of PHRASES) and blocks(kind, at, tokens) of every row.
+
+    The only pass over the texts. tokens are numbers of the templates' distinct tokens, in their order from 1."""
+    vocabulary = sorted({t for _, _, s in sets for t in s})
+    t, space = F.col("t"), F.lit(" ")
+    base = docs.select("doc_id", F.xxhash64("text").alias("h"), alnum_text(F.col("text")).alias("t"))
+    kinds = {k: ([x for _, kk, s in sets if kk == k for x in s], min(needed(s, threshold) for _, kk, s in sets if kk == k)) for k in sorted({k for _, k, _ in sets})}
+    found = F.array().cast("array<struct<kind:int,at:int,tokens:array<string>>>")
+    if kinds:
+        found = let(F.split(F.trim(t), " "), lambda w: F.concat(*[blocks(w, k, sorted(set(known)), least) for k, (known, least) in kinds.items()]))
+    names = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+    numbered = F.transform(found, lambda b: F.struct(b["kind"].alias("kind"), b["at"].alias("at"), F.transform(b["tokens"], lambda x: F.array_position(names, x).cast("int")).alias("tokens")))
+    n_words = F.when(t == "  ", F.lit(0)).otherwise(F.greatest(F.char_length(t) - F.char_length(F.replace(t, space, F.lit(""))) - 1, F.lit(0)))
+    return base.select("doc_id", "h", n_words.cast("long").alias("n_words"), *[phrase_places(t, p).alias(f"p{i}") for i, p in enumerate(PHRASES)], numbered.alias("blocks"))
+
+
+def needed(tokens: list[str], threshold: float) -> int:
+    """How many of a template's distinct tokens a block must hold."""
+    return math.ceil(threshold * len(tokens) - 1e-9)
+
+
+def matches(found: DataFrame, sets: list[tuple[str, int, list[str]]], threshold: float) -> DataFrame:
+    """Of parsed rows: doc_id, h, label, containment, the greatest of a label in a document.
+
+    The blocks are counted first: in how many each template token stands gives the order; one row for each such token
+    reaches the driver. The templates are a parameter of fixed size, and their prefixes are broadcast."""
+    vocabulary = sorted({t for _, _, s in sets for t in s})
+    each = found.select("doc_id", "h", F.explode("blocks").alias("b")).select("doc_id", "h", "b.kind", "b.at", "b.tokens")
+    often = {r["w"]: r["n"] for r in each.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    order = sorted(range(len(vocabulary)), key=lambda i: (often.get(i + 1, 0), vocabulary[i]))
+    rank = {vocabulary[i]: r for r, i in enumerate(order)}
+    index = []
+    for label, kind, tokens in sets:
+        t, need = sorted(rank[w] for w in tokens), needed(tokens, threshold)
+        # Some of the first |T| - need + 1 tokens of T must be in a block that holds `need` of them.
+        index += [(r, kind, i, len(t), need, label, ",".join(map(str, t))) for i, r in enumerate(t[: len(t) - need + 1])]
+    index = values(found.sparkSession, "r int, kind int, i int, size int, need int, label string, t string", index)
+    index = F.broadcast(index.withColumn("t", F.split("t", ",").cast("array<int>")))
+    ranks = F.array(*[F.lit(rank[w]) for w in vocabulary]) if vocabulary else F.array().cast("array<int>")
+    key = ["doc_id", "h", "kind", "at"]
+    held = each.select(*key, F.array_sort(F.transform("tokens", lambda i: F.element_at(ranks, i))).alias("b"))
+    pairs = held.select(*key, "b", F.posexplode_outer("b").alias("j", "r")).join(index, ["r", "kind"])
     pairs = pairs.where((F.size("b") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("b") - F.col("j") - 1) >= F.col("need")))
     pairs = pairs.withColumn("m", F.array_intersect("b", "t")).where(F.size("m") >= F.col("need"))
     # A template gives way in a block to one that explains the same tokens better: cc-by to cc-by-nc, lgpl-3 to gpl-3.
-    each = pairs.groupBy(*key).agg(F.collect_set(F.struct("label", "m", (F.size("m") / F.col("size")).alias("c"))).alias("all"))
+    grouped = pairs.groupBy(*key).agg(F.collect_set(F.struct("label", "m", (F.size("m") / F.col("size")).alias("c"))).alias("all"))
     better = lambda x, o: (F.size(F.array_except(x["m"], o["m"])) == 0) & ((F.size(o["m"]) > F.size(x["m"])) | (o["c"] > x["c"]))
-    best = each.select("doc_id", "h", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda o: better(x, o)))).alias("x"))
+    best = grouped.select("doc_id", "h", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda o: better(x, o)))).alias("x"))
     return best.groupBy("doc_id", "h", F.col("x.label").alias("label")).agg(F.max("x.c").alias("containment"))
 
 
+def license_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, h (hash of the text), label, containment.
+
+    Rows of docs with equal doc_id and text are one; null and blank texts have no blocks; without templates there are
+    no matches."""
+    sets = template_sets(templates)
+    return matches(staged(parsed(docs, sets, threshold), "blocks"), sets, threshold)
+
+
 def phrase_places(text: Column, phrase: str) -> Column:
     """struct(n, first, last): how often a phrase stands in the words of alnum_text, and the first and last start."""
     size, n_words = len(phrase.split()), F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit(""))) - 1
@@ -96,10 +185,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     Base labels come from phrases, wherever they stand; labels adds those of the templates that a block contains.
     score is the greatest containment found, 1 for base labels, else 0. Null and blank texts have no words, no labels
     and score 0; rows without doc_id and repeated rows each keep their row; other columns are ignored."""
-    found = license_matches(docs, templates, threshold).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("c"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), alnum_text(F.col("text")).alias("t"))
-    base = base.withColumns({f"p{i}": phrase_places(F.col("t"), p) for i, p in enumerate(PHRASES)} | {"n_words": F.greatest(F.char_length("t") - F.char_length(F.replace("t", F.lit(" "), F.lit(""))) - 1, F.lit(0)).cast("long")})
-    base = base.withColumn("n_words", F.when(F.col("t") == "  ", F.lit(0).cast("long")).otherwise(F.col("n_words"))).drop("t")
+    sets = template_sets(templates)
+    base = staged(parsed(docs, sets, threshold), "blocks")
+    found = matches(base, sets, threshold).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("c"))
     each = [f"p{i}" for i in range(len(PHRASES))]
     labels = F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), F.lit(label)) for p, label in zip(each, PHRASES.values(), strict=True)]))
     joined = base.join(found, base["doc_id"].eqNullSafe(found["d"]) & (base["h"] == found["g"]), "left")
@@ -123,18 +211,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     words = r"regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {t!r}, {math.ceil(THRESHOLD * len(t) - 1e-9)})" for label, t in template_sets(TEMPLATES))
+    templates = ", ".join(f"('{label}', {kind}, {t!r}, {needed(t, THRESHOLD)})" for label, kind, t in template_sets(TEMPLATES))
+    kinds = ", ".join(f"({k}, {size}, {step})" for k, (size, step) in enumerate(KINDS))
     return f"""
 with d as (select row_number() over () as rid, doc_id, text, list_filter({words}, lambda w: w <> '') as w from documents),
 p(phrase, label, size) as (values {phrases}),
-t(label, toks, need) as (values {templates}),
+t(label, kind, toks, need) as (values {templates}),
+k(kind, size, step) as (values {kinds}),
 hit as (select rid, label, pos from (select rid, label, size, phrase, w, unnest(range(len(w))) as pos from d, p where contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')) where array_to_string(w[pos + 1:pos + size], ' ') = phrase),
 base as (select rid, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as l from hit group by rid),
-line as (select rid, row_number() over () as line, list_filter({words}, lambda w: w <> '') as w from (select rid, unnest(string_split(coalesce(text, ''), chr(10))) as text from d)),
-block as (select rid, line, pos, list_distinct(w[pos + 1:pos + {BLOCK}]) as b from (select rid, line, w, unnest(range(0, greatest(len(w) - {BLOCK - STEP}, 1), {STEP})) as pos from line)),
-near as (select rid, line, pos, label, list_intersect(b, toks) as m, len(list_intersect(b, toks)) / len(toks) as c from block, t where len(list_intersect(b, toks)) >= need),
-worse as (select x.rid, x.line, x.pos, x.label, x.m from near x join near o using (rid, line, pos) where len(list_filter(x.m, lambda w: not list_contains(o.m, w))) = 0 and (len(o.m) > len(x.m) or o.c > x.c)),
-best as (select rid, list(distinct label) as l, max(c) as c from near anti join worse using (rid, line, pos, label, m) group by rid)
+block as (select rid, kind, pos, list_distinct(w[pos + 1:pos + size]) as b from (select rid, w, kind, size, unnest(range(0, greatest(len(w) - (size - step), 1), step)) as pos from d, k)),
+near as (select rid, kind, pos, label, list_intersect(b, toks) as m, len(list_intersect(b, toks)) / len(toks) as c from block join t using (kind) where len(list_intersect(b, toks)) >= need),
+worse as (select x.rid, x.kind, x.pos, x.label, x.m from near x join near o using (rid, kind, pos) where len(list_filter(x.m, lambda w: not list_contains(o.m, w))) = 0 and (len(o.m) > len(x.m) or o.c > x.c)),
+best as (select rid, list(distinct label) as l, max(c) as c from near anti join worse using (rid, kind, pos, label, m) group by rid)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base.l), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(best.l, [])))), ','), '') as labels,

@@ -125,6 +125,25 @@ def test_licenses(spark):
     assert licenses.license_scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_in_wrapped_notices(spark):
+    notices = {"mit": licenses.TEMPLATES[1][1], "bsd": licenses.TEMPLATES[3][1], "gpl-3": licenses.TEMPLATES[4][1], "all-rights-reserved": "All rights reserved."}
+    rows = []
+    for label, notice in notices.items():
+        w = notice.split()
+        for i in range(1, len(w)):
+            for j in (i, len(w) - 1):
+                rows.append((label, "some title\n" + " ".join(w[:i]) + "\n  * " + " ".join(w[i:j]) + "\r\n" + " ".join(w[j:]) + "\nmore text"))
+    whole = {text.split()[0]: (label, text) for label, text in licenses.TEMPLATES if len(text.split()) > 32}
+    rows += [(label, "filler " * n + "\n# ".join(text.split("\n")) + " filler" * 300) for label, text in whole.values() for n in (0, 77, 200, 301, 515)]
+    found = {r["doc_id"]: r["labels"].split(",") for r in licenses.license_scan(docs(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    assert all(label in found[i] for i, (label, _) in enumerate(rows))
+    half = docs(spark, [(1, notices["mit"][: len(notices["mit"]) // 2] + " words" * 100 + notices["mit"][len(notices["mit"]) // 2 :])])
+    assert licenses.license_scan(half).first()["labels"] == ""
+    with pytest.raises(ValueError):
+        licenses.license_scan(half, [("x", " ".join(f"w{i}" for i in range(300)))])
+    assert {r["labels"] for r in licenses.license_scan(docs(spark, ODD), []).collect() if r["doc_id"]} == {""}
+
+
 # ---- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
