@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (local tests)."""
+    """The cluster's spark.checkpoint.dir; on a local master without one, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cutflow-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -45,6 +47,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_staged(df: DataFrame) -> None:
+    """Deletes the table that staged() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = next((f.rsplit("/", 1)[0] for f in df.inputFiles()), None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, most: int = 2_000_000) -> DataFrame:
     """A join that broadcasts right if it has at most `most` narrow rows, so that left is not shuffled; else a plain
     one. right is counted, so it should be a written table."""

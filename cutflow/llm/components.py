@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import staged
+from .common import remove_staged, staged
 
 
 def _star(both: DataFrame) -> DataFrame:
@@ -18,9 +18,9 @@ def _star(both: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(u, v) -> (node, component): component is the smallest node reachable.
 
-    Nodes without an edge do not appear. Self loops, repeated and reversed edges and nulls are harmless. Every round is
-    written to the shared folder, so lineage stays short and a lost executor costs one round. Rounds grow with the
-    logarithm of the longest path; only one number per round reaches the driver. Raises if max_rounds don't settle it.
+    Nodes may be of any type with an order. Nodes without an edge do not appear. Self loops, repeated and reversed edges and nulls are harmless. Every round is
+    written to the shared folder, so lineage stays short and a lost executor costs one round; the round before it is
+    deleted then. Rounds grow with the logarithm of the longest path; only one number per round reaches the driver. Raises if max_rounds don't settle it.
     """
     e = edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u"))
     e = staged(e.distinct(), "edges")
@@ -30,8 +30,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Every row of large points from a node down to a smaller one.
         small = _star(large)
-        e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = staged(e.where("u <> v").distinct(), "edges")
+        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        last, e = e, staged(after.where("u <> v").distinct(), "edges")
+        remove_staged(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

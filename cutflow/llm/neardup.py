@@ -12,14 +12,16 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import staged, table
+from .common import join_checked, staged, table
 from .components import connected_components
 
 K = 32  # retained values per document
-SHARED = 16  # of K: a pair at Jaccard 0.8 shares fewer with probability about 2e-5
+SHARED = 13  # of K: a pair at Jaccard 0.8 shares fewer with probability 1.9e-7
 SHORT = 20  # sets below this size are retained whole, and the needed overlap is exact
 LIST = 32  # lists up to this length give all their pairs; the members of longer ones are joined by their whole sets
 WORDS = 8  # of parity bits: a power of two
+HOT = 512  # rows of a value that meet in one task at most; those of a more frequent one are dealt into blocks
+ROWS = 1000  # texts that a worker holds shingles of at a time
 BITS = 23  # log2 of the bits of the candidate filter that is broadcast: 1 MB, whatever the input
 
 _cache: dict[bytes, int] = {}
@@ -52,37 +54,42 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 
 def _sketches(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-
     def run(batches):
-        for b in batches:
-            out = [[], [], [], [], []]
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = shingle_hashes(t, size)
-                f = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-                for o, v in zip(out, (d, len(h), int(f[0]), int(f[1]), h[:K]), strict=True):
-                    o.append(v)
-            yield pa.record_batch([pa.array(o, f.type) for o, f in zip(out, schema, strict=True)], schema=schema)
+        for b in _sliced(batches):
+            hashes = [shingle_hashes(t, size) for t in b.column(1).to_pylist()]
+            prints = np.array([np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64) for h in hashes], np.int64).reshape(-1, 2)
+            n = pa.array([len(h) for h in hashes], pa.int64())
+            yield pa.record_batch([b.column(0), n, *map(pa.array, prints.T), pa.array([h[:K] for h in hashes], pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "sketch"])
 
     return run
 
 
+def _sliced(batches):
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+
+
 def _sets(size: int, bits):
-    schema = pa.schema([("doc_id", pa.int64()), ("full", pa.list_(pa.int64())), *[(f"bits{i}", pa.int64()) for i in range(WORDS)]])
+    names = ["doc_id", "full", *[f"bits{i}" for i in range(WORDS)]]
 
     def run(batches):
         table = bits.value
-        for b in batches:
+        for b in _sliced(batches):
             at = b.column(2).to_numpy(zero_copy_only=False)
             keep = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             b = b.filter(pa.array(keep))
             full = [shingle_hashes(t, size) for t in b.column(1).to_pylist()]
             odd = np.array([np.packbits(np.bincount(h & (64 * WORDS - 1), minlength=64 * WORDS) & 1).view(np.int64) for h in full], np.int64).reshape(-1, WORDS)
-            yield pa.record_batch([b.column(0), pa.array(full, pa.list_(pa.int64())), *map(pa.array, odd.T)], schema=schema)
+            yield pa.record_batch([b.column(0), pa.array(full, pa.list_(pa.int64())), *map(pa.array, odd.T)], names)
 
     return run
 
 
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def _slot(doc_id) -> F.Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << BITS))
 
@@ -99,7 +106,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         start = (r["k"] - 1) * 4096
         bits[start : start + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
-    full = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("at")).mapInArrow(_sets(size, sent), "doc_id long, full array<long>, " + ", ".join(f"bits{i} long" for i in range(WORDS)))
+    full = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("at")).mapInArrow(_sets(size, sent), f"doc_id {_id_type(docs)}, full array<long>, " + ", ".join(f"bits{i} long" for i in range(WORDS)))
     return staged(full, "full")
 
 
@@ -124,7 +131,10 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     sizes together, the smaller set has one of its first few values in common with a slightly longer prefix of the
     larger, and at no place where too few values follow. A value that no other set has takes up a place of the prefix,
     so a copy with many edits of its own meets few others, however large its group is. Slots whose parities differ
-    count values that only one of two sets has: a lower bound of their difference, and so an upper one of the overlap."""
+    count values that only one of two sets has: a lower bound of their difference, and so an upper one of the overlap.
+
+    The rows of a value that more than HOT sets have are dealt into blocks on either side, and every block of one side
+    meets every block of the other in a task of its own."""
     bits = [f"bits{i}" for i in range(WORDS)]
     rows = sets.select("sid", F.explode("full").alias("value"))
     often = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -136,13 +146,17 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     kept = sets.select("doc_id", "sid", "c", F.size("full").alias("n"), *bits).join(ranked, "sid").where(probe > n - F.size(v))
     kept = kept.select("doc_id", "c", "n", *bits, (n - F.size(v)).alias("own"), (index - n + F.size(v)).alias("few"), F.slice(v, F.lit(1), F.greatest(probe - n + F.size(v), F.lit(0)).cast("int")).alias("v"))
     placed = staged(kept.select("doc_id", "c", "n", *bits, "own", "few", F.posexplode("v.value").alias("i", "value")), "prefixes")
-    side = lambda d: placed.select("value", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), (F.col("own") + F.col("i")).alias(f"i{d}"), (F.col("i") < F.col("few")).alias(f"few{d}"), *[F.col(b).alias(f"{b}{d}") for b in bits])
+    hot = staged(placed.groupBy("value").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot")
+    dealt = join_checked(placed, hot, "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    sides = {"x": dealt.withColumn("p", own).withColumn("q", other), "y": dealt.withColumn("q", own).withColumn("p", other)}
+    side = lambda d: sides[d].select("value", "p", "q", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), (F.col("own") + F.col("i")).alias(f"i{d}"), (F.col("i") < F.col("few")).alias(f"few{d}"), *[F.col(b).alias(f"{b}{d}") for b in bits])
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     need = F.ceil((F.col("nx") + F.col("ny")) * (percent / (100 + percent)) - 1e-9)
     room = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= need
     differ = sum((F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in bits), F.lit(0))
     room = room & (F.col("nx") + F.col("ny") - differ >= 2 * need)
-    pairs = side("x").where("fewx").join(side("y"), "value").where(smaller & (F.col("cx") != F.col("cy")) & (100 * F.col("nx") >= percent * F.col("ny")) & room)
+    pairs = side("x").where("fewx").join(side("y"), ["value", "p", "q"]).where(smaller & (F.col("cx") != F.col("cy")) & (100 * F.col("nx") >= percent * F.col("ny")) & room)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -152,8 +166,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of distinct `size`-word
     shingles; component_id is the smallest doc_id reachable over links, kept says whether that is the document itself.
     Null and wordless texts have an empty set and no links. Rows with equal sets are one class from the start, so
-    copies are never paired. Rows that share a doc_id count as one document; repeated rows come out repeated. Rows
-    without doc_id are kept, with null component_id, and link nothing. Other columns are ignored.
+    copies are never paired. Rows that share a doc_id count as one document, which has the links of all its texts;
+    repeated rows come out repeated. Rows without doc_id are kept, with null component_id, and link nothing. doc_id may be
+    of any type with an order. Other columns are ignored.
 
     Candidates come from inverted lists of sketch values, rarest values first: of a sketch of m values only those up to
     the (m - t + 1)-th rarest can be needed to share t. Each list first links its members to a few of its own members;
@@ -162,10 +177,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int
     out for a list's length. The lists are split by skew joins.
     """
     docs = docs.select("doc_id", "text")
-    meta = staged(docs.mapInArrow(_sketches(size), "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "sketches")
+    meta = staged(docs.mapInArrow(_sketches(size), f"doc_id {_id_type(docs)}, n long, f1 long, f2 long, sketch array<long>"), "sketches")
     some = meta.where("n > 0 and doc_id is not null")
     classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = staged(classes, "classes")
+    member = some.join(classes, ["f1", "f2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    several = staged(member.groupBy("u").agg(F.count("*").alias("m")).where("m > 1").select("u"), "several")
+    shared = staged(join_checked(member.where("u <> v"), several, "u", "left_semi"), "shared")
     one = some.join(classes, ["f1", "f2"]).where("doc_id = rep").select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "sketch"])
     one = staged(one, "one")
 
@@ -196,7 +214,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int
     rest = few.unionByName(_prefix_pairs(sets, percent)).distinct().join(first, ["a", "b"], "left_anti")
     more = _confirmed(docs, staged(rest, "pairs"), one, size, percent)
     links = sure.unionByName(more)
-    final = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    final = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(shared))
 
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = meta.drop("sketch").join(named, ["f1", "f2"], "left")
@@ -205,5 +223,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs(doc_id, text, ...) -> the rows that stay: one of each group of near-duplicate texts, with all its columns.
+
+    A text is told apart by its doc_id and itself, so an id that occurs with two texts joins nothing, and no text is lost
+    for its id. Of a group stays the text with the smallest id (then hash of the text), of its equal rows any one; rows
+    without doc_id come last. Null and wordless texts are in no group, and all their rows stay."""
+    key = lambda d: F.struct(d["doc_id"].isNull().alias("none"), d["doc_id"].alias("id"), F.xxhash64(d["text"]).alias("h"))
+    judged = staged(near_duplicates(docs.select(key(docs).alias("doc_id"), "text"), size, percent), "judged")
+    counts = judged.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count_if(F.col("n_shingles") > 0).alias("m")).select("doc_id.id", "doc_id.h", "kept", "m")
+    gone, twice = staged(counts.where("not kept"), "dropped"), staged(counts.where("kept and m > 1"), "twice")
+    same = lambda k: docs["doc_id"].eqNullSafe(k["id"]) & (F.xxhash64(docs["text"]) == k["h"])
+    kept = join_checked(docs, gone, same(gone), "left_anti")
+    repeated = join_checked(docs, twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return join_checked(kept, twice, same(twice), "left_anti").unionByName(repeated)
+
+
 def op1_minhash(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)

@@ -35,7 +35,7 @@ def classes(ids, linked):
 
 
 def shingles(text, size):
-    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
@@ -63,9 +63,10 @@ def corpus(seed):
     return [(i, " ".join(t)) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("long_list", [neardup.LIST, 2])
-def test_near_duplicates(spark, monkeypatch, long_list):
+@pytest.mark.parametrize(("long_list", "hot"), [(neardup.LIST, neardup.HOT), (2, 8)])
+def test_near_duplicates(spark, monkeypatch, long_list, hot):
     monkeypatch.setattr(neardup, "LIST", long_list)
+    monkeypatch.setattr(neardup, "HOT", hot)
     rows = corpus(3) + [(1000, "same text twice"), (1001, "same text TWICE")]
     want, sets = plain_components(rows, 2)
     got = {r["doc_id"]: r for r in neardup.near_duplicates(docs(spark, rows), 2).collect()}
@@ -73,6 +74,32 @@ def test_near_duplicates(spark, monkeypatch, long_list):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (want[i] == i) for i, r in got.items())
 
 
+def test_near_duplicates_of_reused_ids(spark):
+    a, b = "one text of a few words here", "quite another text with other words"
+    rows = [(3, b), (5, a), (5, b), (9, a), (11, a + " z"), (12, "c c c d"), (12, "c c c d"), (None, b), (None, b), (14, "x"), (15, "long " * 2 + "word " * 40_000 + "end")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, rows), 2).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 3, False), (12, 12, True), (None, None, True), (14, 14, True), (15, 15, True)}
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in neardup.distinct_documents(docs(spark, rows), 2).collect())
+    assert kept == sorted([(3, b), (5, a), (12, "c c c d"), (14, "x"), rows[-1]])
+    assert neardup.distinct_documents(docs(spark, [(1, None), (1, None), (2, "")]), 2).count() == 3
+    assert neardup.distinct_documents(docs(spark, []), 2).columns == docs(spark, []).columns
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+def test_near_duplicates_of_all_pairs(spark, folder):
+    """No link of any two texts is lost: recall over all pairs, by an index of every shingle."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    sets, at, linked = {i: frozenset(shingles(t, 2)) for i, t in rows}, {}, []
+    for i, s in sets.items():
+        shared = Counter(j for x in s for j in at.get(x, ()))
+        linked += [(i, j) for j, n in shared.items() if 5 * n >= 4 * (len(s) + len(sets[j]) - n)]
+        for x in s:
+            at.setdefault(x, []).append(i)
+    want = classes(list(sets), linked)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.op1_minhash(spark, folder).collect()}
+    assert len(linked) > 50 and got == want
+
+
 def test_near_duplicates_odd_rows(spark):
     got = neardup.near_duplicates(docs(spark, ODD), 2).collect()
     assert len(got) == len(ODD) and all(r["kept"] for r in got)
