@@ -1,7 +1,7 @@
 """Corpus preparation: quality rules, near-duplicates, decontamination, personal data, packing.
 
 Every stage takes what the one before it kept, written as Parquet and read again. All but the last return the columns
-of documents. Rows without doc_id pass the stages that compare documents by id, and null texts fail the quality rules.
+of documents. Null texts fail the quality rules; rows without doc_id are treated as others.
 """
 
 from __future__ import annotations
@@ -9,9 +9,9 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from cutflow.llm.common import join_checked, staged, table
+from cutflow.llm.common import staged, table
 from cutflow.llm.decontaminate import decontaminate
-from cutflow.llm.neardup import near_duplicates
+from cutflow.llm.neardup import distinct_documents
 from cutflow.llm.packing import packed_documents, tokenizer_file
 from cutflow.llm.pii import redact
 from cutflow.llm.quality import quality_rules
@@ -26,9 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Five-word shingles, Jaccard 0.8."""
-    dropped = near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id").distinct()
-    return join_checked(docs, staged(dropped, "dropped"), "doc_id", "left_anti")
+    """One text of each group of near-duplicates: the one with the smallest id. Five-word shingles, Jaccard 0.8.
+
+    Equal rows are one. An id that occurs with several texts joins nothing, so no text is lost for its id."""
+    return distinct_documents(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
