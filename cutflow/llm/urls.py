@@ -15,7 +15,9 @@ from .components import connected_components
 #: Verdict, host and path of each rule (fixed values).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
-TRACKING = r"(utm_[^=&]*|fbclid|gclid|ref)=[^&]*"
+TRACKING = "^(utm_[^=]*|fbclid|gclid|ref)="
+SEGMENTS = 1000  # dot segments of paths that have more are left as they stand
+REFERENCES = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}  # the last one is decoded last
 
 
 def host_path(url: Column) -> Column:
@@ -39,22 +41,72 @@ def rule_of(host: Column, path: Column, rules) -> Column:
 def canonical(url: Column) -> Column:
     """The form by which urls are the same: no scheme, www., fragment, tracking parameter or trailing slash."""
     rest = F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1), r"(?s)#.*$", "")
-    query = F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, r"(?s)\?(.*)$", 1), rf"(?<=^|&){TRACKING}(&|$)", ""), r"&$", "")
+    params = F.filter(F.split(F.regexp_extract(rest, r"(?s)\?(.*)$", 1), "&"), lambda x: ~F.regexp_like(x, F.lit(TRACKING)))
+    query = F.regexp_replace(F.array_join(params, "&"), "&$", "")
     hp = host_path(url)
     form = F.concat(F.regexp_replace(hp["host"], r"^www\.", ""), F.regexp_replace(hp["path"], r"/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     return F.when(hp["host"] != "", form)
 
 
+def decoded(text: Column) -> Column:
+    """text without character references: numeric ones below 256 and those that attributes need."""
+
+    def one(x: Column) -> Column:
+        decimal, hexa = F.regexp_extract(x, "^0*([0-9]{1,3});", 1).try_cast("int"), F.conv(F.regexp_extract(x, "^[xX]0*([0-9a-fA-F]{1,2});", 1), 16, 10).try_cast("int")
+        code = F.coalesce(F.when(decimal < 256, decimal), hexa)
+        return F.when(code > 0, F.concat(F.char(code), F.regexp_replace(x, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), x))
+
+    out = let(F.split(text, "&#"), lambda p: F.array_join(F.concat(F.slice(p, 1, 1), F.transform(F.slice(p, F.lit(2), F.size(p)), one)), ""))
+    for name, char in REFERENCES.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """The absolute url of a link on a page; null for links into the page itself and for schemes without //."""
+    part = lambda regex, k=0: F.regexp_extract(base, regex, k)
+    root, path = part("^[^:/?#]*://[^/?#]*"), part("^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    has = lambda regex: F.regexp_like(ref, F.lit(regex))
+    whole = (
+        F.when(has("^[A-Za-z][A-Za-z0-9+.-]*://"), ref)
+        .when(has("^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$"), F.lit(None).cast("string"))
+        .when(has("^//"), F.concat(part("^([^:/?#]*:)", 1), ref))
+        .when(root == "", F.lit(None).cast("string"))
+        .when(has("^/"), F.concat(root, ref))
+        .when(has(r"^\?"), F.concat(root, path, ref))
+        .otherwise(F.concat(root, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")), ref))
+    )
+    return let(whole, without_dots)
+
+
+def without_dots(url: Column) -> Column:
+    """url with the segments . and .. of its path carried out."""
+    part = lambda k: F.regexp_extract(url, r"(?s)^([^:/?#]*://[^/?#]*)([^?#]*)(.*)$", k)
+    step = lambda out, x: F.when(x == ".", out).when(x == "..", F.regexp_replace(out, "/[^/]*$", "")).otherwise(F.concat(out, F.lit("/"), x))
+    fold = lambda p: F.concat(F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.lit(""), step), F.when(F.element_at(p, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    path = let(F.split(part(2), "/"), lambda p: F.when(F.size(p) <= SEGMENTS, fold(p)).otherwise(part(2)))
+    return F.when(F.regexp_like(part(2), F.lit(r"/\.\.?(/|$)")), F.concat(part(1), path, part(3))).otherwise(url)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """from_url, to_url: the canonical link and the refresh redirect of each page that has one."""
-    attr = lambda tag, name: F.coalesce(F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*\"([^\"]*)\"", 1), F.lit("")), F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*'([^']*)'", 1), F.lit("")), F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*([^\s\"'>]+)", 1))
-    link = attr(F.regexp_extract("html", r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), "href")
-    refresh = F.regexp_extract(attr(F.regexp_extract("html", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), "content"), r"(?is)url\s*=\s*['\"]?([^'\"\s]+)", 1)
+    """from_url, to_url: every canonical link and refresh redirect of each page, absolute, relative to its base."""
+
+    def attr(tag: Column, name: str) -> Column:
+        of = lambda value: F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*{value}", 1), F.lit(""))
+        return F.coalesce(of("\"([^\"]*)\""), of("'([^']*)'"), of("([^\\s\"'>]+)"), F.lit(""))
+
+    def tags(name: str, test: str) -> Column:
+        found = F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+        return F.filter(found, lambda x: F.regexp_like(x, F.lit(test)))
+
+    canonicals = F.transform(tags("link", r"(?is)\brel\s*=\s*([\"'][^\"']*|)\bcanonical\b"), lambda x: attr(x, "href"))
+    refresh = r"(?is)url\s*=\s*['\"]?([^'\"\s]+)"
+    redirects = F.transform(tags("meta", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), lambda x: F.regexp_extract(decoded(attr(x, "content")), refresh, 1))
     some = pages.where(F.col("url").isNotNull() & F.regexp_like("html", F.lit(r"(?i)canonical|http-equiv\s*=\s*[\"']?refresh")))
-    to = some.select(F.col("url").alias("from_url"), F.explode(F.array(link, refresh)).alias("to_url")).where("to_url <> ''")
-    scheme, base = F.regexp_extract("from_url", r"^([^:]*):", 1), F.regexp_extract("from_url", r"^[^:]*://[^/?#]*", 0)
-    whole = F.when(F.contains("to_url", F.lit("://")), F.col("to_url")).when(F.startswith("to_url", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to_url"))).when(F.startswith("to_url", F.lit("/")), F.concat(base, F.col("to_url")))
-    return to.select("from_url", whole.alias("to_url")).where("to_url is not null")
+    own_base = decoded(attr(F.get(tags("base", "(?i)href"), F.lit(0)), "href"))
+    base = F.when(own_base != "", F.coalesce(resolved(F.col("url"), F.trim(own_base)), F.col("url"))).otherwise(F.col("url"))
+    found = some.select(F.col("url").alias("from_url"), base.alias("base"), F.explode(F.concat(F.transform(canonicals, decoded), redirects)).alias("ref"))
+    return found.select("from_url", resolved(F.col("base"), F.trim("ref")).alias("to_url")).where("to_url is not null")
 
 
 def component_verdicts(links: DataFrame, rules) -> DataFrame:
@@ -88,15 +140,59 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The method in SQL: links of the html, their components by recursion, rules of the members."""
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    rest = "case when contains({u}, '://') then substring({u}, strpos({u}, '://') + 3) else '' end"
-    lower = "translate(regexp_extract({r}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def host_path_sql(u: str) -> tuple[str, str]:
+        rest = f"(case when contains({u}, '://') then substring({u}, strpos({u}, '://') + 3) else '' end)"
+        return f"translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+
+    def node(u: str) -> str:
+        host, path = host_path_sql(u)
+        query = f"regexp_replace(array_to_string(list_filter(string_split(regexp_extract(regexp_replace({u}, '#.*$', '', 's'), '\\?(.*)$', 1, 's'), '&'), lambda x: not regexp_matches(x, '{TRACKING}')), '&'), '&$', '')"
+        return f"case when {host} <> '' then regexp_replace({host}, '^www\\.', '') || regexp_replace({path}, '/+$', '') || case when {query} <> '' then '?' || {query} else '' end end"
+
+    def attr(name: str) -> str:
+        of = lambda v: f"nullif(regexp_extract(tag, {quote(rf'(?is)\b{name}\s*=\s*' + v)}, 1), '')"
+        return f"""coalesce({of('"([^"]*)"')}, {of("'([^']*)'")}, {of("([^\\s\"'>]+)")}, '')"""
+
+    def refs(x: str) -> str:
+        piece = "case when regexp_matches(y, '^0*[0-9]{1,3};') and regexp_extract(y, '^0*([0-9]{1,3});', 1)::int between 1 and 255 then chr(regexp_extract(y, '^0*([0-9]{1,3});', 1)::int) || regexp_replace(y, '^[^;]*;', '') when regexp_matches(y, '^[xX]0*[1-9a-fA-F][0-9a-fA-F]?;') then chr(('0x' || regexp_extract(y, '^[xX]0*([0-9a-fA-F]{1,2});', 1))::int) || regexp_replace(y, '^[^;]*;', '') else '&#' || y end"
+        out = f"(string_split({x}, '&#')[1] || array_to_string(list_transform(string_split({x}, '&#')[2:], lambda y: {piece}), ''))"
+        for name, char in REFERENCES.items():
+            out = f"replace({out}, '{name}', {quote(char)})"
+        return out
+
+    def resolve(base: str, ref: str) -> str:
+        root, path = f"regexp_extract({base}, '^[^:/?#]*://[^/?#]*')", f"regexp_extract({base}, '^[^:/?#]*://[^/?#]*([^?#]*)', 1)"
+        return f"case when regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*://') then {ref} when regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$') then null when starts_with({ref}, '//') then regexp_extract({base}, '^([^:/?#]*:)', 1) || {ref} when {root} = '' then null when starts_with({ref}, '/') then {root} || {ref} when starts_with({ref}, '?') then {root} || {path} || {ref} else {root} || case when {path} = '' then '/' else regexp_replace({path}, '[^/]*$', '') end || {ref} end"
+
+    def dots(u: str) -> str:
+        part = lambda k: f"regexp_extract({u}, '^([^:/?#]*://[^/?#]*)([^?#]*)(.*)$', {k}, 's')"
+        step = "case when x = '.' then a when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end"
+        return f"case when regexp_matches({part(2)}, '/\\.\\.?(/|$)') and len(string_split({part(2)}, '/')) <= {SEGMENTS} then {part(1)} || list_reduce(list_concat([''], string_split({part(2)}, '/')[2:]), lambda a, x: {step}) || case when string_split({part(2)}, '/')[-1] in ('.', '..') then '/' else '' end || {part(3)} else {u} end"
+
+    host, path = host_path_sql("url")
+    ends = {x: node(x) for x in ("f", "t")}
     return f"""
-with p as (select row_number() over () as rid, page_id, {rest.format(u="url")} as rest from pages),
-q as (select rid, page_id, {lower.format(r="rest")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+with recursive p as (select row_number() over () as rid, page_id, url, html, coalesce({host}, '') as host, coalesce({path}, '') as path from pages),
+b as (select rid, tag, {refs(attr("href"))} as href from (select rid, regexp_extract_all(html, '(?is)<base\\b[^>]*>') as all_tags, list_filter(all_tags, lambda x: regexp_matches(x, '(?i)href'))[1] as tag from p) where tag is not null),
+pb as (select p.*, coalesce(case when href <> '' then {dots("(" + resolve("url", "trim(href)") + ")")} end, url) as base from p left join b using (rid) where url is not null and html is not null),
+tags as (select url, base, 'link' as kind, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) as tag from pb union all select url, base, 'meta', unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')) from pb),
+found as (select url as f, base, trim(case kind when 'link' then {refs(attr("href"))} else regexp_extract({refs(attr("content"))}, {quote(r"(?is)url\s*=\s*['\"]?([^'\"\s]+)")}, 1) end) as ref from tags
+  where case kind when 'link' then regexp_matches(tag, {quote(r"(?is)\brel\s*=\s*([\"'][^\"']*|)\bcanonical\b")}) else regexp_matches(tag, {quote(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b")}) end),
+whole as (select f, {resolve("base", "ref")} as u from found),
+links as (select f, {dots("u")} as t from whole where u is not null),
+ends as (select {ends["f"]} as u, {ends["t"]} as v from links),
+e as (select u, v from ends where u is not null and v is not null union select v, u from ends where u is not null and v is not null),
+reach(a, b) as (select u, u from e union select reach.a, e.v from reach join e on reach.b = e.u),
 r(verdict, rhost, rpath) as (values {rules}),
-fit as (select rid, max_by(rhost || rpath, len(rhost || rpath)) as rule, max_by(verdict, len(rhost || rpath)) as verdict from q, r where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by rid)
-select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, coalesce(verdict, '{DEFAULT}') as verdict from q left join fit using (rid)"""
+urls as (select f as url from links union select t from links),
+ruled as (select {node("url")} as node, max_by(verdict, len(rhost || rpath)) as verdict from (select url, {host} as host, {path} as path from urls), r where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by url),
+passed as (select reach.a as node, min(verdict) as passed from reach join ruled on ruled.node = reach.b group by reach.a),
+fit as (select rid, max_by(rhost || rpath, len(rhost || rpath)) as rule, max_by(verdict, len(rhost || rpath)) as verdict from p, r where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by rid)
+select page_id, host, path, rule, coalesce(verdict, passed, '{DEFAULT}') as verdict from p left join fit using (rid) left join passed on passed.node = {node("p.url")}"""
 
 
 OP2_SQL = _oracle()

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,8 @@ import pytest
 import corpus_pipeline
 from cutflow.llm import classifier, components, hpylm, html_text, neardup, packing, urls
 
+from ..oracle import same
+
 WORDS = [f"w{i}" for i in range(4000)]
 ODD = [(9001, None), (9002, ""), (9003, " \n "), (None, "no id here at all"), (9005, "short one"), (9005, "short one")]
 
@@ -167,6 +170,38 @@ def test_url_aliases(spark):
     assert got[6][1:3] == ("", "") and got[7][1:3] == ("", "") and got[4][1] == "example.net" and got[8][1:3] == ("net", "")
 
 
+def test_url_aliases_by_every_kind_of_link(spark, tmp_path):
+    link = lambda *to: "<head>" + "".join(f"<link rel='canonical' href='{t}'>" for t in to) + "</head>"
+    site = "https://a.example.edu/x/y/page?q=1#top"
+    rows = [
+        (1, site, link("../c")),
+        (2, "https://a.example.edu/x/c/", link("//b.net/z")),
+        (3, "http://d.example.edu", link("c2")),
+        (4, "https://d.example.edu/c2", link("?p=1&amp;ref=r", "https://www.bad.net/&#x71;&#63;k=2")),
+        (5, "https://d.example.edu/c2?p=1", None),
+        (6, "https://bad.net/q?k=2", ""),
+        (7, "https://e.example.edu/1/2", "<base href='/other/'>" + link("./../f/./g/..")),
+        (8, "https://e.example.edu/f/", "<META HTTP-EQUIV=refresh content='5;URL=https://sub.example.com/de/1'>"),
+        (9, "https://f.example.edu/1", link("mailto:x@bad.net", "#top", "javascript:void(0)", "")),
+        (10, "https://g.example.edu/1", link("https://www.h.example.org/fr/2/", "https://bad.net/w")),
+        (11, "no scheme", link("../up")),
+        (12, None, link("https://bad.net/")),
+        (13, "https://i.example.edu/" + "a/" * 3000 + "b", link("../" * 20 + "c", "https://j.example.edu/" + "../" * 2000)),
+        (14, "https://i.example.edu/" + "long" * 20_000, "<p>"),
+        (15, "https://k.example.edu/alias", "<p>"),
+    ]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, node string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/t/pages.parquet")
+    Path(f"{tmp_path}/d").mkdir()
+    next(Path(f"{tmp_path}/t/pages.parquet").glob("part-*")).rename(f"{tmp_path}/d/pages.parquet")
+    same(urls.op2_urls, urls.OP2_SQL, spark, f"{tmp_path}/d")
+    redirects = spark.createDataFrame([("https://k.example.edu/alias", "http://x.net/1"), (None, "http://x.net/1"), ("https://f.example.edu/1", None)], "from_url string, to_url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, redirects=redirects).collect()}
+    assert got == {**{i: "allow" for i in range(1, 16)}, **{i: "block" for i in (1, 2, 3, 4, 5, 6, 7, 8, 15)}}
+    assert urls.filter_urls(pages.limit(0), redirects=redirects).count() == 0
+    assert {r["verdict"] for r in urls.filter_urls(pages, rules=[]).collect()} == {"allow"}
+
+
 # ---- pages
 
 SITE = '<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></ul></nav><div class="box"><p>About this site</p></div>{}<div id="x7"><b>Follow us</b></div></body></html>'
