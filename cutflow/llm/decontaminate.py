@@ -7,7 +7,9 @@ five may be replaced, and a run of fewer equal words, as prose shares by chance,
 
 A short item whose words are replaced to that share does not reach `least`. It counts too if the whole of it stands in
 the document with no more than one word in five replaced, wherever those are: it is cut into one part more than words
-may be replaced, one of the parts must be intact, and its first three words are a seed.
+may be replaced, one of the parts must be intact, and its first three words are a seed. Items of three to six words
+count where they stand word for word; one or two words stand in prose by chance, so such an item counts if it is the
+whole document.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from .common import NOT_ALNUM, ascii_lower, join_checked, let, staged, table
 #: word is replaced.
 MASKS = ((0, 2, 5), (0, 3, 5), (0, 3, 6))
 LEAST = 10  # score of an overlap, or the item's length if that is smaller
-SHORTEST = 7  # items of fewer words have no seed
+SHORTEST = 7  # items of fewer words must stand word for word
+PHRASE = 3  # those of fewer than these must be the whole document
 SHARE = 5  # one word in so many may be replaced
+FEW = "^[{0}]*+[^{0}]++(?:[{0}]++[^{0}]++)?+[{0}]*+$".format(r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F")  # a text of one or two words
 LONG = 25  # items of fewer words also have seeds of three words
-SEEDS = 50_000  # benchmark seeds broadcast at a time; a larger benchmark is joined in more blocks
+SEEDS = 50_000  # benchmark seeds that are broadcast with their items; those of a larger benchmark are shuffled
+SIEVE = 4_000_000  # seeds broadcast as bare numbers at a time, to sieve the documents' seeds before that shuffle
 
 
 def words(text: Column) -> Column:
@@ -49,21 +54,26 @@ def seeds(w: Column) -> Column:
 
     empty = F.array().cast("array<long>")
     each = lambda p: F.array(*[F.when(F.size(p) > m[2], masked(p, m, k)).otherwise(empty) for k, m in enumerate(MASKS)], triples(p))
-    return F.when(F.size(w) >= SHORTEST, let(pairs(F.transform(w, lambda x: F.xxhash64(x))), each)).otherwise(F.array().cast("array<array<long>>"))
+    return F.when(F.size(w) >= PHRASE, let(pairs(F.transform(w, lambda x: F.xxhash64(x))), each)).otherwise(F.array().cast("array<array<long>>"))
 
 
-def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """item (its words), seed, place. Items of equal words are one; a seed stands once for each place."""
-    items = benchmark.select(F.filter(words(F.col("text")), lambda x: x != "").alias("item")).where(F.size("item") >= SHORTEST).distinct()
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item (its words), key (their hash): items of equal words are one."""
+    items = benchmark.select(F.filter(words(F.col("text")), lambda x: x != "").alias("item")).where(F.size("item") > 0)
+    return items.select("item", F.xxhash64("item").alias("key")).dropDuplicates(["key"])
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """item, key, place, seed: a seed stands once for each place."""
     n, parts = F.size("item"), replaced(F.size("item")) + 1
     starts = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.floor(k * n / parts).cast("int"))
-    each = items.select("item", F.posexplode(seeds(F.col("item"))).alias("mask", "s")).select("item", "mask", F.posexplode("s").alias("place", "seed"))
-    return each.where((F.col("mask") < len(MASKS)) | ((n < LONG) & F.array_contains(starts, F.col("place")))).select("item", "place", "seed")
+    each = items.select("item", "key", F.posexplode(seeds(F.col("item"))).alias("mask", "s")).select("item", "key", "mask", F.posexplode("s").alias("place", "seed"))
+    return each.where((F.col("mask") < len(MASKS)) | ((n < LONG) & F.array_contains(starts, F.col("place")))).select("item", "key", "place", "seed")
 
 
 def replaced(n: Column) -> Column:
     """How many words of an item of n words may be replaced, wherever they stand."""
-    return F.floor(n / SHARE).cast("int")
+    return F.when(n < SHORTEST, F.lit(0)).otherwise(F.floor(n / SHARE).cast("int"))
 
 
 def whole(found: Column, item: Column) -> Column:
@@ -84,43 +94,56 @@ def score(found: Column, item: Column) -> Column:
     return F.aggregate(steps, start, step)["best"]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block: int = SEEDS) -> DataFrame:
-    """docs(doc_id, text, ...), benchmark(item_id, text) -> doc_id, h (hash of the text), item (words), score.
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block: int = SEEDS, sieve: int = SIEVE) -> DataFrame:
+    """docs(doc_id, text, ...), benchmark(item_id, text) -> doc_id, h (hash of the text), key (of the item), score.
 
-    A row for each document and benchmark text whose best overlap reaches `least`. The documents' seeds are made,
-    probed and verified where the document is read; only hits leave that task, so copies of one passage never meet. The
-    benchmark is broadcast in blocks of at most `block` seeds, whose number is counted first."""
-    known = item_seeds(benchmark)
-    parts = max(1, -(-known.count() // block))
+    A row for each document and benchmark text whose best overlap reaches `least`. The documents' seeds are made where
+    the document is read. A benchmark of at most `block` seeds, which are counted first, is broadcast, and hits are
+    verified in that task too. A larger one is too large for that: its seeds are broadcast as bare numbers, `sieve` at a
+    time, and only the documents' seeds that are among them, with the words around, are shuffled to the items."""
+    items = staged(items_of(benchmark), "items")
+    known = staged(item_seeds(items), "seeds")
+    n_seeds, longest = known.count(), items.agg(F.coalesce(F.max(F.size("item")), F.lit(0))).first()[0]
     w = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
     hashed = w.select("doc_id", "h", "w", F.flatten(seeds(F.col("w"))).alias("s"), F.size("w").alias("n"))
-    out = None
-    for k in range(parts):
-        side = known if parts == 1 else known.where(F.pmod(F.xxhash64("item", "place", "seed"), F.lit(parts)) == k)
-        hits = hashed.select("doc_id", "h", "w", "n", F.posexplode_outer("s").alias("at", "seed")).join(F.broadcast(side), "seed")
-        # The masks' seeds stand one after the other: n - 1 - span of them each.
-        sizes = [F.greatest(F.col("n") - 1 - m[2], F.lit(0)) for m in MASKS]
-        first, second, third = sizes[0], sizes[0] + sizes[1], sizes[0] + sizes[1] + sizes[2]
-        at = F.when(F.col("at") < first, F.col("at")).when(F.col("at") < second, F.col("at") - first).when(F.col("at") < third, F.col("at") - second).otherwise(F.col("at") - third)
-        hits = hits.withColumn("shift", at - F.col("place"))
-        # The item's words and the document's words along the hit; what stands outside the document counts as different.
-        lo, size = F.greatest(F.col("shift"), F.lit(0)), F.size("item")
-        there = F.concat(F.array_repeat(F.lit(""), F.least(lo - F.col("shift"), size)), F.slice("w", lo + 1, F.greatest(F.col("shift") + size - lo, F.lit(0))))
-        # Three words stand in prose by chance, so their hits are verified before they leave the task; by a generator, as
-        # a filter would go into the join and have it handle a copy of the document for each of its seeds.
-        hits = hits.select("doc_id", "h", "item", "shift", (F.col("at") >= third).alias("short"), there.alias("there"))
-        hits = hits.select("doc_id", "h", "item", "shift", F.explode_outer(F.when(~F.col("short") | whole(F.col("there"), F.col("item")), F.array("there"))).alias("there")).where("there is not null")
-        near = hits.groupBy("doc_id", "h", "item", "shift").agg(F.first("there").alias("there"))
-        near = near.withColumn("score", score(F.col("there"), F.col("item"))).where((F.col("score") >= F.least(F.lit(least), F.size("item"))) | whole(F.col("there"), F.col("item")))
-        best = near.groupBy("doc_id", "h", "item").agg(F.max("score").alias("score"))
-        out = best if out is None else out.unionByName(best)
-    return out.groupBy("doc_id", "h", "item").agg(F.max("score").alias("score")) if parts > 1 else out
+    probes = hashed.select("doc_id", "h", "w", "n", F.posexplode_outer("s").alias("i", "seed"))
+    # The masks' seeds stand one after the other: n - 1 - span of them each.
+    sizes = [F.greatest(F.col("n") - 1 - m[2], F.lit(0)) for m in MASKS]
+    first, second, third = sizes[0], sizes[0] + sizes[1], sizes[0] + sizes[1] + sizes[2]
+    at = F.when(F.col("i") < first, F.col("i")).when(F.col("i") < second, F.col("i") - first).when(F.col("i") < third, F.col("i") - second).otherwise(F.col("i") - third)
+    short = F.col("i") >= third
+    if n_seeds <= block:
+        hits = probes.join(F.broadcast(known), "seed").select("doc_id", "h", "item", "key", (at - F.col("place")).alias("shift"), short.alias("short"), F.col("w").alias("part"), F.lit(0).alias("from"))
+    else:
+        parts = -(-n_seeds // sieve)
+        numbers = known.select("seed").distinct()
+        blocks = [numbers.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == k) for k in range(parts)]
+        left = None
+        for b in blocks:
+            one = probes.join(F.broadcast(b), "seed", "left_semi").select("doc_id", "h", "seed", at.alias("at"), short.alias("short"), F.greatest(at - longest, F.lit(0)).alias("from"), "w")
+            one = one.withColumn("part", F.slice("w", F.col("from") + 1, F.lit(2 * longest))).drop("w")
+            left = one if left is None else left.unionByName(one)
+        hits = left.join(known.hint("shuffle_hash"), "seed").withColumn("shift", F.col("at") - F.col("place"))
+    # The item's words and the document's words along the hit; what stands outside the document counts as different.
+    lo, size = F.greatest(F.col("shift"), F.lit(0)), F.size("item")
+    there = F.concat(F.array_repeat(F.lit(""), F.least(lo - F.col("shift"), size)), F.slice("part", lo - F.col("from") + 1, F.greatest(F.col("shift") + size - lo, F.lit(0))))
+    # Three words stand in prose by chance, so their hits are verified before they leave the task; by a generator, as
+    # a filter would go into the join and have it handle a copy of the document for each of its seeds.
+    hits = hits.select("doc_id", "h", "item", "key", "shift", "short", there.alias("there"))
+    hits = hits.select("doc_id", "h", "item", "key", "shift", F.explode_outer(F.when(~F.col("short") | whole(F.col("there"), F.col("item")), F.array("there"))).alias("there")).where("there is not null")
+    near = hits.groupBy("doc_id", "h", "key", "shift").agg(F.first("there").alias("there"), F.first("item").alias("item"))
+    near = near.withColumn("score", score(F.col("there"), F.col("item"))).where((F.col("score") >= F.least(F.lit(least), F.size("item"))) | whole(F.col("there"), F.col("item")))
+    # Items too short for a seed: the document is no more than that.
+    bare = F.filter(words(F.col("text")), lambda x: x != "")
+    tiny = docs.where(F.regexp_like("text", F.lit(FEW))).select("doc_id", F.xxhash64("text").alias("h"), bare.alias("b")).where(F.size("b").between(1, PHRASE - 1)).select("doc_id", "h", F.xxhash64("b").alias("key"))
+    tiny = tiny.join(items.where(F.size("item") < PHRASE), "key").select("doc_id", "h", "key", F.size("item").alias("score"))
+    return near.select("doc_id", "h", "key", "score").unionByName(tiny).groupBy("doc_id", "h", "key").agg(F.max("score").alias("score"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, h, items (ids in order, comma-joined), n_items, score (longest overlap) of the documents that overlap."""
-    named = benchmark.select(F.filter(words(F.col("text")), lambda x: x != "").alias("item"), "item_id")
-    found = overlaps(docs, benchmark, **options).join(named, "item")
+    named = benchmark.select(F.xxhash64(F.filter(words(F.col("text")), lambda x: x != "")).alias("key"), "item_id")
+    found = overlaps(docs, benchmark, **options).join(named, "key")
     per = found.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.max("score").alias("score"))
     return per.select("doc_id", "h", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("items"), F.size("ids").cast("long").alias("n_items"), F.col("score").cast("long").alias("score"))
 
@@ -128,9 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs with items, n_items, score and kept (false: the document overlaps a benchmark item).
 
-    Null and blank texts and texts of fewer than SHORTEST words are kept. Rows with equal doc_id and text get the same
-    verdict; rows without doc_id are judged too. Items without text, or of fewer than SHORTEST words, match nothing; an
-    empty benchmark keeps everything. Other columns pass through; columns of docs with the names above are replaced."""
+    Null and blank texts are kept. Rows with equal doc_id and text get the same verdict; rows without doc_id are judged
+    too. Items without words match nothing; an empty benchmark keeps everything. Other columns pass through; columns of docs with the names above are replaced."""
     return _judged(docs.withColumn("_h", F.xxhash64("text")), contaminated(docs, benchmark, **options))
 
 

@@ -62,7 +62,7 @@ ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi
 
 
 def test_decontamination_tolerates_substitutions(spark):
-    bench = spark.createDataFrame([(7, ITEM), (8, None), (9, "too short"), (10, ITEM.upper())], "item_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM), (8, None), (9, "too short here"), (10, ITEM.upper())], "item_id long, text string")
     w = ITEM.split()
     swapped = " ".join("x" if i in (4, 9) else x for i, x in enumerate(w))
     rows = [(10, f"before it {ITEM}, after"), (11, f"say: {swapped} end"), (12, " ".join(w[:6]) + " and nothing else of it"), (13, "unrelated words " * 50), *ODD]
@@ -76,13 +76,21 @@ def test_decontamination_tolerates_substitutions(spark):
 def test_decontamination_in_blocks(spark, data):
     read = lambda t: spark.read.parquet(f"{data}/{t}.parquet")
     whole = {tuple(r) for r in decontaminate.contaminated(read("documents"), read("benchmark")).collect()}
-    parts = {tuple(r) for r in decontaminate.contaminated(read("documents"), read("benchmark"), block=900).collect()}
+    parts = {tuple(r) for r in decontaminate.contaminated(read("documents"), read("benchmark"), block=900, sieve=1500).collect()}
     norm = lambda t: " " + " ".join(w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w) + " "
     items = [norm(r["text"]) for r in read("benchmark").collect()]
     exact = {r["doc_id"] for r in read("documents").collect() if any(x in norm(r["text"]) for x in items)}
     assert whole == parts and exact <= {r[0] for r in whole}
 
 
+def test_decontamination_of_phrases(spark):
+    bench = spark.createDataFrame([(1, "one"), (2, "Two words!"), (3, "now three words"), (4, "this has six words in it"), (5, "seven words are in this item here"), (6, "...")], "item_id long, text string")
+    rows = [(1, "one"), (2, " ONE. "), (3, "one more"), (4, "two words"), (5, "two words more"), (6, "and now three words"), (7, "now four words"), (8, "This has six words, in it; and more"), (9, "this has six words in that"), (10, "seven words were in this item here"), (11, "..."), *ODD]
+    for options in ({}, {"block": 1, "sieve": 3}):
+        found = decontaminate.contaminated(docs(spark, rows), bench, **options).collect()
+        assert {r["doc_id"]: r["items"] for r in found} == {1: "1", 2: "1", 4: "2", 6: "3", 8: "4", 10: "5"}
+
+
 def test_decontamination_of_short_items(spark):
     rng = random.Random(5)
     known = [f"word{i}" for i in range(60)]
