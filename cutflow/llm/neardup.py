@@ -21,6 +21,7 @@ SHORT = 20  # sets below this size are retained whole, and the needed overlap is
 LIST = 32  # lists up to this length give all their pairs; the members of longer ones are joined by their whole sets
 WORDS = 8  # of parity bits: a power of two
 HOT = 512  # rows of a value that meet in one task at most; those of a more frequent one are dealt into blocks
+BEFORE = 24  # values before a place that are looked at, so that a pair comes out once
 ROWS = 1000  # texts that a worker holds shingles of at a time
 BITS = 23  # log2 of the bits of the candidate filter that is broadcast: 1 MB, whatever the input
 
@@ -133,6 +134,9 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     so a copy with many edits of its own meets few others, however large its group is. Slots whose parities differ
     count values that only one of two sets has: a lower bound of their difference, and so an upper one of the overlap.
 
+    A pair with several such values in common counts at the first of them: later ones are left out if they have one
+    of the BEFORE first values before them in common.
+
     The rows of a value that more than HOT sets have are dealt into blocks on either side, and every block of one side
     meets every block of the other in a task of its own."""
     bits = [f"bits{i}" for i in range(WORDS)]
@@ -145,17 +149,19 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     # Values that only this set has come first in the order; they take up n - size(v) places.
     kept = sets.select("doc_id", "sid", "c", F.size("full").alias("n"), *bits).join(ranked, "sid").where(probe > n - F.size(v))
     kept = kept.select("doc_id", "c", "n", *bits, (n - F.size(v)).alias("own"), (index - n + F.size(v)).alias("few"), F.slice(v, F.lit(1), F.greatest(probe - n + F.size(v), F.lit(0)).cast("int")).alias("v"))
-    placed = staged(kept.select("doc_id", "c", "n", *bits, "own", "few", F.posexplode("v.value").alias("i", "value")), "prefixes")
+    placed = kept.select("doc_id", "c", "n", *bits, "own", "few", F.col("v.value").alias("v"), F.posexplode("v.value").alias("i", "value"))
+    placed = staged(placed.withColumn("before", F.slice("v", F.lit(1), F.least("i", F.lit(BEFORE)))).drop("v"), "prefixes")
     hot = staged(placed.groupBy("value").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot")
     dealt = join_checked(placed, hot, "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own, other = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     sides = {"x": dealt.withColumn("p", own).withColumn("q", other), "y": dealt.withColumn("q", own).withColumn("p", other)}
-    side = lambda d: sides[d].select("value", "p", "q", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), (F.col("own") + F.col("i")).alias(f"i{d}"), (F.col("i") < F.col("few")).alias(f"few{d}"), *[F.col(b).alias(f"{b}{d}") for b in bits])
+    side = lambda d: sides[d].select("value", "p", "q", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), (F.col("own") + F.col("i")).alias(f"i{d}"), (F.col("i") < F.col("few")).alias(f"few{d}"), F.col("before").alias(f"before{d}"), *[F.col(b).alias(f"{b}{d}") for b in bits])
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     need = F.ceil((F.col("nx") + F.col("ny")) * (percent / (100 + percent)) - 1e-9)
     room = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= need
     differ = sum((F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in bits), F.lit(0))
     room = room & (F.col("nx") + F.col("ny") - differ >= 2 * need)
+    room = room & ~F.arrays_overlap("beforex", "beforey")
     pairs = side("x").where("fewx").join(side("y"), ["value", "p", "q"]).where(smaller & (F.col("cx") != F.col("cy")) & (100 * F.col("nx") >= percent * F.col("ny")) & room)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
