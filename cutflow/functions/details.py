@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
+#: Transitions that suit fast motion (fixed values).
 FAST = ["cut", "slideleft", "slideright", "wipeleft", "motion_blur", "flash"]
 #: Transition patterns: strong and weak candidates, their duration ratios, and whether motion counts (fixed values).
 PATTERNS = {
@@ -13,6 +14,11 @@ PATTERNS = {
     "mtv_energy": (["flash", "zoom", "cut", "shake"], ["cut", "cut", "dissolve"], 0.25, 0.0, False),
     "cinematic_flow": (["dissolve", "fade", "fadeblack"], ["dissolve", "fade", "wipeleft"], 0.6, 0.8, False),
     "smooth_slide": (["slideleft", "slideright", "smoothleft"], ["dissolve", "wipeleft", "smoothright"], 0.4, 0.6, True),
+    "action_whip": (["motion_blur", "slideleft", "cut", "wipeleft"], ["cut", "cut"], 0.2, 0.0, True),
+    "dreamy_fade": (["circleopen", "radial", "fade"], ["dissolve", "circleclose", "pixelize"], 0.7, 0.9, False),
+    "retro_wipe": (["diagtl", "diagbr", "rectcrop"], ["wipeleft", "dissolve", "fadeblack"], 0.5, 0.7, False),
+    "vlog_gentle": (["fade", "dissolve"], ["fade", "dissolve", "wipeleft"], 0.5, 0.7, False),
+    "random_mix": (["fade", "dissolve", "wipeleft", "slideleft", "circleopen", "radial", "flash", "zoom", "diagtl", "pixelize", "fadeblack"], ["cut", "dissolve", "fade", "wipeleft", "smoothleft"], 0.4, 0.6, False),
 }
 #: Template sentences of the offline script, after the first one that names the topic (fixed values).
 SCRIPT = ["先看第一个细节。", "这个画面张力十足。", "节奏开始加快了。", "注意这里的转折。", "越到后面越精彩。", "这就是它的魅力。", "喜欢记得点赞关注。"]

@@ -126,3 +126,9 @@ def text_width(text: Column) -> Column:
     """Width in em: 1 for wide characters (beyond U+2E80), else a half."""
     wide = F.char_length(F.regexp_replace(text, "[\\x{0}-\\x{2E80}]", ""))
     return wide * 1.0 + (F.char_length(text) - wide) * 0.5
+
+
+def fitting_font(em: Column, width: int, size: int = 48) -> Column:
+    """Font size at which a text of so many em fits nine tenths of a width: the usual one or less, 16 at least."""
+    limit = width * 0.9
+    return F.when(em * size > limit, F.greatest(F.lit(16), F.floor(size * (limit / (em * size))).cast("int"))).otherwise(F.lit(size)).cast("int")

@@ -38,12 +38,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+QUERIES = 512  # queries that a partition's vectors meet at a time
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, per: str | None = None) -> DataFrame:
-    """vectors(vec_id, embedding, ...), queries(query_id, q), a stated set of bounded size -> query_id, vec_id, score, rank.
-
-    Every vector meets every query where it is read; a partition keeps its best k of each query (and of each `per`)
-    before anything is shuffled. k is 1 at least; scores under min_score go."""
-    scored = vectors.crossJoin(F.broadcast(queries)).withColumn("score", dot(F.col("embedding"), F.col("q"))).where(F.col("score") >= min_score)
-    w = Window.partitionBy("query_id", *([per] if per else [])).orderBy(F.desc("score"), "vec_id")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, k))
-    return ranked.select("query_id", *([per] if per else []), "vec_id", "score", "rank")
+    """vectors(vec_id, embedding, ...), queries(query_id, q), a stated set -> query_id, vec_id, score, rank.
+
+    The queries are broadcast in blocks of about QUERIES, whose number is counted first; every vector meets a block where
+    it is read, and a partition keeps its best k of each query (and of each `per`) before anything is shuffled. k is 1
+    at least; scores under min_score go."""
+    parts, key, out = max(1, -(-queries.count() // QUERIES)), [per] if per else [], None
+    w = Window.partitionBy("query_id", *key).orderBy(F.desc("score"), "vec_id")
+    for b in range(parts):
+        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b)
+        scored = vectors.crossJoin(F.broadcast(block)).withColumn("score", dot(F.col("embedding"), F.col("q"))).where(F.col("score") >= min_score)  # a block of the stated queries
+        ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, k)).select("query_id", *key, "vec_id", "score", "rank")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out

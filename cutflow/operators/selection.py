@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from bisect import bisect_right
 from collections import defaultdict
 from functools import reduce
@@ -15,16 +13,20 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from ..tables import shared_folder
+
 BEST = 512  # rows of a source looked at in one round
 BATCH = 4096  # vectors judged in one round
 TILE = 512  # of them compared with the others at a time
 
 
-def with_separation(shots: DataFrame, gap: float, most: int) -> DataFrame:
-    """Adds min_sep: the gap, or more if the source is long; 0 without a gap."""
-    span = F.max("end_time") - F.min("start_time")
-    sep = F.greatest(F.lit(float(gap)), span / F.lit(most * 2.5)) if gap > 0 else F.lit(0.0)
-    return shots.join(shots.groupBy("source_video").agg(sep.alias("min_sep")), "source_video")
+def with_separation(shots: DataFrame, gap: float | str, most: int | str) -> DataFrame:
+    """Adds most and min_sep: the gap, or more if the source is long; 0 without a gap. gap and most are numbers, or the
+    names of columns that are the same for all shots of a source."""
+    value = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
+    least, span = F.first(value(gap)).cast("double"), F.max("end_time") - F.min("start_time")
+    sep = F.when(least > 0, F.greatest(least, span / (F.first(value(most)) * 2.5))).otherwise(F.lit(0.0))
+    return shots.withColumn("most", value(most)).join(shots.groupBy("source_video").agg(sep.alias("min_sep")), "source_video")
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -32,45 +34,50 @@ def _apart(a: Column, b: Column) -> Column:
     return F.greatest(a["start_time"], b["start_time"]) - F.least(a["end_time"], b["end_time"])
 
 
-def select_highlights(shots: DataFrame, most: int = 15, gap: float = 1.0) -> DataFrame:
+def select_highlights(shots: DataFrame, most: int | str = 15, gap: float | str = 1.0) -> DataFrame:
     """shots(source_video, shot_id, start_time, end_time, highlight_score) -> the selected ones, with rank.
 
     Of each source, best score first (then start, then id), up to `most` shots that are at least min_sep away from all
     selected before. A round folds over the best BEST rows of each source, which is all a task holds of one; sources
     that are not full by then go on with the rows that nothing selected rules out."""
-    item = "struct<score:double,start_time:double,shot_id:bigint,end_time:double,min_sep:double>"
+    item = "struct<score:double,start_time:double,shot_id:bigint,end_time:double,min_sep:double,most:int>"
     order = [F.desc("highlight_score"), "start_time", "shot_id"]
-    left = with_separation(shots, gap, most).select("source_video", "shot_id", "start_time", "end_time", "highlight_score", "min_sep")
-    chosen = left.limit(0).groupBy("source_video").agg(F.array().cast(f"array<{item}>").alias("chosen"))
+    left = with_separation(shots, gap, most).select("source_video", "shot_id", "start_time", "end_time", "highlight_score", "min_sep", F.col("most").cast("int").alias("most"))
+    chosen = left.limit(0).groupBy("source_video").agg(F.array().cast(f"array<{item}>").alias("chosen"), F.first("most").alias("full"))
     while True:
         top = left.withColumn("_r", F.row_number().over(Window.partitionBy("source_video").orderBy(*order))).where(F.col("_r") <= BEST)
-        rows = F.array_sort(F.collect_list(F.struct((-F.col("highlight_score")).alias("score"), "start_time", "shot_id", "end_time", "min_sep")))
-        best = top.groupBy("source_video").agg(rows.alias("rows"), F.count("*").alias("n")).join(chosen, "source_video", "full")
+        rows = F.array_sort(F.collect_list(F.struct((-F.col("highlight_score")).alias("score"), "start_time", "shot_id", "end_time", "min_sep", "most")))
+        best = top.groupBy("source_video").agg(rows.alias("rows"), F.count("*").alias("n"), F.first("most").alias("most")).join(chosen, "source_video", "full")
 
         def step(taken: Column, x: Column) -> Column:
-            free = (F.size(taken) < most) & F.forall(taken, lambda y: _apart(x, y) >= x["min_sep"])
+            free = (F.size(taken) < x["most"]) & F.forall(taken, lambda y: _apart(x, y) >= x["min_sep"])
             return F.when(free, F.array_append(taken, x)).otherwise(taken)
 
         none = F.array().cast(f"array<{item}>")
-        now = best.select("source_video", F.aggregate(F.coalesce("rows", none), F.coalesce("chosen", none), step).alias("chosen"), (F.coalesce("n", F.lit(0)) >= BEST).alias("more"))
+        now = best.select("source_video", F.aggregate(F.coalesce("rows", none), F.coalesce("chosen", none), step).alias("chosen"), (F.coalesce("n", F.lit(0)) >= BEST).alias("more"), F.coalesce("most", "full").alias("full"))
         now = now.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else now.persist()
-        chosen = now.select("source_video", "chosen")
-        if now.where(F.col("more") & (F.size("chosen") < most)).isEmpty():
+        chosen = now.select("source_video", "chosen", "full")
+        last = now.where(F.col("more") & (F.size("chosen") < F.col("full")))
+        if last.isEmpty():
             break
-        last = now.where(F.col("more") & (F.size("chosen") < most))
         here = F.struct(F.col("start_time"), F.col("end_time"))
-        ranked = left.join(top.select("source_video", "shot_id"), ["source_video", "shot_id"], "left_anti").join(last, "source_video")
+        ranked = left.join(top.select("source_video", "shot_id"), ["source_video", "shot_id"], "left_anti").join(last.select("source_video", "chosen"), "source_video")
         left = ranked.where(F.forall("chosen", lambda y: _apart(here, y) >= F.col("min_sep"))).select(*left.columns)
     out = chosen.select("source_video", F.posexplode("chosen").alias("rank", "x"))
     return out.select("source_video", "rank", "x.shot_id", "x.start_time", "x.end_time", (-F.col("x.score")).alias("highlight_score"))
 
 
-def interleave(selected: DataFrame, most: int = 50) -> DataFrame:
-    """Turns by turns one of each source, sources in order of their best shot -> rows with place, at most `most`."""
-    first = selected.where("rank = 0").select("source_video", F.col("highlight_score").alias("_s"), F.col("start_time").alias("_t"))
-    ordered = selected.join(first, "source_video").orderBy("rank", F.desc("_s"), "_t", "source_video").limit(most)
-    place = F.row_number().over(Window.orderBy("rank", F.desc("_s"), "_t", "source_video")) - 1  # at most `most` rows
-    return ordered.withColumn("place", place).drop("_s", "_t")
+def interleave(selected: DataFrame, most: int = 50, by: str | None = None) -> DataFrame:
+    """Turns by turns one of each source, sources in order of their best shot -> rows with place, at most `most`, of all
+    or of each `by`."""
+    key = [by] if by else []
+    first = selected.where("rank = 0").select(*key, "source_video", F.col("highlight_score").alias("_s"), F.col("start_time").alias("_t"))
+    order = ["rank", F.desc("_s"), "_t", "source_video"]
+    joined = selected.join(first, [*key, "source_video"])
+    if not by:
+        joined = joined.orderBy(*order).limit(most)  # so that the window has at most `most` rows
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    return joined.withColumn("place", place).where(F.col("place") < most).drop("_s", "_t")
 
 
 def _by_length(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -132,7 +139,7 @@ def similarity_dedup(vectors: DataFrame, threshold: float) -> DataFrame:
     read, and what is left of it is folded over in one task; no pairs are listed, so large groups cost no more than
     others. Vectors of different lengths, null or with a null inside are near nothing."""
     spark = vectors.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='cutflow-')}/dedup-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "dedup")
     rows = vectors.select("id", (-F.col("score")).alias("s"), F.col("embedding").cast("array<double>").alias("v")).repartitionByRange("s", "id").sortWithinPartitions("s", "id")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # its lower bits count within a partition
     rows.select("id", "v", F.spark_partition_id().alias("part"), place.alias("place")).write.parquet(f"{folder}/ranked")

@@ -6,26 +6,21 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 
-def moving_average(values: Column, k: int = 3) -> Column:
-    """Centred mean over k values of an array; the ends are repeated outwards."""
-    half = k // 2
-    last = F.size(values) - 1
-    at = lambda i: F.get(values, F.least(F.greatest(i, F.lit(0)), last))
-    return F.transform(values, lambda _, i: sum((at(i + j - half) for j in range(k)), F.lit(0.0)) / k)
+MEMORY = 120  # values an average looks back: older ones weigh less than a double's last bit
 
 
-def ema(values: Column, alpha: float = 0.35) -> Column:
-    """Exponential moving average of an array, starting from its first value."""
+def smoothed(samples: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.35, k: int = 3) -> DataFrame:
+    """samples with ema, the exponential moving average of each key's values in order, and ma, its centred mean over k
+    rows, with the ends repeated outwards.
 
-    def step(out: Column, x: Column) -> Column:
-        return F.array_append(out, F.when(F.size(out) == 0, x).otherwise(alpha * x + (1 - alpha) * F.element_at(out, -1)))
-
-    return F.aggregate(values, F.array().cast("array<double>"), step)
-
-
-def series(samples: DataFrame, key: str, t: str, v: str, id: str, step: str) -> DataFrame:
-    """samples -> key, chunk, v: arrays of values in order, one for each chunk of time, so none grows with the input."""
-    return samples.groupBy(key, F.floor(F.col(t) / float(step)).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(id).alias("i"), F.col(v).alias("v")))).alias("x")).select(key, "chunk", F.col("x.v").alias("v"))
+    A row looks back over MEMORY values, whose oldest stands for all before it, so no key's values meet in one array."""
+    w = Window.partitionBy(key).orderBy(*order)
+    back = F.collect_list(value).over(w.rowsBetween(-(MEMORY - 1), 0))
+    ema = F.aggregate(F.slice(back, F.lit(2), F.greatest(F.size(back) - 1, F.lit(0))), F.get(back, F.lit(0)), lambda s, x: alpha * x + (1 - alpha) * s)
+    out = samples.withColumn("ema", ema)
+    first, last = F.first("ema").over(w), F.last("ema").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    near = [F.coalesce(F.lag("ema", -i).over(w), first if i < 0 else last) for i in range(-(k // 2), k // 2 + 1)]
+    return out.withColumn("ma", sum(near[1:], near[0]) / k)
 
 
 def best_window(profile: DataFrame, key: str, i: str, p: str, width: int) -> DataFrame:

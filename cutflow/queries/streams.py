@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyspark.sql.functions as F
 from pyspark.sql import SparkSession
 
 from ..streaming import tasks as S
-from ..tables import table
+from ..tables import shared_folder, table
 from .work import FOLD
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cutflow-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _events(spark, d):
@@ -32,7 +27,7 @@ def q_task_state_stream(spark, d):
 
 
 def q_window_counts_stream(spark, d):
-    return S.drain(S.windows(_events(spark, d), "ts", "event_type", "value", "6 hours", late=None), _folder(spark), "complete")
+    return S.drain(S.windows(_events(spark, d), "ts", "event_type", "value", "6 hours", late=None), _folder(spark), "complete").withColumn("a", F.col("a").cast("timestamp_ntz"))
 
 
 def q_sessions_stream(spark, d):
@@ -41,6 +36,6 @@ def q_sessions_stream(spark, d):
 
 QUERIES = {
     "task_state_stream": (q_task_state_stream, "select task_id, status, attempts, progress from (" + FOLD + ")"),
-    "window_counts_stream": (q_window_counts_stream, None),
-    "sessions_stream": (q_sessions_stream, None),
+    "window_counts_stream": (q_window_counts_stream, "select time_bucket(interval '6 hours', ts, timestamp '2024-01-01') as a, event_type, count(*) as n, sum(value) as total from events group by 1, 2"),
+    "sessions_stream": (q_sessions_stream, "with m as (select user_id, ts, coalesce((ts - lag(ts) over w >= interval '4 hours')::int, 1) as new from events window w as (partition by user_id order by ts)), g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as g from m) select user_id, count(*) as n, min(ts)::date as day from g group by user_id, g"),
 }

@@ -88,9 +88,10 @@ def q_srt_parse(spark, d):
 
 
 def q_caption_layout(spark, d):
-    w = T.text_width(F.col("text"))
-    widest = captions(spark, d).select("conv_id", w.alias("w")).groupBy("conv_id").agg(F.max("w").alias("w"))
-    return widest.select("conv_id", "w", F.greatest(F.lit(16.0), F.least(F.lit(48.0), F.lit(1280 * 0.9) / F.greatest("w", F.lit(1.0)))).alias("font"))
+    """The font size at which the longest caption of each conversation fits nine tenths of 1280 pixels."""
+    order = F.struct(F.char_length("text").alias("n"), (-F.col("turn")).alias("turn"), (-F.col("i")).alias("i"))
+    longest = captions(spark, d).groupBy("conv_id").agg(F.max_by(T.text_width(F.col("text")), order).alias("w"))
+    return longest.select("conv_id", "w", T.fitting_font(F.col("w"), 1280).alias("font"))
 
 
 def q_html_scrape(spark, d):
@@ -125,7 +126,7 @@ QUERIES = {
     "script_sentences": (q_script_sentences, f"with {CAPTIONS} select * from cap"),
     "caption_times": (q_caption_times, TIMES_SQL),
     "srt_parse": (q_srt_parse, f"with {CAPTIONS} select conv_id, row_number() over (partition by conv_id order by turn, i) as n, text from cap"),
-    "caption_layout": (q_caption_layout, f"with {CAPTIONS}, w as (select conv_id, max(len(regexp_replace(text, '[\\x{{0}}-\\x{{2E80}}]', '', 'g')) * 0.5 + len(text) * 0.5)::double as w from cap group by conv_id) select conv_id, w, greatest(16.0, least(48.0, 1152.0 / greatest(w, 1.0)))::double as font from w"),
+    "caption_layout": (q_caption_layout, f"with {CAPTIONS}, w as (select conv_id, arg_max(len(regexp_replace(text, '[\\x{{0}}-\\x{{2E80}}]', '', 'g')) * 0.5 + len(text) * 0.5, {{'n': len(text), 't': -turn, 'i': -i}})::double as w from cap group by conv_id) select conv_id, w, (case when w * 48 > 1152 then greatest(16, floor(48 * (1152 / (w * 48)))) else 48 end)::int as font from w"),
     "html_scrape": (q_html_scrape, "select page_id, trim(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')) as title, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))::int as links, regexp_extract(url, '/(\\d+)', 1) as id from pages"),
     "id_dedup_first": (q_id_dedup_first, "select regexp_extract(url, '/(\\d+)', 1) as id, min(page_id) as page_id from pages group by 1 having id <> ''"),
     "stopword_filter": (q_stopword_filter, "with p as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) as t from pages) select page_id from p where not " + _any(STOP_WORDS)),

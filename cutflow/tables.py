@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder; on a local master without one, in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="cutflow-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def _seconds() -> F.Column:
     return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / F.lit(1e6)
 
@@ -50,16 +63,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLES = "samples as (select user_id as track, event_id as id, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 as t, value as v, event_type as kind from events)"
 
 
-def beats(spark: SparkSession, sf_dir: str, most: int = 400) -> DataFrame:
-    """idx, t, onset: a music track's beats, one for each of the first `most` views."""
-    views = table(spark, sf_dir, "events").where("event_type = 'view'").orderBy("ts", "event_id").limit(most)
-    from pyspark.sql import Window
-
-    idx = F.row_number().over(Window.orderBy("ts", "event_id")) - 1  # at most `most` rows
-    return views.select(idx.alias("idx"), "event_id", F.col("value").alias("onset")).select("idx", (F.lit(0.5) * F.col("idx") + (F.col("event_id") % 7) * F.lit(0.01)).alias("t"), "onset")
+def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track, idx, t, onset, energy: the views of each user as the beats of a music track."""
+    i, views = F.col("event_id"), table(spark, sf_dir, "events").where("event_type = 'view'")
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return views.select(F.col("user_id").alias("track"), idx.alias("idx"), (F.lit(0.5) * idx + (i % 7) * F.lit(0.01)).alias("t"), F.col("value").alias("onset"), (i * 37 % 101).cast("double").alias("energy"))
 
 
-BEATS = "beats as (select idx, 0.5::double * idx + (event_id % 7) * 0.01::double as t, onset from (select row_number() over (order by ts, event_id) - 1 as idx, event_id, value as onset from (select * from events where event_type = 'view' order by ts, event_id limit 400)))"
+BEATS = "beats as (select user_id as track, idx, 0.5::double * idx + (event_id % 7) * 0.01::double as t, value as onset, (event_id * 37 % 101)::double as energy from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as idx from events where event_type = 'view'))"
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,51 +50,49 @@ def test_selection_goes_on_beyond_a_round(spark, monkeypatch):
     assert found == chosen
 
 
-def test_sync_fixture(spark):
-    beats = spark.createDataFrame([(i, 0.5 * i, "strong" if i % 2 == 0 else "normal") for i in range(40)], "idx long, t double, beat_type string")
-    clips = spark.createDataFrame([(0, 1, 1.0, 0.9), (1, 2, 0.2, 0.9), (2, 3, 1.05, 0.5)], "place int, shot_id long, duration double, highlight_score double")
-    got = [tuple(r) for r in B.sync(clips, beats, "calm").select("shot_id", "start_time", "duration", "speed").collect()]
-    assert got == [(1, 0.0, 1.0, 1.0), (3, 1.0, 1.0, pytest.approx(0.95))]
+def music(spark, beats):
+    return spark.createDataFrame([("m", i, *x) for i, x in enumerate(beats)], "track string, idx long, t double, beat_type string")
+
 
+def clips(spark, rows):
+    return spark.createDataFrame([(0, *r) for r in rows], "version int, place int, shot_id long, duration double, highlight_score double")
 
-def plain_sync(shots, beats, cfg):
-    if not shots or not beats:
-        return []
-    gaps = sorted(b[0] - a[0] for a, b in zip(beats, beats[1:], strict=False))
-    bi, cur, out, n, slow = (gaps[len(gaps) // 2] if gaps else 0.5), 0, [], len(beats), cfg["range"][0]
-    for sid, avail, score in shots:
-        if cur >= n:
-            break
-        t, kind = beats[cur]
-        lo, hi = (cfg["strong"] if score > 0.7 else tuple(x + 1 for x in cfg["strong"])) if kind == "strong" else cfg["weak"] if kind == "weak" else cfg["normal"]
-        count = lo if lo == hi or score > 0.6 else (lo + hi) // 2 if score > 0.3 else hi
-        fit = int(avail / max(0.1, slow) / bi + 1e-6)
-        if fit < 1:
-            continue
-        count = min(count, fit)
-        length = lambda c: beats[min(cur + c, n - 1)][0] - t  # noqa: E731, B023
-        d = length(count)
-        d = count * bi if d <= 0 else d
-        while d > 0 and avail / d < slow - 1e-4 and count > 1:
-            count -= 1
-            d = length(count)
-        if d <= 0 or avail / d < slow - 1e-4:
-            continue
-        speed = cfg["strong_speed"] if kind == "strong" else cfg["weak_speed"]
-        speed = min(max(speed + (0.0 if score <= 0.7 else 0.05 if kind == "strong" else -0.05), slow), cfg["range"][1])
-        out.append((sid, round(t, 9), round(d, 9), round(max(slow, min(speed, avail / d)), 9), count))
-        cur += count
-    return out
+
+def test_sync_fixture(spark):
+    beats = music(spark, [(0.5 * i, "strong" if i % 2 == 0 else "normal") for i in range(40)])
+    shots = clips(spark, [(0, 1, 1.0, 0.9), (1, 2, 0.2, 0.9), (2, 3, 1.05, 0.5)])
+    got = [tuple(r) for r in B.sync(shots, beats, "track", "calm").select("shot_id", "start_time", "duration", "speed").collect()]
+    assert got == [(1, 0.0, 1.0, 1.0), (3, 1.0, 1.0, pytest.approx(0.95))]
+    assert B.sync(shots, beats.limit(0), "track").count() == 0 and B.sync(shots.limit(0), beats, "track").count() == 0
 
 
 @pytest.mark.parametrize("style", ["dynamic", "calm", "intense"])
-def test_sync_matches_plain(spark, style):
+def test_sync_keeps_its_promises(spark, style):
+    """Shots start on beats one after the other, fill their time, and end on a beat or after the last one."""
     beats = [(0.4 * i + (i * 7 % 5) * 0.05, ("strong", "normal", "weak", "normal")[i * 5 % 4]) for i in range(60)]
-    clips = [(i, 0.2 + (i * 13 % 17) / 8, (i * 29 % 100) / 100) for i in range(50)]
-    b = spark.createDataFrame([(i, *x) for i, x in enumerate(beats)], "idx long, t double, beat_type string")
-    s = spark.createDataFrame([(i, *x) for i, x in enumerate(clips)], "place int, shot_id long, duration double, highlight_score double")
-    got = [(r["shot_id"], round(r["start_time"], 9), round(r["duration"], 9), round(r["speed"], 9), r["beats"]) for r in B.sync(s, b, style).collect()]
-    assert got == plain_sync(clips, beats, B.STYLES[style])
+    rows = [(i, i, 0.2 + (i * 13 % 17) / 8, (i * 29 % 100) / 100) for i in range(50)]
+    found = B.sync(clips(spark, rows), music(spark, beats), "track", style).orderBy("start_time").collect()
+    times, slow, at, last = [t for t, _ in beats], B.STYLES[style]["range"][0], 0, -1
+    assert len(found) > 5
+    for r in found:
+        available = rows[r["shot_id"]][2]
+        assert r["start_time"] == times[at] and r["shot_id"] > last and r["beats"] >= 1
+        assert available / r["duration"] >= slow - 1e-4 and r["speed"] >= slow
+        assert at + r["beats"] >= 59 or r["end_time"] == pytest.approx(times[at + r["beats"]])
+        assert r["transition_type"] not in B.DARKENING and (r["transition_duration"] == 0) == (r["transition_type"] == "cut") and r["transition_duration"] <= 0.08
+        at, last = at + r["beats"], r["shot_id"]
+    # What was skipped before the music ended has no picture for one beat of the usual length at the slowest speed, or
+    # none for the beat it would have lain on.
+    gaps = [b - a for a, b in zip(times, times[1:], strict=False)]
+    skipped = set(range(last)) - {r["shot_id"] for r in found}
+    assert all(rows[i][2] / slow < max(gaps) for i in skipped)
+
+
+def test_closest_version(spark):
+    lengths = {"a": [5.0, 3.0, 7.0, 9.0, 8.0], "b": [8.0, 8.0], "c": [1.0, 2.0, 3.0]}
+    rows = [(k, v, x) for k, xs in lengths.items() for v, x in enumerate(xs)] + [("d", 1, 8.0)]
+    got = B.closest_version(spark.createDataFrame(rows, "track string, version int, duration double"), "track", 8.0).collect()
+    assert {r["track"]: (r["version"], r["total"], r["clips"]) for r in got} == {"a": (2, 7.0, 1), "b": (0, 8.0, 1), "c": (2, 3.0, 1)}
 
 
 def test_similarity_dedup(spark):
@@ -111,9 +109,13 @@ def test_nearest_takes_the_earlier_on_a_tie(spark):
 
 
 def test_smoothing(spark):
-    v = F.array(*[F.lit(float(x)) for x in (1, 4, 2)])
-    assert one(spark, R.moving_average(v, 3)) == pytest.approx([2.0, 7 / 3, 8 / 3])
-    assert one(spark, R.ema(v, 0.5)) == pytest.approx([1.0, 2.5, 2.25])
+    rows = [("k", i, float(x)) for i, x in enumerate((1, 4, 2))] + [("j", i, float(i * 7 % 13)) for i in range(400)]
+    got = R.smoothed(spark.createDataFrame(rows, "k string, i long, v double"), "k", ["i"], "v", 0.5).orderBy("k", "i").collect()
+    assert [(r["ema"], r["ma"]) for r in got if r["k"] == "k"] == [(1.0, 1.5), (2.5, pytest.approx(5.75 / 3)), (2.25, pytest.approx(7 / 3))]
+    want = [0.0]
+    for i in range(1, 400):
+        want.append(0.5 * (i * 7 % 13) + 0.5 * want[-1])
+    assert [r["ema"] for r in got if r["k"] == "j"] == want
 
 
 def test_backoff_and_atempo(spark):
