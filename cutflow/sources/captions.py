@@ -39,10 +39,15 @@ def parse_transcript(files: DataFrame, text: str) -> DataFrame:
     return rows.select(*rest, F.col("s.start").alias("a"), F.col("s.end").alias("b"), F.trim("s.text").alias("text"), F.col("s.words").alias("words"))
 
 
-def load_captions(spark: SparkSession, path: str) -> DataFrame:
-    """Caption files by their suffix (.srt, .vtt, .json) -> file, a, b, text."""
+def load_captions(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Caption files by their suffix (.srt, .vtt, .json), or of the kind given -> file, a, b, text."""
     for suffix, parse in ((".srt", parse_srt), (".vtt", parse_vtt), (".json", parse_transcript)):
-        if path.lower().endswith(suffix):
+        if (f".{kind}" if kind else path.lower()).endswith(suffix):
             files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
             return parse(files, "value").select("file", "a", "b", "text")
     raise ValueError(f"no caption format: {path}")
+
+
+def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Files with a transcript's JSON on each line -> a, b, text."""
+    return parse_transcript(spark.read.text(path), "value").select("a", "b", "text")
