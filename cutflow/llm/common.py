@@ -76,6 +76,23 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+CHUNK = 64
+
+
+def running(values: Column, zero: Column, op) -> Column:
+    """Of an array, at each place what op folds all values before it into, starting from zero.
+
+    Chunks are folded first, so that no array grows value by value and a long one costs little more than its length."""
+
+    def fold(xs: Column) -> Column:
+        at = lambda i: F.floor(i / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), at(F.size(xs) - 1)), lambda j: F.aggregate(F.slice(xs, j * CHUNK + 1, F.lit(CHUNK)), zero, op))
+        starts = F.aggregate(chunks, F.array(zero), lambda out, c: F.array_append(out, op(F.element_at(out, -1), c)))
+        return let(starts, lambda s: F.transform(xs, lambda _, i: op(F.get(s, at(i)), F.aggregate(F.slice(xs, at(i) * CHUNK + 1, i % CHUNK), zero, op))))
+
+    return let(values, lambda xs: F.when(F.size(xs) > 0, fold(xs)).otherwise(F.slice(xs, 1, 0)))
+
+
 def alnum_text(text: Column) -> Column:
     """The words of a text (A-Z lower-cased, runs of ASCII letters and digits and of all characters beyond ASCII), each
     after one space, and a last space: " under the mit license ". A text without words gives one space."""

@@ -1,9 +1,11 @@
 """Personal data by weak supervision; built-in functions only.
 
-Base patterns find e-mail addresses, IP addresses, card and phone numbers. Beyond those, every word with a digit or an
-at sign is a candidate for a secret. Regex, gazetteer and context labelers vote on each candidate or abstain;
-expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is and how likely each
-pattern is personal data; those probabilities train a logistic span classifier, whose verdict adds spans.
+Base patterns find e-mail addresses, IP addresses, card and phone numbers. Candidates beyond those are words with a digit
+or an at sign, words after a credential and its sign, names after a title or a known given name, and street addresses.
+Regex, gazetteer and context labelers vote on each candidate or abstain; expectation-maximisation over the counts of vote
+patterns estimates how reliable each labeler is and how likely each pattern is personal data; those probabilities train a
+logistic span classifier, whose verdict adds spans. Names without a title or a known given name, and streets without a
+number and a street word, are no candidates.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import let, table
+from .common import let, running, table
 
 #: Patterns in the order of the kinds. A run of characters of a local part, or of digits, is tried from its start only
 #: (or from where the last match ended), and nothing that can't help is tried again, so long runs cost linear time.
@@ -22,14 +24,41 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
-ADDED = "secret"
+#: Gazetteers (fixed values): titles before a name, given names, street words.
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Monsieur Madame"
+GIVEN = """
+Adam Alan Albert Alice Amanda Amy Andrea Andrew Angela Anna Anne Anthony Antonio Barbara Benjamin Brian Carlos Carol
+Caroline Catherine Charles Charlotte Christian Christine Christopher Claire Claudia Daniel David Deborah Diana Dorothy
+Edward Elena Elizabeth Emily Emma Eric Eva Francisco Frank Gary George Hannah Hans Heather Helen Henry Isabella Jack
+Jacob James Jane Janet Jason Javier Jean Jennifer Jessica Joan John Jonathan Jorge Jose Joseph Joshua Juan Judith Julia
+Julie Karen Karl Katherine Kevin Klaus Larry Laura Linda Lisa Lucas Luis Manuel Marco Margaret Maria Marie Mark Martha
+Martin Mary Matthew Megan Michael Michelle Miguel Nancy Natalie Nicholas Nicole Olivia Pamela Patricia Patrick Paul Pedro
+Peter Philip Pierre Rachel Rebecca Richard Robert Rosa Ruth Samuel Sandra Sarah Scott Sophia Sophie Stefan Stephanie
+Stephen Steven Susan Teresa Thomas Timothy Victoria Virginia William
+"""
+STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Dr Boulevard Blvd Court Ct Square Way Place Terrace"
 EDGE = "\"'`()[]{}<>,;:!?.#*$%&|"
 CREDENTIAL = "password|passwd|pwd|secret|token|api_?key|credential"
-CONTEXT = "password|passwd|pwd|secret|token|key|login|account|passport|iban|ssn|tel|phone|call|card|email|mail|contact"
+CONTEXT = "password|passwd|pwd|secret|token|key|login|account|passport|iban|ssn|tel|phone|call|card|email|mail|contact|name|address|street|lives?|born"
+
+
+def _any_of(words: str) -> str:
+    return "(?:" + "|".join(words.split()) + ")"
+
+
+WORD_START = r"(?<![^\x20\x09-\x0D(\"'])"
+CAPITAL = r"[A-Z][a-z\x{C0}-\x{24F}'-]++"
+NAME = rf"{WORD_START}(?=[A-Z])(?:{_any_of(TITLES)}\.?|{_any_of(GIVEN)})\x20{CAPITAL}(?:\x20{CAPITAL})?+"
+ADDRESS = rf"{WORD_START}[0-9]{{1,5}}[A-Za-z]?\x20(?:{CAPITAL}\x20){{1,3}}{_any_of(STREETS)}\b\.?"
+AFTER = rf"(?<=(?:{CREDENTIAL})\x20?[:=]\x20?)[^\x20\x09-\x0D:=][^\x20\x09-\x0D]{{3,}}"
+PLAIN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
+CANDIDATE = f"{NAME}|{ADDRESS}|(?:(?i){AFTER})|{PLAIN}"
+STRETCH = 256
+BEFORE = 48  # characters before a candidate that are its context
 
 #: Facts about a candidate, one bit each; labelers and the classifier see nothing else.
-FACTS = ["key_prefix", "hex_run", "credential_word", "assigned", "context", "plain_number", "number_suffix", "long", "upper_digit", "lower_digit", "base_span", "at_sign", "many_digits"]
+FACTS = ["key_prefix", "hex_run", "credential_word", "assigned", "context", "plain_number", "number_suffix", "long", "upper_digit", "lower_digit", "base_span", "at_sign", "many_digits", "given_name", "title", "street", "after_credential"]
+ADDED = {"name": ["given_name", "title"], "address": ["street"], "secret": []}  # kinds of added spans, by facts
 #: Labelers: (facts that must hold, facts that must not, vote); otherwise they abstain.
 LABELERS = {
     "regex_key": (["key_prefix"], [], 1),
@@ -42,8 +71,14 @@ LABELERS = {
     "context_word": (["context"], [], 1),
     "context_assigned": (["assigned"], [], 1),
     "shape_mixed": (["long", "upper_digit"], [], 1),
-    "shape_short": ([], ["long", "assigned", "at_sign"], 0),
+    "shape_plain": ([], ["base_span", "key_prefix", "hex_run", "credential_word", "context", "assigned", "at_sign", "given_name", "title", "street", "after_credential"], 0),
+    "gazetteer_given": (["given_name"], [], 1),
+    "regex_title": (["title"], [], 1),
+    "gazetteer_street": (["street"], [], 1),
+    "context_credential": (["after_credential"], [], 1),
 }
+TRUSTED, PRIOR = 0.8, 0.05  # reliability that labelers are held to have beforehand, and the weight of that, as a share of their votes
+RIDGE = 0.01  # of the span classifier
 #: What the classifier sees: not the base patterns, whose spans stand anyway.
 FEATURES = [f for f in FACTS if f != "base_span"]
 
@@ -52,15 +87,14 @@ def _matches(text: Column, regex: str) -> Column:
     """array<struct<start, end, m, before>> of a pattern's matches: code points, text, and what stands before it."""
 
     def place(pieces: Column, found: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string,before:string>>").alias("out"))
+        long = F.transform(found, lambda m, i: F.char_length(F.get(pieces, i)) + F.char_length(m))
 
-        def step(s: Column, i: Column) -> Column:
-            before, m = F.get(pieces, i), F.get(found, i)
-            lo = s["at"] + F.char_length(before)
-            hi = lo + F.char_length(m)
-            return F.struct(hi.alias("at"), F.array_append(s["out"], F.struct(lo.alias("start"), hi.alias("end"), m.alias("m"), F.right(before, F.lit(32)).alias("before"))).alias("out"))
+        def one(starts: Column) -> Column:
+            lo = lambda i: F.get(starts, i) + F.char_length(F.get(pieces, i))
+            around = lambda i: F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(pieces, i)), F.lit(BEFORE))
+            return F.transform(found, lambda m, i: F.struct(lo(i).alias("start"), (lo(i) + F.char_length(m)).alias("end"), m.alias("m"), around(i).alias("before")))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
+        return let(running(long, F.lit(0), lambda x, y: x + y), one)
 
     none = F.array().cast("array<struct<start:int,end:int,m:string,before:string>>")
     both = let(F.split(text, regex, -1), lambda p: let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda f: F.when(F.size(f) > 0, place(p, f)).otherwise(none)))
@@ -104,14 +138,15 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, end, facts>>: every word with a digit or an at sign, without punctuation at its ends, unless it
-    is but a part of a base span."""
+    """array<struct<start, end, facts>>: every candidate, without punctuation at its ends, unless it is but a part of a
+    base span. Base spans are looked up for STRETCH candidates at a time."""
 
-    def one(x: Column) -> Column:
+    def one(x: Column, near: Column) -> Column:
         head = F.char_length(x["m"]) - F.char_length(F.ltrim(x["m"], F.lit(EDGE)))
-        return let(F.struct((x["start"] + head).alias("start"), F.btrim(x["m"], F.lit(EDGE)).alias("m"), F.lower(x["before"]).alias("before")), facts)
+        bare = F.struct((x["start"] + head).alias("start"), F.btrim(x["m"], F.lit(EDGE)).alias("m"), F.lower(x["before"]).alias("before"))
+        return let(bare, lambda b: facts(b, near))
 
-    def facts(x: Column) -> Column:
+    def facts(x: Column, near: Column) -> Column:
         m, end = x["m"], x["start"] + F.char_length(x["m"])
         has = lambda regex: F.regexp_like(m, F.lit(regex))
         tests = {
@@ -125,17 +160,26 @@ def candidates(text: Column, base: Column) -> Column:
             "long": F.char_length(m) >= 12,
             "upper_digit": has("[A-Z]") & has("[0-9]"),
             "lower_digit": has("[a-z]") & has("[0-9]"),
-            "base_span": F.exists(base, lambda b: (b["start"] < end) & (b["end"] > x["start"])),
+            "base_span": F.exists(near, lambda b: (b["start"] < end) & (b["end"] > x["start"])),
             "at_sign": F.contains(m, F.lit("@")),
             "many_digits": F.char_length(_digits(m)) >= 8,
+            "given_name": has(rf"^{_any_of(GIVEN)}\x20[A-Z]"),
+            "title": has(rf"^{_any_of(TITLES)}\.?\x20[A-Z]"),
+            "street": has(rf"^[0-9]{{1,5}}[A-Za-z]?\x20(?:{CAPITAL}\x20){{1,3}}{_any_of(STREETS)}$"),
+            "after_credential": F.regexp_like(x["before"], F.lit(rf"({CREDENTIAL})\x20?[:=]\x20?[^a-z0-9]*$")),
         }
         bits = sum((F.when(tests[f], F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(FACTS)), F.lit(0))
         return F.struct(x["start"].alias("start"), end.alias("end"), bits.cast("int").alias("facts"))
 
+    part = lambda x, near: F.exists(near, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]) & ((b["start"] < x["start"]) | (b["end"] > x["end"])))
+
+    def stretch(c: Column) -> Column:
+        near = F.filter(base, lambda b: (b["start"] < F.element_at(c, -1)["end"]) & (b["end"] > F.get(c, F.lit(0))["start"]))
+        return let(near, lambda n: F.filter(F.transform(c, lambda x: one(x, n)), lambda x: (x["end"] > x["start"]) & ~part(x, n)))
+
     none = F.array().cast("array<struct<start:int,end:int,facts:int>>")
-    part = lambda x: F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]) & ((b["start"] < x["start"]) | (b["end"] > x["end"])))
-    found = F.filter(F.transform(_matches(text, CANDIDATE), one), lambda x: (x["end"] > x["start"]) & ~part(x))
-    return F.when(F.regexp_like(text, F.lit("[0-9@]")), found).otherwise(none)
+    cut = lambda found: F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / STRETCH).cast("int")), lambda j: let(F.slice(found, j * STRETCH + 1, F.lit(STRETCH)), stretch))
+    return let(_matches(text, CANDIDATE), lambda found: F.when(F.size(found) > 0, F.flatten(cut(found))).otherwise(none))
 
 
 def votes(facts: np.ndarray) -> np.ndarray:
@@ -148,27 +192,24 @@ def votes(facts: np.ndarray) -> np.ndarray:
 
 
 def estimate(v: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns: (probability of class 1 for each pattern, reliabilities [labeler, class, vote]).
-
-    Given the class, labelers vote 0, 1 or abstain independently. It starts from the share of votes for 1. The prior
-    holds labelers to be better than chance: with two fifths of the candidates' weight, it says that a labeler abstains
-    mostly, in the class it means a little less often, and casts its vote there only. Patterns in known are class 1."""
-    yes, no = (v == 1).sum(1), (v == 0).sum(1)
-    p = np.where(known, 1.0, (yes + 0.5) / (yes + no + 1))
-    kinds = np.stack([v == -1, v == 0, v == 1], 2).astype(float)
-    prior = np.ones((v.shape[1], 2, 3))
-    for j, (_, _, vote) in enumerate(LABELERS.values()):
-        prior[j, vote] += counts.sum() * np.eye(3)[1 + vote] * 0.1
-        prior[j, :, 0] += counts.sum() * np.array([0.3, 0.3]) + counts.sum() * 0.1 * (np.arange(2) != vote)
-    rates = prior
+    """EM over vote patterns: (probability of class 1 for each pattern, reliability of each labeler).
+
+    A labeler that votes is right with its reliability, whatever the class, and independently of the others; abstaining
+    says nothing, and before any vote both classes are as likely. EM starts from the share of votes for 1. A reliability
+    is at least one half; it is learnt from candidates that another labeler votes on too, or whose class is known, and is
+    held to be TRUSTED beforehand, with a weight of PRIOR of those and of ten more. Patterns in known are class 1."""
+    yes, no = v == 1, v == 0
+    p = np.where(known, 1.0, (yes.sum(1) + 0.5) / (yes.sum(1) + no.sum(1) + 1))
+    told = counts * (known | ((yes | no).sum(1) > 1))
+    cast = (told[:, None] * (yes | no)).sum(0)
+    weight = PRIOR * cast + 10
+    right = np.full(v.shape[1], TRUSTED)
     for _ in range(rounds if len(v) else 0):
-        weight = np.stack([counts * (1 - p), counts * p])
-        rates = np.einsum("cp,pjk->jck", weight, kinds) + prior
-        rates /= rates.sum(2, keepdims=True)
-        share = (weight.sum(1) + 1) / (weight.sum() + 2)
-        logs = np.log(share)[None] + np.einsum("pjk,jck->pc", kinds, np.log(rates))
-        p = np.where(known, 1.0, 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50))))
-    return p, rates
+        agreed = (told[:, None] * (yes * p[:, None] + no * (1 - p[:, None]))).sum(0)
+        right = np.clip((agreed + TRUSTED * weight) / (cast + weight), 0.5, 0.999)
+        odds = (yes * 1.0 - no) @ np.log(right / (1 - right))
+        p = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))))
+    return p, right
 
 
 def train(facts: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, float]]:
@@ -180,11 +221,11 @@ def train(facts: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, float
     facts, counts, p = facts[free], counts[free], p[free]
     x = np.stack([np.ones(len(facts)), *[(facts >> FACTS.index(f)) & 1 for f in FEATURES]], 1).astype(float)
     w = np.zeros(x.shape[1])
-    scale = counts / max(1.0, counts.sum() / 1000)  # so that the penalty weighs alike at every size
+    scale = np.sqrt(counts)  # so that a rare kind of candidate is learnt beside frequent ones
     for _ in range(30 if len(facts) else 0):
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (scale * (p - s)) - 0.1 * w
-        w = w + np.linalg.solve((x * (scale * s * (1 - s))[:, None]).T @ x + 0.1 * np.eye(len(w)), gradient)
+        gradient = x.T @ (scale * (p - s)) - RIDGE * w
+        w = w + np.linalg.solve((x * (scale * s * (1 - s))[:, None]).T @ x + RIDGE * np.eye(len(w)), gradient)
     return float(w[0]), dict(zip(FEATURES, map(float, w[1:]), strict=True))
 
 
@@ -192,8 +233,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with spans: array<struct<kind, start, end>>, code points, end exclusive.
 
     Base spans come first, by kind and start; then the added ones, which never overlap a base span. The labelers learn
-    from the candidates of all documents: one row for each pattern of facts that occurs, 2^13 at most, reaches the
-    driver. Null and empty texts have no spans; rows are judged alone, so nulls and repeated rows keep their row; other
+    from the candidates of all documents: one row for each pattern of facts that occurs, 2^17 at most, reaches the
+    driver. Added spans are of the kinds of ADDED. Null and empty texts have no spans; rows are judged alone, so nulls and repeated rows keep their row; other
     columns pass through; a column named spans is replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("_b", base_spans(text))
@@ -201,29 +242,37 @@ def find_spans(docs: DataFrame) -> DataFrame:
     bias, weights = train(np.array([r["facts"] for r in patterns], int), np.array([r["n"] for r in patterns], float))
     on = lambda x, f: F.shiftright(x["facts"], FACTS.index(f)).bitwiseAND(F.lit(1))
     margin = lambda x: sum((on(x, f) * F.lit(w) for f, w in weights.items()), F.lit(bias))
-    more = F.filter(candidates(text, F.col("_b")), lambda x: (on(x, "base_span") == 0) & (margin(x) >= 0))
-    more = F.transform(more, lambda x: F.struct(F.lit(ADDED).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    more = F.filter(candidates(text, F.col("_b")), lambda x: (on(x, "base_span") == 0) & (margin(x) > 0))
+    kind = lambda x: F.coalesce(*[F.when(sum((on(x, f) for f in facts), F.lit(0)) > 0, F.lit(k)) for k, facts in ADDED.items() if facts], F.lit("secret"))
+    more = F.transform(more, lambda x: F.struct(kind(x).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return found.withColumn("spans", F.concat("_b", more)).drop("_b")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in angle brackets, as <EMAIL>; overlapping spans become one."""
+    """docs with every span of text replaced by its kind in angle brackets, as <EMAIL>; of spans that overlap stays the
+    name of the first. Texts are put together for STRETCH spans at a time, so many spans cost no more each than a few."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    sorted_ = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def stretch(c: Column) -> Column:
+        begin = F.get(c, F.lit(0))["after"]
+        here = F.substring(text, begin + 1, F.element_at(c, -1)["start"] - begin)
+        return let(here, lambda t: F.array_join(F.transform(c, lambda x: F.concat(F.substring(t, x["after"] - begin + 1, x["start"] - x["after"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))), ""))
 
-    def step(s: Column, x: Column) -> Column:
-        kept = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], kept).otherwise(s["out"]).alias("out"))
+    def whole(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+        kept = F.filter(F.zip_with(spans, reach, lambda x, r: F.struct(r.alias("after"), x["start"].alias("start"), x["kind"].alias("kind"))), lambda x: x["start"] >= x["after"])
+        cut = lambda k: F.transform(F.sequence(F.lit(0), F.floor((F.size(k) - 1) / STRETCH).cast("int")), lambda j: let(F.slice(k, j * STRETCH + 1, F.lit(STRETCH)), stretch))
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(let(kept, lambda k: F.array_join(cut(k), "")), F.substring(text, last + 1, F.char_length(text)))
 
-    whole = F.aggregate(by_place, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return find_spans(docs).withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).drop("spans")
+    return find_spans(docs).withColumn("text", F.when(F.size("spans") > 0, let(sorted_, whole)).otherwise(F.col("text"))).drop("spans")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     named = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
-    base = F.filter("spans", lambda s: s["kind"] != ADDED)
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     base_named = F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, BASE), F.sha2(F.array_join(base_named, ","), 256).alias("base_sha256"), F.array_join(named, ",").alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(F.array_join(base_named, ","), 256).alias("base_sha256"), F.array_join(named, ",").alias("spans"), F.size("spans").cast("long").alias("n_spans"))

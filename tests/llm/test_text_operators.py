@@ -4,9 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyspark.sql.functions as F
 import pytest
 
 from cutflow.llm import decontaminate, licenses, pii, quality
+from cutflow.llm.common import running
 from cutflow.llm.registry import ORACLE_SQL, QUERIES
 
 from ..oracle import same
@@ -177,7 +180,7 @@ TEXTS = ["😀 a@b.c%x@d.e and a.b@c-d.example.org.", "1.2.3.4.5.6.7.8 999.1.1.1
 def test_pii_base_matches_plain(spark, data):
     rows = [*enumerate(TEXTS), *((100 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect())]
     for r in pii.find_spans(docs(spark, rows)).collect():
-        assert [tuple(s) for s in r["spans"] if s["kind"] != pii.ADDED] == plain_spans(r["text"])
+        assert [tuple(s) for s in r["spans"] if s["kind"] in pii.BASE] == plain_spans(r["text"])
         assert all(0 <= s["start"] < s["end"] <= len(r["text"]) for s in r["spans"])
 
 
@@ -194,3 +197,52 @@ def test_pii_learns_secrets_and_redacts(spark):
     assert all("<SECRET>" in r["text"] and "<EMAIL>" in r["text"] and "AKIA" not in r["text"] and "deadbeef" not in r["text"] and "version 4.0" in r["text"] for r in out if r["text"] and r["text"].startswith("word"))
     assert len(out) == len(rows) + len(ODD) and {r["text"] for r in out if r["doc_id"] == 1} == {None}
     assert pii.redact(docs(spark, [])).count() == 0
+
+
+def test_pii_names_streets_and_letter_only_secrets(spark):
+    told = ["Ask Dr. Anna Schmidt about it", "(Maria Lopez) wrote", "he lives at 221B Baker Street now", "password: correcthorse then", "token = abcdefgh", "see 12 Old Mill Rd."]
+    plain = ["the Anna of old", "Kalo Miru wrote", "in 12 streets of Rome", "the password is lost", "version 4.0 of 2024", "page 12 of 300", "it costs 25%"]
+    rows = [(i, t) for i, t in enumerate(told * 5 + plain * 20)]
+    out = {r["doc_id"]: [(s["kind"], t[s["start"] : s["end"]]) for s in r["spans"]] for r in pii.find_spans(docs(spark, rows)).collect() for t in [r["text"]]}
+    assert [out[i] for i in range(len(told))] == [[("name", "Dr. Anna Schmidt")], [("name", "Maria Lopez")], [("address", "221B Baker Street")], [("secret", "correcthorse")], [("secret", "abcdefgh")], [("address", "12 Old Mill Rd")]]
+    assert all(not out[i] for i in range(5 * len(told), len(rows)))
+
+
+def test_pii_estimate_matches_plain():
+    """EM candidate by candidate, in plain loops."""
+    rng = random.Random(8)
+    patterns = sorted({tuple(rng.choice((-1, -1, 0, 1)) if j < 4 else -1 for j in range(len(pii.LABELERS))) for _ in range(12)})
+    counts, known = [rng.randrange(1, 30) for _ in patterns], [k % 4 == 0 for k in range(len(patterns))]
+    got, right = pii.estimate(np.array(patterns), np.array(counts, float), np.array(known), rounds=7)
+    items = [(v, k) for v, n, k in zip(patterns, counts, known, strict=True) for _ in range(n)]
+    p = [1.0 if k else (sum(x == 1 for x in v) + 0.5) / (sum(x >= 0 for x in v) + 1) for v, k in items]
+    alpha = [pii.TRUSTED] * len(pii.LABELERS)
+    for _ in range(7):
+        for j in range(len(alpha)):
+            voted = [(x, v[j]) for x, (v, k) in zip(p, items, strict=True) if v[j] >= 0 and (k or sum(y >= 0 for y in v) > 1)]
+            w = pii.PRIOR * len(voted) + 10
+            alpha[j] = min(max((sum(x if y else 1 - x for x, y in voted) + pii.TRUSTED * w) / (len(voted) + w), 0.5), 0.999)
+        for i, (v, k) in enumerate(items):
+            one, zero = 0.5, 0.5
+            for j, x in enumerate(v):
+                if x >= 0:
+                    one, zero = one * (alpha[j] if x else 1 - alpha[j]), zero * (1 - alpha[j] if x else alpha[j])
+            p[i] = 1.0 if k else one / (one + zero)
+    assert right == pytest.approx(alpha) and [x for x, n in zip(got, counts, strict=True) for _ in range(n)] == pytest.approx(p)
+
+
+def test_pii_of_very_many_matches(spark):
+    """A text with a hundred thousand candidates and some thousand base spans is judged and redacted whole."""
+    text = " ".join(f"n{i} a{i}@b.co" if i % 20 == 0 else f"{i}x" for i in range(100_000))
+    frame = docs(spark, [(1, text), (2, None)])
+    r = pii.find_spans(frame).where("doc_id = 1").first()
+    assert [tuple(s) for s in r["spans"] if s["kind"] in pii.BASE] == plain_spans(text)
+    out = pii.redact(frame).where("doc_id = 1").first()["text"]
+    assert out.count("<EMAIL>") == 5000 and re.sub("<EMAIL>", "", out) == re.sub(PATTERNS["email"], "", text)
+
+
+def test_running_fold(spark):
+    for n in (0, 1, 63, 64, 65, 200):
+        xs = [i * 7 % 11 for i in range(n)]
+        got = spark.createDataFrame([(xs,)], "xs array<int>").select(running(F.col("xs"), F.lit(0), lambda a, b: a + b).alias("s"), running(F.col("xs"), F.lit(0), lambda a, b: F.greatest(a, b)).alias("m")).first()
+        assert got["s"] == [sum(xs[:i]) for i in range(n)] and got["m"] == [max([0, *xs[:i]]) for i in range(n)]
