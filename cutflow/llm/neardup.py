@@ -118,7 +118,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     near = staged(near.where(shared * K >= F.size(union) * SHARED).select("a", "b"), "near")
-    full = _full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
+    ids = near.select(F.col("a").alias("doc_id")).distinct().unionByName(near.select(F.col("b").alias("doc_id")).distinct())
+    full = _full_sets(docs, ids, size)
     side = lambda x: full.select(F.col("doc_id").alias(x), F.col("full").alias(f"f{x}"))
     both = near.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("fa", "fb"))
