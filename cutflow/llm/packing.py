@@ -143,7 +143,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int = 1024, max_cost
     longest pieces first. A group wastes part of one sequence at most beyond what best-fit wastes, so bounded groups
     cost a small part of a thousandth of the sequences. Every sequence holds at most capacity tokens, max_docs pieces
     and max_cost attention cost (capacity squared unless given); a piece over max_cost has a sequence of its own.
-    An empty table gives an empty one; rows with equal keys are separate pieces."""
+    An empty table gives an empty one; rows with equal keys are separate pieces. pieces should be a written table, whose
+    rows keep their places."""
     limits = np.array([capacity, max_docs, max_cost or float(capacity) ** 2], np.float64)
     n = max(1, -(-pieces.count() // group))
     columns = pieces.columns
@@ -155,7 +156,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int = 1024, max_cost
         return pdf.assign(sequence_id=bins + (g << 32), offset=offsets)[[*columns, "sequence_id", "offset"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(n)))
+    # The row's place is part of the hash, so that equal rows don't meet in one group.
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(n)))
     return dealt.groupBy("_g").applyInPandas(fit, schema)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from .common import SPACE, let, table
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 TRUSTED = 20_000  # the target is learnt from at most so many labelled documents, those with the smallest hash of their id
 THRESHOLD = -0.5  # nats an n-gram
 WHITE = " \t\n\x0b\x0c\r"
@@ -22,9 +22,12 @@ def word_array(text: Column) -> Column:
 
 
 def ngrams(words: Column) -> Column:
-    """Buckets of the n-grams of a document: each word, and each word's last three characters."""
+    """Buckets of the n-grams of a document: each word, each pair of neighbouring words, and each word's last three
+    characters; 3 n - 1 of them for n words."""
     bucket = lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")
-    return F.concat(F.transform(words, lambda w: bucket(F.xxhash64(w))), F.transform(words, lambda w: bucket(F.xxhash64(F.right(w, F.lit(3)), F.lit(3)))))
+    single = F.transform(words, lambda w: bucket(F.xxhash64(w)))
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: bucket(F.xxhash64(a, b)))
+    return F.concat(single, pairs, F.transform(words, lambda w: bucket(F.xxhash64(F.right(w, F.lit(3)), F.lit(3)))))
 
 
 def repeated_words(words: Column, size: int = 5) -> Column:
@@ -93,7 +96,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             F.size(w).cast("long").alias("n_words"),
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
-            F.when(F.size(w) == 0, F.lit(0.0)).otherwise(total(ngrams(w)) / (2 * F.size(w))).alias("llr"),
+            F.when(F.size(w) == 0, F.lit(0.0)).otherwise(total(ngrams(w)) / (3 * F.size(w) - 1)).alias("llr"),
         ),
     )
     symbols = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))

@@ -147,6 +147,35 @@ def test_packing_round_trip(spark):
     assert packing.packed_documents(docs(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize(("limits", "rule"), [({"max_docs": 3}, "norm"), ({"max_cost": 4096.0**2 / 4}, "norm"), ({"max_docs": 5, "max_cost": 4096.0**2 / 3, "weights": (1.0, 1.0, 1.0)}, "dot")])
+def test_packing_keeps_every_limit(spark, limits, rule):
+    rng = random.Random(7)
+    sizes = [rng.choice([5, 60, 700, 1500, 3000]) for _ in range(400)]
+    pieces = spark.createDataFrame([(i, 0, n, i) for i, n in enumerate(sizes)], "doc_id long, piece int, length long, ids_crc32 long")
+    bins = {}
+    for r in packing.pack(pieces, rule=rule, group=150, **limits).collect():
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    most = limits.get("max_cost", 4096.0**2)
+    for b in bins.values():
+        b.sort()
+        lengths = [n for _, n in b]
+        assert [o for o, _ in b] == [sum(lengths[:k]) for k in range(len(b))] and sum(lengths) <= 4096
+        assert len(b) <= limits.get("max_docs", 1024) and (len(b) == 1 or sum(n * n for n in lengths) <= most * (1 + 1e-9))
+    alone = sum(n * n > most for n in sizes)
+    least = max(sum(sizes) / 4096, len(sizes) / limits.get("max_docs", 1024), alone + sum(n * n for n in sizes if n * n <= most) / most)
+    assert sum(map(len, bins.values())) == len(sizes) and len(bins) <= 1.25 * least + 4
+    if "max_docs" in limits:
+        assert any(len(b) == limits["max_docs"] for b in bins.values())
+
+
+def test_packing_of_equal_rows(spark):
+    """Rows that are equal in everything are dealt into groups like others."""
+    rows = docs(spark, [(None, "same")] * 4000).repartition(4)
+    got = packing.pack(packing.staged(packing.token_pieces(rows, packing.tokenizer_file()), "pieces"), group=500).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 4000 and len(groups) == 8 and max(groups.values()) < 700
+
+
 # ---- urls
 
 

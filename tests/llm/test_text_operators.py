@@ -1,12 +1,16 @@
 """Quality rules, decontamination, licenses, personal data: against plain versions, and odd rows."""
 
 import hashlib
+import math
 import random
 import re
+import struct
+from collections import Counter
 
 import numpy as np
 import pyspark.sql.functions as F
 import pytest
+import xxhash
 
 from cutflow.llm import decontaminate, licenses, pii, quality
 from cutflow.llm.common import running
@@ -59,6 +63,32 @@ def test_quality_odd_rows(spark):
     assert quality.quality_rules(docs(spark, []), labels.limit(0)).count() == 0
 
 
+def test_quality_ratio_matches_plain(spark):
+    """llr of a small corpus from plain counts of the hashed words, pairs and endings."""
+    rng = random.Random(6)
+    good, raw = [f"gut{i}" for i in range(30)], [f"raw{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(good if i % 3 == 0 else raw, k=rng.randrange(1, 40)))) for i in range(90)] + [(500, "über ßa"), (501, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i == 9)) for i in range(60)], "doc_id long, quality int, toxic int")
+
+    def h(*words, end=None):
+        x = 42
+        for w in words:
+            x = xxhash.xxh64_intdigest(w.encode(), seed=x)
+        return (x if end is None else xxhash.xxh64_intdigest(struct.pack("<i", end), seed=x)) % quality.BUCKETS
+
+    grams = {i: [*(h(x) for x in w), *(h(a, b) for a, b in zip(w, w[1:], strict=False)), *(h(x[-3:], end=3) for x in w)] for i, t in rows for w in [(t or "").split()]}
+    target, whole = Counter(), Counter()
+    for i, g in grams.items():
+        whole.update(g)
+        if i < 60 and i % 3 == 0 and i != 9:
+            target.update(g)
+    log = lambda c, x: math.log((c[x] + 1) / (sum(c.values()) + quality.BUCKETS))
+    want = {i: sum(log(target, x) - log(whole, x) for x in g) / len(g) if g else 0.0 for i, g in grams.items()}
+    out = {r["doc_id"]: r for r in quality.quality_rules(docs(spark, rows), labels).collect()}
+    assert {i: r["llr"] for i, r in out.items()} == pytest.approx(want, abs=1e-9)
+    assert all(r["kept"] == (not r["base_failed"] and want[i] >= quality.THRESHOLD) for i, r in out.items())
+
+
 # ---- decontamination
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
