@@ -20,6 +20,11 @@ BATCH = 4096  # vectors judged in one round
 TILE = 512  # of them compared with the others at a time
 
 
+def within(shots: DataFrame, seconds: float) -> DataFrame:
+    """Shots that start in the first seconds of their source; all of them for 0."""
+    return shots.where(F.col("start_time") < seconds) if seconds > 0 else shots
+
+
 def with_separation(shots: DataFrame, gap: float | str, most: int | str) -> DataFrame:
     """Adds most and min_sep: the gap, or more if the source is long; 0 without a gap. gap and most are numbers, or the
     names of columns that are the same for all shots of a source."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 STATUSES = ["pending", "queued", "running", "done", "error", "canceled"]
 TERMINAL = ["done", "error", "canceled"]
@@ -40,12 +40,13 @@ def fail(tasks: DataFrame, now: float, retryable: Column) -> DataFrame:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """events(task_id, seq, kind, now, retryable) -> task_id, status, attempts, progress, next_retry_at after all of them.
+    """events(task_id, seq, kind, now, retryable, max_attempts, value) -> task_id, status, attempts, progress,
+    next_retry_at after all of them.
 
-    Kinds: create, enqueue, claim, progress, done, fail, cancel; one that does not fit the state changes nothing. A task
-    has a few events, folded in order of seq."""
+    Kinds: create, enqueue, claim, progress (to value, of a running task), done, fail, cancel; one that does not fit the
+    state changes nothing. A task has a few events, folded in order of seq."""
     state = "struct<status:string,attempts:int,progress:int,retry:double>"
-    ordered = events.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "now", "retryable", "max_attempts"))).alias("e"))
+    ordered = events.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "now", "retryable", "max_attempts", "value"))).alias("e"))
 
     def step(s: Column, e: Column) -> Column:
         def new(status=None, attempts=None, progress=None, retry=None) -> Column:
@@ -59,6 +60,7 @@ def fold_events(events: DataFrame) -> DataFrame:
             F.when(kind == "create", new("pending", F.lit(0), F.lit(0)))
             .when((kind == "enqueue") & open_, new("queued"))
             .when((kind == "claim") & (status == "queued") & ready, new("running", s["attempts"] + 1))
+            .when((kind == "progress") & (status == "running"), new(progress=F.least(F.greatest(e["value"], F.lit(0)), F.lit(100)), retry=s["retry"]))
             .when((kind == "done") & (status == "running"), new("done", progress=F.lit(100)))
             .when((kind == "fail") & (status == "running"), new(F.when(again, F.lit("queued")).otherwise(F.lit("error")), retry=F.when(again, e["now"] + backoff(s["attempts"]))))
             .when((kind == "cancel") & open_, new("canceled"))
@@ -68,3 +70,65 @@ def fold_events(events: DataFrame) -> DataFrame:
     start = F.lit(None).cast(state)
     first = F.coalesce(start, F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("progress"), F.lit(None).cast("double").alias("retry")).cast(state))
     return ordered.select("task_id", F.aggregate("e", first, step).alias("s")).select("task_id", "s.status", "s.attempts", "s.progress", F.col("s.retry").alias("next_retry_at"))
+
+
+def create(tasks: DataFrame, new: DataFrame) -> DataFrame:
+    """tasks and the new ones, new(id, kind, payload, priority, max_attempts, at): pending, numbered on from the last seq
+    in order of at. A task of an id that is there already takes its place, and of equal new ids the last one stands. new
+    is one batch of requests, numbered in one task."""
+    last = new.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("at")))).where("_n = 1")
+    top = tasks.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_top"))
+    rows = last.crossJoin(F.broadcast(top)).withColumn("seq", F.col("_top") + F.row_number().over(Window.orderBy("at", "id")))  # top is one row
+    made = rows.select("id", "kind", F.lit("pending").alias("status"), F.lit(0).alias("progress"), F.lit(0).alias("attempts"), "max_attempts", "priority", "seq", F.to_json("payload").alias("payload"), F.create_map().cast("map<string,string>").alias("extra"))
+    return tasks.join(last.select("id"), "id", "left_anti").select(*made.columns).unionByName(made)
+
+
+#: Columns of a task that a patch sets; other keys of it go to extra. Those of INTEGERS are 0 for what is no number.
+COLUMNS, INTEGERS = ["kind", "status", "payload"], ["progress", "attempts", "max_attempts", "priority"]
+
+
+def update(tasks: DataFrame, patches: DataFrame) -> DataFrame:
+    """patches(id, fields: map<string,string>), one for each id at most -> tasks with the fields set; unknown keys are
+    merged into extra, the newer value of a key stands."""
+    both = tasks.join(patches.select("id", F.col("fields").alias("_f")), "id", "left")
+    has = lambda c: F.coalesce(F.map_contains_key("_f", F.lit(c)), F.lit(False))
+    value = lambda c: F.try_element_at("_f", F.lit(c))
+    whole = lambda c: F.coalesce(value(c).try_cast("double").cast("int"), F.lit(0))
+    unknown = F.map_filter(F.coalesce("_f", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*COLUMNS, *INTEGERS, "id"))
+    extra = F.map_concat(F.map_filter("extra", lambda k, _: ~F.map_contains_key(unknown, k)), unknown)
+    sets = {c: F.when(has(c), value(c)).otherwise(F.col(c)) for c in COLUMNS} | {c: F.when(has(c), whole(c)).otherwise(F.col(c)) for c in INTEGERS}
+    return both.withColumns(sets | {"extra": extra}).drop("_f")
+
+
+def with_extra(tasks: DataFrame) -> DataFrame:
+    """id, task: each task as a map; its own columns stand over keys of extra with the same name."""
+    own = [c for c in tasks.columns if c not in ("id", "extra")]
+    columns = F.create_map(*[x for c in own for x in (F.lit(c), F.col(c).cast("string"))])
+    return tasks.select("id", F.map_concat(F.map_filter("extra", lambda k, _: ~k.isin(*own)), columns).alias("task"))
+
+
+def cancel(tasks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Tasks of ids(id) that have not ended are canceled."""
+    marked = tasks.join(ids.select("id", F.lit(True).alias("_c")), "id", "left")
+    return marked.withColumn("status", F.when(F.col("_c") & ~F.col("status").isin(TERMINAL), F.lit("canceled")).otherwise(F.col("status"))).drop("_c")
+
+
+def run_claimed(claimed: DataFrame, handlers: dict, now: float) -> DataFrame:
+    """Outcomes of claimed tasks(kind, payload, attempts, max_attempts, ...): handlers gives for each kind a function of
+    the payload column that returns null, or struct(message, retryable) of a failure. An unknown kind fails for good."""
+    failure = "struct<message:string,retryable:boolean>"
+    unknown = F.struct(F.concat(F.lit("no handler: "), F.coalesce("kind", F.lit(""))).alias("message"), F.lit(False).alias("retryable")).cast(failure)
+    outcome = unknown
+    for kind, handler in handlers.items():
+        outcome = F.when(F.col("kind") == kind, handler(F.col("payload")).cast(failure)).otherwise(outcome)
+    done = claimed.withColumn("_o", outcome)
+    again = F.col("_o.retryable") & (F.col("attempts") < F.col("max_attempts"))
+    status = F.when(F.col("_o").isNull(), F.lit("done")).when(again, F.lit("queued")).otherwise(F.lit("error"))
+    return done.withColumns({"status": status, "message": F.col("_o.message"), "next_retry_at": F.when(F.col("_o").isNotNull() & again, now + backoff(F.col("attempts")))}).drop("_o")
+
+
+def table_line() -> Column:
+    """A task as a line of a table: id, kind, status, attempts, progress, message."""
+    cut = lambda c, n: F.rpad(F.left(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(n)), n, " ")
+    tries = F.rpad(F.concat(F.col("attempts").cast("string"), F.lit("/"), F.col("max_attempts").cast("string")), 5, " ")
+    return F.concat(F.lit("  "), cut("id", 14), F.lit(" "), cut("kind", 8), F.lit(" "), cut("status", 9), F.lit(" "), tries, F.lit(" "), F.lpad(F.col("progress").cast("string"), 4, " "), F.lit("%  "), F.left(F.coalesce("message", F.lit("")), F.lit(38)))

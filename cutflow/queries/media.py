@@ -35,6 +35,11 @@ def q_frame_score(spark, d):
     return s.select("shot_id", frame_score(F.col("magnitude"), F.col("shake") / 3).alias("frame_score"))
 
 
+def q_source_cap(spark, d):
+    """Shots of the first 120 hours of each source, as far as it is analysed."""
+    return S.within(shots(spark, d), 120 * 3600.0).select("shot_id", "source_video")
+
+
 def q_source_spans(spark, d):
     return S.with_separation(shots(spark, d), 1.0, 15).groupBy("source_video").agg(F.count("*").alias("n"), F.max("min_sep").alias("min_sep"))
 
@@ -300,6 +305,7 @@ select track, b.version as version, b.total as total, b.clips as clips from r"""
 QUERIES = {
     "highlight_score": (q_highlight_score, f"with {SCORED} select shot_id, source_video, highlight_score from scored"),
     "frame_score": (q_frame_score, f"with {SHOTS}, m as (select shot_id, magnitude as s, shake / 3 as m from shots) select shot_id, 0.7 * ln(1 + s) + 0.3 * greatest(case when m between 0.35 and 0.65 then 1.0 when m < 0.35 then m / 0.35 else (1 - m) / 0.35 end, 0.0) * ln(1 + s) as frame_score from m"),
+    "source_cap": (q_source_cap, f"with {SHOTS} select shot_id, source_video from shots where start_time < 432000"),
     "source_spans": (q_source_spans, f"with {SHOTS} select source_video, count(*) as n, greatest(1.0, (max(end_time) - min(start_time)) / 37.5)::double as min_sep from shots group by source_video"),
     "select_highlights": (q_select_highlights, f"with recursive {SELECTED} select * from picked"),
     "interleave_sources": (q_interleave_sources, f"with recursive {SELECTED}, f as (select source_video, highlight_score as s, start_time as t from picked where rank = 0) select row_number() over (order by rank, s desc, t, source_video) - 1 as place, source_video, shot_id from picked join f using (source_video) qualify place < 50"),

@@ -136,7 +136,7 @@ QUERIES = {
     "best_format": (q_best_format, "select l_orderkey as video, arg_max(l_linenumber, {'f': (l_quantity * 30)::int <= 720, 'h': (l_quantity * 30)::int, 'b': l_partkey, 'i': l_linenumber}) as id, arg_max((l_quantity * 30)::int, {'f': (l_quantity * 30)::int <= 720, 'h': (l_quantity * 30)::int, 'b': l_partkey, 'i': l_linenumber}) as height, arg_max(l_partkey, {'f': (l_quantity * 30)::int <= 720, 'h': (l_quantity * 30)::int, 'b': l_partkey, 'i': l_linenumber}) as bandwidth from lineitem group by l_orderkey"),
     "text_query_vector": (q_text_query_vector, _vector_sql()),
     "value_histogram": (q_histogram, f"with {_S}, b as (select track, least(floor(v / (select max(v) from s) * 8), 7)::int as bin from s), n as (select track, bin, count(*) as n from b group by all) select *, n / sum(n) over (partition by track) as share from n"),
-    "similarity_dedup": (q_similarity_dedup, None),
+    "similarity_dedup": (q_similarity_dedup, "with o as (select list([{'id': vec_id, 'v': list_transform(embedding, lambda x: x::double)}] order by vec_id % 17 desc, vec_id) as l from embeddings), k as (select list_reduce(l, lambda a, x: case when len(list_filter(a, lambda y: 1 - list_sum(list_transform(list_zip(x[1].v, y.v), lambda z: z[1] * z[2])) < 0.25)) > 0 then a else list_concat(a, x) end) as k from o), s as (select unnest(list_transform(k, lambda x: x.id)) as id from k) select vec_id as id, vec_id not in (select id from s) as dropped from embeddings"),
     "window_min_mse": (q_window_min_mse, MSE),
     "crop_expression": (q_crop_expression, f"with {_S}, k as (select id, (id % 5)::int as t, (id % 7)::int as v from s) select id, 'if(lt(t,' || t + 2 || '),' || v || '+(3)*(t-' || t || ')/2,if(lt(t,' || t + 4 || '),' || v + 3 || '+(3)*(t-' || t + 2 || ')/2,' || v + 6 || '))' as expr from k"),
     "content_fingerprint": (q_fingerprint, "select page_id, left(sha1(url), 16) as key, left(md5(url), 10) as short from pages"),

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 from ..streaming import tasks as S
 from ..tables import shared_folder, table
-from .work import FOLD
+from .work import FOLD, event_kind
 
 
 def _folder(spark: SparkSession) -> str:
@@ -19,9 +19,8 @@ def _events(spark, d):
 
 
 def q_task_state_stream(spark, d):
-    kind = F.create_map(*[F.lit(x) for x in ("signup", "create", "view", "enqueue", "click", "claim", "purchase", "done", "error", "fail")])
     seq = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") * 1_000_000 + F.col("event_id")
-    e = _events(spark, d).select(F.col("user_id").alias("task_id"), seq.alias("seq"), F.element_at(kind, F.col("event_type")).alias("kind"), F.col("event_id").cast("double").alias("now"), (F.col("event_id") % 3 != 0).alias("retryable"), F.lit(3).alias("max_attempts"))
+    e = _events(spark, d).select(F.col("user_id").alias("task_id"), seq.alias("seq"), event_kind().alias("kind"), F.col("event_id").cast("double").alias("now"), (F.col("event_id") % 3 != 0).alias("retryable"), F.lit(3).alias("max_attempts"), (F.col("event_id") % 120).cast("int").alias("value"))
     out = S.drain(S.task_states(e), _folder(spark), "update")
     return out.groupBy("task_id").agg(F.max_by(F.struct("status", "attempts", "progress"), "batch").alias("x")).select("task_id", "x.status", "x.attempts", "x.progress")
 

@@ -12,7 +12,7 @@ OUT = "task_id long, status string, attempts long, progress long"
 STATE = "status string, attempts long, progress long, retry double"
 
 
-def step(state: tuple, kind: str, now: float, retryable: bool, most: int) -> tuple:
+def step(state: tuple, kind: str, now: float, retryable: bool, most: int, value: int) -> tuple:
     """State (status, attempts, progress, retry) after one event; an event that does not fit changes nothing."""
     status, attempts, progress, retry = state
     if kind == "create":
@@ -21,6 +21,8 @@ def step(state: tuple, kind: str, now: float, retryable: bool, most: int) -> tup
         return "queued", attempts, progress, None
     if kind == "claim" and status == "queued" and (retry is None or retry <= now):
         return "running", attempts + 1, progress, None
+    if kind == "progress" and status == "running":
+        return status, attempts, min(max(value, 0), 100), retry
     if kind == "done" and status == "running":
         return "done", attempts, 100, None
     if kind == "fail" and status == "running":
@@ -35,13 +37,13 @@ def _update(key: tuple, batches, state: GroupState):
     now = state.get if state.exists else (None, 0, 0, None)
     events = pd.concat(list(batches)).sort_values("seq", kind="stable")
     for e in events.itertuples():
-        now = step(now, e.kind, e.now, e.retryable, e.max_attempts)
+        now = step(now, e.kind, e.now, e.retryable, e.max_attempts, e.value)
     state.update(now)
     yield pd.DataFrame({"task_id": [key[0]], "status": [now[0]], "attempts": [now[1]], "progress": [now[2]]})
 
 
 def task_states(events: DataFrame) -> DataFrame:
-    """Streaming events(task_id, seq, kind, now, retryable, max_attempts) -> the changed tasks' states, in update mode.
+    """Streaming events(task_id, seq, kind, now, retryable, max_attempts, value) -> the changed tasks' states, in update mode.
 
     State is one small row for each task, kept in the state store; events of a batch are applied in order of seq."""
     return events.groupBy("task_id").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
