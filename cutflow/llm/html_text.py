@@ -1,8 +1,10 @@
 """Main text of web pages: subtrees that recur on many pages of a host are site template and go.
 
 A small parser turns a page into elements and text blocks and hashes every element's subtree. Spark counts the hashes
-per host; those found on many of its pages are deleted from every page that has them. What a page of a small host still
-has of navigation, forms, adverts and comments is told by its tags and names.
+per host; those found on many of its pages are deleted from every page that has them. Around an article a subtree is
+template if it stands by a few different articles of its host, however large that is; inside one, and on pages that mark
+none, copies of the text itself recur too, so there it must stand on a share of the host's pages. What can't recur, as
+comments, and what a page of a small host has of navigation, forms and adverts is told by its tags and names.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import join_checked, staged, table
 from .urls import host_path
 
-MIN_PAGES = 4  # a template subtree is on so many pages of its host at least,
-MIN_SHARE = 0.05  # and on this share of them
+MIN_PAGES = 4  # a template subtree stands by so many different texts of its host at least;
+MIN_SHARE = 0.05  # inside articles, and on pages without one, also on this share of the host's pages
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -142,25 +144,32 @@ def inside(nodes: list[Node], marked: set[int]) -> list[bool]:
     return out
 
 
-def candidates(page: str | None) -> list[int]:
-    """Hashes of the subtrees that may be site template: block elements, but not those that hold the main text, and in
-    it only boxes, not its paragraphs and headings: articles are copied too."""
+def candidates(page: str | None) -> tuple[list[int], list[int], int]:
+    """Hashes of the subtrees that may be site template, around the article and elsewhere, and of the main text.
+
+    They are block elements, but not those that hold the main text, and in it only boxes, not its paragraphs and
+    headings: articles are copied too."""
     nodes, blocks = parse(page)
     top = roots(nodes, blocks)
     article, holds = inside(nodes, top), set()
+    dropped = inside(nodes, {i for i, n in enumerate(nodes) if n.away})
+    text = "\n".join(t for k, t in blocks if article[k] and not dropped[k])
     for k in top:
         while k >= 0:
             holds.add(k)
             k = nodes[k].parent
     boxes = {"div", "section", "ul", "ol", "dl", "table", "aside", "nav", "figure"}
-    if top == {0}:  # no article: the page's paragraphs may be template, but not what holds its headline
+    none = top == {0}
+    if none:  # no article: the page's paragraphs may be template, but not what holds its headline
         article = [False] * len(nodes)
         for i, n in enumerate(nodes):
             k = i
             while n.tag == "h1" and k >= 0:
                 holds.add(k)
                 k = nodes[k].parent
-    return sorted({n.hash - (1 << 63) for i, n in enumerate(nodes) if n.parts and i not in holds and n.tag in (boxes if article[i] else BLOCK)})
+    found = [(i, n.hash - (1 << 63)) for i, n in enumerate(nodes) if n.parts and i not in holds and n.tag in (boxes if article[i] else BLOCK)]
+    around = {h for i, h in found if not none and not article[i]}
+    return sorted(around), sorted({h for _, h in found} - around), xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def main_text(page: str | None, templates: list[int] | None) -> str:
@@ -174,9 +183,10 @@ def main_text(page: str | None, templates: list[int] | None) -> str:
 
 
 def _candidates(batches):
-    schema = pa.schema([("key", pa.int64()), ("host", pa.string()), ("subtrees", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("host", pa.string()), ("around", pa.list_(pa.int64())), ("within", pa.list_(pa.int64())), ("main", pa.int64())])
     for b in batches:
-        yield pa.record_batch([b.column(0), b.column(1), pa.array([candidates(x) for x in b.column(2).to_pylist()], pa.list_(pa.int64()))], schema=schema)
+        found = [candidates(x) for x in b.column(2).to_pylist()]
+        yield pa.record_batch([b.column(0), b.column(1), *(pa.array([f[k] for f in found], schema.field(k + 2).type) for k in range(3))], schema=schema)
 
 
 def _packed(batches):
@@ -195,11 +205,14 @@ def _extracted(batches):
 
 
 def template_subtrees(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """found(key, host, subtrees) -> host, subtree: those on at least min_pages pages, and min_share, of their host."""
+    """found(key, host, around, within, main) -> host, subtree, around: those that stand by at least min_pages different
+    texts of their host; if not around an article, also on min_share of its pages. Counted text by text first, so a
+    subtree of very many pages is spread over tasks."""
     pages = found.groupBy("host").agg(F.count("*").alias("pages"))
-    rows = found.select("host", F.explode("subtrees").alias("subtree"))
-    counts = rows.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(pages, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    rows = found.select("host", "main", F.explode("around").alias("subtree"), F.lit(True).alias("around")).unionByName(found.select("host", "main", F.explode("within").alias("subtree"), F.lit(False).alias("around")))
+    texts = rows.groupBy("host", "subtree", "around", "main").agg(F.count("*").alias("n"))
+    counts = texts.groupBy("host", "subtree", "around").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where(F.col("texts") >= min_pages)
+    return counts.join(pages, "host").where(F.col("around") | (F.col("n") >= min_share * F.col("pages"))).select("host", "subtree", "around")
 
 
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -210,10 +223,10 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     template hashes are joined to it by its own key, so pages of one large host don't meet."""
     pages = pages.select("page_id", "url", "html")
     keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "html")
-    found = staged(keyed.select("key", host_path(F.col("url"))["host"].alias("host"), "html").mapInArrow(_candidates, "key long, host string, subtrees array<long>"), "subtrees")
+    found = staged(keyed.select("key", host_path(F.col("url"))["host"].alias("host"), "html").mapInArrow(_candidates, "key long, host string, around array<long>, within array<long>, main long"), "subtrees")
     templates = staged(template_subtrees(found, min_pages, min_share), "templates")
-    each = found.select("key", "host", F.explode("subtrees").alias("subtree"))
-    gone = join_checked(each, templates, ["host", "subtree"], "inner").groupBy("key").agg(F.collect_set("subtree").alias("templates"))
+    each = found.select("key", "host", F.explode("around").alias("subtree"), F.lit(True).alias("around")).unionByName(found.select("key", "host", F.explode("within").alias("subtree"), F.lit(False).alias("around")))
+    gone = join_checked(each, templates, ["host", "subtree", "around"], "inner").groupBy("key").agg(F.collect_set("subtree").alias("templates"))
     ids = dict(pages.dtypes)
     packed = keyed.mapInArrow(_packed, f"key long, page_id {ids['page_id']}, url string, packed binary")
     out = packed.join(gone, "key", "left").select("page_id", "url", "packed", "templates").mapInArrow(_extracted, f"page_id {ids['page_id']}, url string, text string")

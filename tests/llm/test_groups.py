@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 
 import corpus_pipeline
@@ -248,9 +249,68 @@ def test_page_text(spark):
     assert (text[51], text[52], text[53], text[54]) == ("", "", "broken page without end", "plain & simple") and text[55].startswith("deep")
 
 
+ROTATING = "<div class='k1'><p>Offer number {} ends soon</p></div>"
+PLAIN = "<html><body><div class='a'><ul><li>Start<li>Topics {}</ul></div>{}<main><article><h1>Story {}</h1><p>All about {}.</p><p>Shared quote.</p></article></main><div class='z'><p>Imprint</p></div></body></html>"
+
+
+@pytest.mark.parametrize("pages", [30, 600])
+def test_templates_with_untelling_names(spark, pages):
+    """Menus and boxes whose names tell nothing go by their recurrence alone, on a small host and on a large one; a
+    box that rotates through 20 texts too. What all articles quote stays, and so do equal pages."""
+    rotate = 7 if pages == 30 else 20
+    rows = [(i, f"https://big.example.org/{i}", PLAIN.format(i % 3, ROTATING.format(i % rotate), i, i)) for i in range(pages)]
+    rows += [(10_000 + i, "https://small.example.org/", "<div><p>Only this</p></div>") for i in range(50)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html_text.extract_text(frame).collect()}
+    assert all(text[i] == f"Story {i}\nAll about {i}.\nShared quote." for i in range(pages)) and all(text[10_000 + i] == "Only this" for i in range(50))
+    # Without an article element only the method tells the menu from the text.
+    bare = [(i, u, h.replace("<article>", "").replace("</article>", "").replace("main>", "div>")) for i, u, h in rows[:pages]]
+    frame = spark.createDataFrame(bare, "page_id long, url string, html string")
+    with_method = {r["page_id"]: r["text"] for r in html_text.extract_text(frame).collect()}
+    without = {r["page_id"]: r["text"] for r in html_text.extract_text(frame, min_pages=10**9).collect()}
+    assert all("Imprint" not in t and "Topics" not in t and t.startswith("Story") == (rotate <= 20) for t in with_method.values())
+    assert all("Imprint" in t and "Topics" in t for t in without.values())
+
+
+def test_template_counts_match_plain(spark, data):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    rows += [(5000 + i, f"https://x.example.org/{i % 3}", PLAIN.format(i % 2, ROTATING.format(i % 2), i // 2, i)) for i in range(24)] + [(6000, None, None), (6001, "https://x.example.org", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen, pages = {}, Counter()
+    for _, url, page in rows:
+        host = (url or "").split("://", 1)[1].split("/")[0].lower() if "://" in (url or "") else ""
+        pages[host] += 1
+        around, within, main = html_text.candidates(page)
+        for near, hashes in ((True, around), (False, within)):
+            for h in hashes:
+                seen.setdefault((host, h, near), []).append(main)
+    want = {k for k, mains in seen.items() if len(set(mains)) >= 4 and (k[2] or len(mains) >= 0.05 * pages[k[0]])}
+    found = frame.select("page_id", urls.host_path(F.col("url"))["host"].alias("host"), "html").mapInArrow(html_text._candidates, "key long, host string, around array<long>, within array<long>, main long")
+    got = {tuple(r) for r in html_text.template_subtrees(found).collect()}
+    assert got == want and len(want) > 3
+    assert html_text.extract_text(frame.limit(0)).count() == 0
+
+
 # ---- scores
 
 
+def test_dense_ridge_and_ties(spark):
+    """Partition sums solve the same ridge regression as one dense system; equal texts have equal scores."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, classifier.N_STATS)), rng.integers(0, 2, 300).astype(float)
+    project = classifier.Projection(x.mean(0), x.std(0))
+    frame = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y, strict=True)], "x array<double>, y double").repartition(5)
+    sums = np.zeros((classifier.WIDTH + 1) * (classifier.WIDTH + 2))
+    for r in frame.mapInArrow(classifier._normal_equations(project), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        sums[r["k"]] = r["v"]
+    z = project(x)
+    assert sums.reshape(classifier.WIDTH + 1, -1) == pytest.approx(z.T @ np.hstack([z, y[:, None]]), abs=1e-8)
+    rows = [(i, "same text again" if i % 2 else "word " * (200_000 if i == 40 else 5)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in classifier.quality_scores(docs(spark, rows), labels).collect()}
+    assert len({got[i] for i in range(1, 60, 2)}) == 1 and len({got[i] for i in range(0, 60, 2) if i != 40}) == 1 and got[1] > got[0] and 0 <= got[40] <= 1
+
+
 def test_classifier_held_out_accuracy(spark):
     rng = random.Random(2)
     rows = [(i, (" ".join(rng.choices(WORDS, k=80)).capitalize() + ".") if i % 3 else " ".join(w.upper() + "!!" for w in rng.choices(WORDS, k=60))) for i in range(900)]
