@@ -363,6 +363,34 @@ def test_language_model(spark, bucket):
     assert hpylm.score_documents(docs(spark, []), bucket).count() == 0
 
 
+def test_language_model_odd_rows(spark):
+    """Rows without an id are told apart by their texts; equal rows have equal scores; a very long text is one row."""
+    rows = [(None, f"no id {i % 7} here") for i in range(40)] + [(5, "twice"), (5, "twice"), (5, "other"), (9, "long words " * 60_000)]
+    got = hpylm.score_documents(docs(spark, rows)).collect()
+    _, base = plain_base(rows)
+    assert len(got) == len(rows)
+    want = Counter((i, *base(i, t)[1:3], round(base(i, t)[3], 4)) for i, t in rows)
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in got) == want
+    assert len({r["score"] for r in got if r["doc_id"] is None}) <= 7 and len({r["score"] for r in got if r["doc_id"] == 5}) == 2
+
+
+def test_a_chain_is_repeated_as_it_was():
+    """Repeating the sweeps of all rounds gives the state they left."""
+    rng = np.random.default_rng(2)
+    word, ctx = np.repeat(np.arange(40), hpylm.CONTEXTS), np.tile(np.arange(hpylm.CONTEXTS), 40)
+    count = rng.poisson(0.4, len(word))
+    s = [hpylm.Totals(hpylm.Seating(word, ctx, count).totals())]
+    once = hpylm.Seating(word, ctx, count)
+    steps = once.run(s, 11)
+    for _ in range(2):
+        s.append(hpylm.Totals(once.totals()))
+        once.sweep(s[-1], steps)
+    again = hpylm.Seating(word, ctx, count)
+    again.run(s, 11)
+    assert (again.fine == once.fine).all() and (again.mid_t == once.mid_t).all() and (again.root_t == once.root_t).all()
+    assert (once.fine <= count).all() and (once.fine >= (count > 0)).all()
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     word, ctx = np.repeat(np.arange(50), hpylm.CONTEXTS), np.tile(np.arange(hpylm.CONTEXTS), 50)
