@@ -229,13 +229,13 @@ def train(facts: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, float
     return float(w[0]), dict(zip(FEATURES, map(float, w[1:]), strict=True))
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with spans: array<struct<kind, start, end>>, code points, end exclusive.
+def find_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """docs(doc_id, text, ...) with a column `name`: array<struct<kind, start, end>>, code points, end exclusive.
 
     Base spans come first, by kind and start; then the added ones, which never overlap a base span. The labelers learn
     from the candidates of all documents: one row for each pattern of facts that occurs, 2^17 at most, reaches the
     driver. Added spans are of the kinds of ADDED. Null and empty texts have no spans; rows are judged alone, so nulls and repeated rows keep their row; other
-    columns pass through; a column named spans is replaced."""
+    columns pass through; a column of that name is replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("_b", base_spans(text))
     patterns = found.select(F.explode_outer(candidates(text, F.col("_b")))).select("col.facts").where("facts is not null").groupBy("facts").agg(F.count("*").alias("n")).collect()
@@ -245,14 +245,14 @@ def find_spans(docs: DataFrame) -> DataFrame:
     more = F.filter(candidates(text, F.col("_b")), lambda x: (on(x, "base_span") == 0) & (margin(x) > 0))
     kind = lambda x: F.coalesce(*[F.when(sum((on(x, f) for f in facts), F.lit(0)) > 0, F.lit(k)) for k, facts in ADDED.items() if facts], F.lit("secret"))
     more = F.transform(more, lambda x: F.struct(kind(x).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return found.withColumn("spans", F.concat("_b", more)).drop("_b")
+    return found.withColumn(name, F.concat("_b", more)).drop("_b")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in angle brackets, as <EMAIL>; of spans that overlap stays the
     name of the first. Texts are put together for STRETCH spans at a time, so many spans cost no more each than a few."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    sorted_ = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    sorted_ = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def stretch(c: Column) -> Column:
         begin = F.get(c, F.lit(0))["after"]
@@ -266,7 +266,8 @@ def redact(docs: DataFrame) -> DataFrame:
         last = F.array_max(F.transform(spans, lambda x: x["end"]))
         return F.concat(let(kept, lambda k: F.array_join(cut(k), "")), F.substring(text, last + 1, F.char_length(text)))
 
-    return find_spans(docs).withColumn("text", F.when(F.size("spans") > 0, let(sorted_, whole)).otherwise(F.col("text"))).drop("spans")
+    found = find_spans(docs, "_spans")
+    return found.withColumn("text", F.when(F.size("_spans") > 0, let(sorted_, whole)).otherwise(F.col("text"))).drop("_spans")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,8 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> li
     for r in counts:
         raw[r["b"]] += r["raw"]
         target[r["b"]] += r["target"]
+    if not any(r["target"] for r in counts):
+        return [0.0] * BUCKETS
     n_raw, n_target = sum(raw), sum(target)
     return [math.log(t / n_target) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True)]
 
@@ -84,7 +86,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     llr is the mean over the document's n-grams of log P(n-gram | trusted) - log P(n-gram | raw corpus). kept is false
     for base_failed documents and where llr < threshold. A null or blank text has no words, llr 0, and fails the base.
     Rows are judged alone: repeated rows and null ids keep their columns, other columns pass through; columns of docs
-    with the names above are replaced. Without trusted labels all ratios come from smoothing alone.
+    with the names above are replaced. Without trusted documents nothing is told apart, and every llr is 0.
     """
     table = F.split(F.lit(",".join(repr(x) for x in bucket_ratios(docs, labels, most))), ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))

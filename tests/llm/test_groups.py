@@ -422,6 +422,26 @@ def test_pipeline_stages(spark, data):
     assert out.count() > 0 and set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
 
 
+def test_pipeline_of_odd_rows(spark, data, tmp_path):
+    """Equal rows become one, an id with two texts keeps both, rows without an id stay, and columns may have any name."""
+    some = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").where("length(text) > 300 and lang = 'en'").orderBy("doc_id").collect()]
+    texts = [t for t in some if not re.search("[0-9@]", t)][:4]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[1] + " more"), (3, texts[2]), (None, texts[3]), (None, texts[3]), (4, None), (5, "")]
+    names = ["kept", "spans", "items", "llr", "id", "h", "m", "component_id", "_extra", "n_chars"]
+    frame = spark.createDataFrame([(i, t, *["x"] * 9, 1) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names[:-1]) + ", n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{data}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs_ = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_ = corpus_pipeline.staged(stage(spark, docs_, str(tmp_path)), name)
+        assert docs_.columns == frame.columns, name
+        kept[name] = sorted((r["doc_id"] or 0, r["text"]) for r in docs_.collect())
+    assert kept["personal_data"] == sorted([(1, texts[0]), (1, texts[1]), (3, texts[2]), (0, texts[3])])
+    assert len(kept["quality"]) == 7 and corpus_pipeline.run(spark, str(tmp_path)).count() == 4
+
+
 def test_pipeline_of_nothing(spark, data, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{data}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
