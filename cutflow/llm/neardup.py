@@ -19,7 +19,7 @@ K = 48  # retained values per document
 SHARED = 24  # of K: a pair at Jaccard 0.8 shares fewer with probability 7.8e-7
 SHORT = 30  # sets below this size are retained whole, and the needed overlap is exact
 LIST = 32  # lists up to this length give all their pairs; the members of longer ones are joined by their whole sets
-WORDS = 8  # of parity bits: a power of two
+WORDS = 32  # of parity bits: a power of two
 HOT = 512  # rows of a value that meet in one task at most; those of a more frequent one are dealt into blocks
 BEFORE = 24  # values before a place that are looked at, so that a pair comes out once
 ROWS = 1000  # texts that a worker holds shingles of at a time
