@@ -48,11 +48,11 @@ def _any_of(words: str) -> str:
 
 WORD_START = r"(?<![^\x20\x09-\x0D(\"'])"
 CAPITAL = r"[A-Z][a-z\x{C0}-\x{24F}'-]++"
-NAME = rf"{WORD_START}(?=[A-Z])(?:{_any_of(TITLES)}\.?|{_any_of(GIVEN)})\x20{CAPITAL}(?:\x20{CAPITAL})?+"
-ADDRESS = rf"{WORD_START}[0-9]{{1,5}}[A-Za-z]?\x20(?:{CAPITAL}\x20){{1,3}}{_any_of(STREETS)}\b\.?"
-AFTER = rf"(?<=(?:{CREDENTIAL})\x20?[:=]\x20?)[^\x20\x09-\x0D:=][^\x20\x09-\x0D]{{3,}}"
+NAME = rf"(?=[A-Z])(?:{_any_of(TITLES)}\.?|{_any_of(GIVEN)})\x20{CAPITAL}(?:\x20{CAPITAL})?+"
+ADDRESS = rf"[0-9]{{1,5}}[A-Za-z]?\x20(?:{CAPITAL}\x20){{1,3}}{_any_of(STREETS)}\b\.?"
+AFTER = rf"(?<=[:=\x20])(?<=[:=]\x20?)(?<=(?:{CREDENTIAL})\x20?[:=]\x20?)[^\x20\x09-\x0D:=][^\x20\x09-\x0D]{{3,}}"
 PLAIN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
-CANDIDATE = f"{NAME}|{ADDRESS}|(?:(?i){AFTER})|{PLAIN}"
+CANDIDATE = f"{WORD_START}(?:{NAME}|{ADDRESS})|(?:(?i){AFTER})|{PLAIN}"
 STRETCH = 256
 BEFORE = 48  # characters before a candidate that are its context
 
