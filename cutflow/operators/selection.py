@@ -1,23 +1,11 @@
-"""Greedy selection: non-overlapping highlights per source, similarity dedup, round-robin interleaving."""
+"""Greedy selection: non-overlapping highlights per source, round-robin interleaving."""
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections import defaultdict
-from functools import reduce
-from itertools import accumulate
-from operator import add
-
-import numpy as np
-import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from ..tables import shared_folder
-
 BEST = 512  # rows of a source looked at in one round
-BATCH = 4096  # vectors judged in one round
-TILE = 512  # of them compared with the others at a time
 
 
 def within(shots: DataFrame, seconds: float) -> DataFrame:
@@ -83,91 +71,3 @@ def interleave(selected: DataFrame, most: int = 50, by: str | None = None) -> Da
         joined = joined.orderBy(*order).limit(most)  # so that the window has at most `most` rows
     place = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
     return joined.withColumn("place", place).where(F.col("place") < most).drop("_s", "_t")
-
-
-def _by_length(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """length -> places and matrix of the vectors of that length; those that are or hold null are left out."""
-    places = defaultdict(list)
-    for i, v in enumerate(vectors):
-        if v is not None and None not in v:
-            places[len(v)].append(i)
-    return {n: (np.array(p), np.array([vectors[i] for i in p], dtype=float).reshape(len(p), n)) for n, p in places.items()}
-
-
-def _near(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Where 1 - dot product is under the threshold. On its edge the products are summed in order, as `dot` does."""
-    far = 1 - a @ b.T
-    near = far < threshold
-    edge = np.abs(far - threshold) <= 1e-12 * (1 + np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
-    for i, j in np.argwhere(edge):
-        near[i, j] = 1 - reduce(add, (a[i] * b[j]).tolist(), 0.0) < threshold
-    return near
-
-
-def _hit(held, threshold: float):
-    """Of the held vectors, the places of those near a row."""
-
-    def hits(batches):
-        found = set()
-        for b in batches:
-            for n, (_, kept) in _by_length(b.column(0).to_pylist()).items():
-                places, batch = held.value.get(n, (None, None))
-                for k in range(0, len(kept) if places is not None else 0, TILE):
-                    found.update(places[_near(kept[k : k + TILE], batch, threshold).any(axis=0)].tolist())
-        yield pa.record_batch([pa.array(sorted(found), pa.int32())], ["i"])
-
-    return hits
-
-
-def _fold(gone: set[int], threshold: float):
-    """Of the rows in order, those not gone and not near one kept before."""
-
-    def fold(batches):
-        rows = pa.Table.from_batches(batches).sort_by([("part", "ascending"), ("place", "ascending")])
-        kept = np.array([i not in gone for i in range(rows.num_rows)], dtype=bool)
-        for places, matrix in _by_length(rows["v"].to_pylist()).values():
-            for k in range(0, len(places), TILE):
-                near = _near(matrix[k : k + TILE], matrix, threshold)
-                for j in range(len(near)):
-                    if kept[places[k + j]]:
-                        kept[places[k + j + 1 :][near[j, k + j + 1 :]]] = False
-        yield from rows.select(["id", "v"]).filter(pa.array(kept)).to_batches()
-
-    return fold
-
-
-def similarity_dedup(vectors: DataFrame, threshold: float) -> DataFrame:
-    """vectors(id, score, embedding), each id once -> id, dropped: best score first (then id), one that is closer than
-    threshold (1 - dot product) to a kept one goes.
-
-    Vectors are ranked by one sort and judged BATCH at a time. A batch meets the vectors kept so far where those are
-    read, and what is left of it is folded over in one task; no pairs are listed, so large groups cost no more than
-    others. Vectors of different lengths, null or with a null inside are near nothing."""
-    spark = vectors.sparkSession
-    folder = shared_folder(spark, "dedup")
-    rows = vectors.select("id", (-F.col("score")).alias("s"), F.col("embedding").cast("array<double>").alias("v")).repartitionByRange("s", "id").sortWithinPartitions("s", "id")
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # its lower bits count within a partition
-    rows.select("id", "v", F.spark_partition_id().alias("part"), place.alias("place")).write.parquet(f"{folder}/ranked")
-    ranked = spark.read.parquet(f"{folder}/ranked")
-    sizes = sorted(ranked.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each partition
-    ends = list(accumulate(r["n"] for r in sizes))
-    kept_schema = ranked.select("id", "v").schema
-
-    def at(rank: int) -> tuple[int, int]:
-        k = bisect_right(ends, rank)
-        return (sizes[k]["part"], rank - (ends[k] - sizes[k]["n"])) if k < len(ends) else (sizes[-1]["part"] + 1, 0)
-
-    part, here = F.col("part"), F.col("place")
-    for start in range(0, ends[-1] if ends else 0, BATCH):
-        (p, a), (q, b) = at(start), at(start + BATCH)
-        batch = ranked.where(part.between(p, q) & ((part > p) | (here >= a)) & ((part < q) | (here < b)))
-        gone = set()
-        if start:
-            held = spark.sparkContext.broadcast(_by_length([r["v"] for r in batch.sort("part", "place").select("v").collect()]))  # at most BATCH rows
-            kept = spark.read.schema(kept_schema).parquet(f"{folder}/kept").select("v")
-            gone = {r["i"] for r in kept.mapInArrow(_hit(held, threshold), "i int").distinct().collect()}
-        batch.coalesce(1).mapInArrow(_fold(gone, threshold), kept_schema).write.mode("append").parquet(f"{folder}/kept")
-    if not ends:
-        return ranked.select("id", F.lit(False).alias("dropped"))
-    kept = spark.read.schema(kept_schema).parquet(f"{folder}/kept").select("id", F.lit(True).alias("kept"))
-    return ranked.select("id").join(kept, "id", "left").select("id", F.col("kept").isNull().alias("dropped"))

@@ -1,7 +1,9 @@
 """Operators with no SQL equivalent against plain Python, and published fixtures."""
 
 import math
+import random
 
+import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
@@ -11,6 +13,7 @@ from cutflow.operators import beats as B
 from cutflow.operators import nearest as N
 from cutflow.operators import selection as S
 from cutflow.operators import series as R
+from cutflow.operators import similar as V
 from cutflow.operators import tasks as Q
 from cutflow.plans import render as P
 from cutflow.sources import captions as C
@@ -98,7 +101,7 @@ def test_closest_version(spark):
 def test_similarity_dedup(spark):
     rows = [(i, s, [float(x) for x in v]) for i, s, v in [(1, 0.9, [1, 0]), (2, 0.8, [0.999, 0.04]), (3, 0.7, [0, 1]), (4, 0.1, [0.02, 0.9998])]]
     v = spark.createDataFrame(rows, "id long, score double, embedding array<double>")
-    assert {r["id"] for r in S.similarity_dedup(v, 0.05).where("dropped").collect()} == {2, 4}
+    assert {r["id"] for r in V.similarity_dedup(v, 0.05).where("dropped").collect()} == {2, 4}
 
 
 def test_nearest_takes_the_earlier_on_a_tie(spark):
@@ -162,21 +165,23 @@ def test_caption_readers(spark, tmp_path):
 def test_similarity_dedup_judges_all_vectors(spark, data, monkeypatch):
     from cutflow.queries import QUERIES
 
-    monkeypatch.setattr(S, "BATCH", 90)
+    monkeypatch.setattr(V, "BATCH", 90)
+    monkeypatch.setattr(V, "TILE", 50)
     got = {r["id"]: r["dropped"] for r in QUERIES["similarity_dedup"](spark, data).collect()}
     vectors = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
     assert got == plain_dedup([(i, float(i % 17), v) for i, v in vectors.items()], 0.25)
 
 
 def test_similarity_dedup_groups_ties_and_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(S, "BATCH", 16)
+    monkeypatch.setattr(V, "BATCH", 16)
+    monkeypatch.setattr(V, "MOVE", 0)
     turn = lambda i: [math.cos(i * 0.37), math.sin(i * 0.37)]
     rows = [(i, float(i * 7 % 5), turn(i)) for i in range(60)] + [(100 + i, 2.0, [1.0, 0.0]) for i in range(40)]
     rows += [(200, 9.0, None), (201, 9.0, [None, 1.0]), (202, 9.0, [1.0]), (203, None, [-0.5, 0.5]), (204, 1.0, [0.5, 0.0]), (205, 0.5, [0.5, 0.0])]
     frame = spark.createDataFrame(rows, "id long, score double, embedding array<double>")
     for threshold in (0.05, 0.5, 1.0):
-        assert {r["id"]: r["dropped"] for r in S.similarity_dedup(frame, threshold).collect()} == plain_dedup(rows, threshold)
-    assert S.similarity_dedup(frame.limit(0), 0.5).count() == 0
+        assert {r["id"]: r["dropped"] for r in V.similarity_dedup(frame, threshold).collect()} == plain_dedup(rows, threshold)
+    assert V.similarity_dedup(frame.limit(0), 0.5).count() == 0
 
 
 def plain_dedup(rows, threshold):
@@ -194,3 +199,72 @@ def plain_dedup(rows, threshold):
             kept.append(r)
     ids = {k[0] for k in kept}
     return {r[0]: r[0] not in ids for r in rows}
+
+
+def test_first_independent(spark):
+    rng = random.Random(2)
+    edges = [(b, a) for a, b in {tuple(sorted(rng.sample(range(60), 2))) for _ in range(150)}] + [(i + 1, i) for i in range(100, 120)]
+    dropped = set()
+    for x in sorted({e[0] for e in edges}):
+        if any(w == x and b not in dropped for w, b in edges):
+            dropped.add(x)
+    frame = spark.createDataFrame(edges + edges[:9], "worse long, better long")
+    assert {r["dropped"] for r in V.first_independent(frame).collect()} == dropped
+    assert V.first_independent(frame.limit(0)).count() == 0
+
+
+def fingerprints(spark, rows):
+    return spark.createDataFrame(rows, "id long, highlight_score double, start_time double, frames array<array<double>>")
+
+
+def plain_mse(a, b, size=4, flat=2.0):
+    flatten = lambda f, i: np.array(f[i : i + size]).ravel()
+    best = math.inf
+    for i in range(0, len(a or ()) - size + 1, size // 2):
+        w = flatten(a, i)
+        if w.std() >= flat:
+            best = min([best, *(((w - flatten(b, j)) ** 2).mean() for j in range(len(b or ()) - size + 1))])
+    return best
+
+
+def clips_of(seed, n=70, size=16):
+    """Scenes of which parts stand in several shots, black ones, short ones, and none."""
+    rng = np.random.default_rng(seed)
+    scenes = [rng.uniform(0, 255, (12, size)) for _ in range(9)]
+    rows = []
+    for i in range(n):
+        s, at = scenes[rng.integers(9)], rng.integers(0, 7)
+        frames = s[at : at + rng.integers(3, 9)] + rng.normal(0, rng.choice([0, 4, 20]), size)
+        rows.append((i, float(rng.integers(5)), float(rng.integers(3)), frames.tolist()))
+    return rows + [(900, 9.0, 0.0, [[3.0] * size] * 6), (901, 8.0, 0.0, [[3.0] * size] * 6), (902, 1.0, 0.0, None), (903, 1.0, 0.0, []), (904, None, 0.0, rows[0][3]), (905, 1.0, 0.0, [[None] * size] * 5)]
+
+
+@pytest.mark.parametrize(("batch", "tile", "move"), [(4096, 4096, 300), (8, 5, 0)])
+def test_visual_dedup(spark, monkeypatch, batch, tile, move):
+    for name, value in (("BATCH", batch), ("TILE", tile), ("MOVE", move)):
+        monkeypatch.setattr(V, name, value)
+    rows = clips_of(batch)
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[2], r[0])):
+        if r[0] == 905 or not any(k[0] != 905 and plain_mse(r[3], k[3]) < 200 for k in kept):
+            kept.append(r)
+    want = {r[0]: r[0] not in {k[0] for k in kept} for r in rows}
+    assert {r["id"]: r["dropped"] for r in V.visual_dedup(fingerprints(spark, rows)).collect()} == want and 5 < sum(want.values()) < 70
+    assert V.visual_dedup(fingerprints(spark, rows), 0).where("dropped").count() == 0
+
+
+def test_visual_dedup_fixture(spark):
+    """Six blocks of which the first comes again: the worse of the two goes."""
+    rng = np.random.default_rng(3)
+    blocks = [rng.uniform(0, 255, (8, 256)).tolist() for _ in range(5)]
+    rows = [(i, s, float(i), blocks[b]) for i, (b, s) in enumerate(zip([0, 1, 2, 3, 4, 0], [0.9, 0.5, 0.5, 0.5, 0.5, 0.3], strict=True))]
+    assert {r["id"] for r in V.visual_dedup(fingerprints(spark, rows)).where("dropped").collect()} == {5}
+
+
+@pytest.mark.parametrize("move", [0, 300])
+def test_window_matches(spark, monkeypatch, move):
+    monkeypatch.setattr(V, "MOVE", move)
+    rows = clips_of(5)[:-1]
+    want = {(a[0], b[0]): plain_mse(a[3], b[3]) for a in rows for b in rows if a[0] != b[0]}
+    got = {(r["a"], r["b"]): r["mse"] for r in V.window_matches(fingerprints(spark, rows).select("id", "frames"), 200.0).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v < 200} and len(got) > 50
