@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.features import DIM, l2, text_vector
-from .nearest import top_k
+from .vector_index import top_k
 
 
 def pair_by_position(left: DataFrame, right: DataFrame, key: str, pos: str) -> DataFrame:
@@ -16,14 +16,37 @@ def pair_by_position(left: DataFrame, right: DataFrame, key: str, pos: str) -> D
     return left.join(right, [key, pos]).join(checked, key).where("_same").drop("_same")
 
 
-def save_index(records: DataFrame, vectors: DataFrame, key: str, path: str) -> None:
-    """Records and their unit vectors, row by row of the same key, as one table."""
+VERSION = 1  # of the layout
+
+
+def save_index(records: DataFrame, vectors: DataFrame, key: str, path: str, embedder: str = "keywords", supports_text: bool = True) -> None:
+    """Records and their unit vectors, row by row of the same key, as one table, and a header of one row beside it."""
     joined = records.join(vectors, key).withColumn("embedding", l2(F.transform("embedding", lambda x: x.cast("double"))))
-    joined.write.mode("overwrite").parquet(path)
+    joined.write.mode("overwrite").parquet(f"{path}/shots")
+    about = load_rows(joined.sparkSession, path).agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim"), F.count("*").alias("count"))
+    about = about.select(F.lit(VERSION).alias("version"), F.lit(embedder).alias("embedder"), "dim", F.lit(supports_text).alias("supports_text"), "count")
+    about.coalesce(1).write.mode("overwrite").json(f"{path}/header")
+
+
+def load_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/shots")
+
 
+def header(spark: SparkSession, path: str) -> DataFrame:
+    """version, embedder, dim, supports_text and count of an index, without its shots."""
+    return spark.read.schema("version int, embedder string, dim int, supports_text boolean, count bigint").json(f"{path}/header")
 
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+
+def load_index(spark: SparkSession, path: str, dim: int | None = None, for_text: bool = False) -> DataFrame:
+    """The shots of an index whose header fits: this layout's version, dim values if given, an embedder of texts if asked."""
+    h = header(spark, path).first()
+    if h is None or h["version"] != VERSION:
+        raise ValueError(f"no index of version {VERSION}: {path}")
+    if dim is not None and h["count"] and h["dim"] != dim:
+        raise ValueError(f"the index has vectors of {h['dim']} values, not {dim}")
+    if for_text and not h["supports_text"]:
+        raise ValueError(f"the embedder {h['embedder']} takes no texts")
+    return load_rows(spark, path)
 
 
 def describe(index: DataFrame, source: str = "source_video") -> DataFrame:
@@ -59,6 +82,17 @@ def image_features(pixels: Column) -> Column:
     return F.struct(mean(gray).alias("brightness"), F.least(F.lit(1.0), spread / 0.35).alias("contrast"), mean(color).alias("saturation"), warm.alias("warmth"))
 
 
+def image_vector(pixels: Column) -> Column:
+    """Unit vector of an image: its four features around their middle."""
+    f = image_features(pixels)
+    return l2(F.array(*[f[c] - 0.5 for c in ("brightness", "contrast", "saturation", "warmth")]))
+
+
+def search_image(index: DataFrame, images: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
+    """images(query_id, pixels), a stated set -> query_id, vec_id, score, rank; the index holds image_vectors."""
+    return search(index, k, min_score, vectors=images.select("query_id", image_vector(F.col("pixels")).alias("q")))
+
+
 def embed(items: DataFrame, column: str, encoder, dim: int = DIM) -> DataFrame:
     """items with embedding: what encoder, a function of a column, makes of one, scaled to length 1; a null becomes zeros."""
     raw = F.coalesce(encoder(F.col(column)), F.array_repeat(F.lit(0.0), dim))

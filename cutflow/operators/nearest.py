@@ -1,23 +1,26 @@
-"""Nearest-in-time joins: as-of, nearest frame, linear interpolation; and top-k vector search."""
+"""Nearest-in-time joins: as-of, nearest frame, linear interpolation."""
 
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
+
+from .scan import Chunks
 
 
 def neighbours(probes: DataFrame, points: DataFrame, key: str, id: str) -> DataFrame:
     """probes(key, id, t), points(key, t, v) -> key, id, t, before and after: structs (t, v) of the points around t.
 
-    Both sides go through one sort per key; a point at t itself counts as before and after. Of points at the same time
-    the smallest v is before, and the smallest v is after."""
+    Both sides go through one sort per key, or per chunk of a large one, which gets the last point before it and the first
+    one after it; a point at t itself counts as before and after. Of points at the same time the smallest v is taken."""
     p = probes.select(key, id, "t", F.lit(None).cast("double").alias("v"), F.lit(1).alias("_probe"))
-    q = points.groupBy(key, "t").agg(F.min("v").cast("double").alias("v")).select(key, F.lit(None).cast("bigint").alias(id), "t", "v", F.lit(0).alias("_probe"))
+    q = points.groupBy(key, "t").agg(F.min("v").cast("double").alias("v")).select(key, F.lit(None).cast(dict(probes.dtypes)[id]).alias(id), "t", "v", F.lit(0).alias("_probe"))
     point = F.when(F.col("_probe") == 0, F.struct("t", "v"))
-    back = Window.partitionBy(key).orderBy("t", "_probe", id)
-    ahead = Window.partitionBy(key).orderBy(F.desc("t"), "_probe", id)
-    both = p.unionByName(q).withColumn("before", F.last(point, ignorenulls=True).over(back)).withColumn("after", F.last(point, ignorenulls=True).over(ahead))
-    return both.where("_probe = 1").select(key, id, "t", "before", "after")
+    c = Chunks(p.unionByName(q), key, "t")
+    both = c.after(c.before(c.df, _last=(F.max(point), "nearest")), _first=(F.min(point), "nearest"))
+    before = F.coalesce(F.last(point, ignorenulls=True).over(c.w.orderBy("t", "_probe", id)), F.col("_last"))
+    after = F.coalesce(F.last(point, ignorenulls=True).over(c.w.orderBy(F.desc("t"), "_probe", id)), F.col("_first"))
+    return both.withColumns({"before": before, "after": after}).where("_probe = 1").select(key, id, "t", "before", "after")
 
 
 def nearest(around: DataFrame) -> DataFrame:
@@ -36,22 +39,3 @@ def lerp() -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-QUERIES = 512  # queries that a partition's vectors meet at a time
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, per: str | None = None) -> DataFrame:
-    """vectors(vec_id, embedding, ...), queries(query_id, q), a stated set -> query_id, vec_id, score, rank.
-
-    The queries are broadcast in blocks of about QUERIES, whose number is counted first; every vector meets a block where
-    it is read, and a partition keeps its best k of each query (and of each `per`) before anything is shuffled. k is 1
-    at least; scores under min_score go."""
-    parts, key, out = max(1, -(-queries.count() // QUERIES)), [per] if per else [], None
-    w = Window.partitionBy("query_id", *key).orderBy(F.desc("score"), "vec_id")
-    for b in range(parts):
-        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b)
-        scored = vectors.crossJoin(F.broadcast(block)).withColumn("score", dot(F.col("embedding"), F.col("q"))).where(F.col("score") >= min_score)  # a block of the stated queries
-        ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, k)).select("query_id", *key, "vec_id", "score", "rank")
-        out = ranked if out is None else out.unionByName(ranked)
-    return out

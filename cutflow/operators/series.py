@@ -2,25 +2,84 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import scan
+from .scan import Chunks, halo, numbered
 
-MEMORY = 120  # values an average looks back: older ones weigh less than a double's last bit
+BLOCK = 1_000_000  # rows of a key that share a window
+
+
+def _folded(alpha: float, schema: pa.Schema, key: str, value: str, start: str):
+    """Rows sorted by key and chunk -> the same with ema; each chunk begins with its start, or with its first value."""
+
+    def run(batches):
+        now, s = None, None
+        for b in batches:
+            out = []
+            for k, c, v, first in zip(*(b.column(x).to_pylist() for x in (key, "_chunk", value, start)), strict=True):
+                if (k, c) != now:
+                    now, s = (k, c), first
+                if v is not None:
+                    s = v if s is None else alpha * v + (1 - alpha) * s
+                out.append(s)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:-1]), pa.array(out, pa.float64())], schema=schema)
+
+    return run
+
+
+def ema(chunks: Chunks, order: list[str], value: str, alpha: float) -> DataFrame:
+    """The chunks' rows with ema, the exponential moving average of each key's values in order.
+
+    A chunk's average is an affine map of what it begins with: (1 - alpha)^n s + b. The maps of a hot key's chunks are put
+    together in order, one number pair each, and each chunk is then folded from where the ones before it end. Nulls leave
+    the average as it is."""
+    key = chunks.key
+
+    def fold(df: DataFrame, start: Column) -> DataFrame:
+        df = df.withColumn("_start", start.cast("double")).withColumn(value, F.col(value).cast("double"))
+        rows = df.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", *order)
+        schema = rows.withColumn("ema", F.lit(0.0)).schema
+        for f in schema:
+            f.nullable = True
+        return rows.mapInArrow(_folded(alpha, to_arrow_schema(schema), key, value, "_start"), schema).drop("_start")
+
+    if not chunks.hot:
+        return fold(chunks.df, F.lit(None))
+    last = F.max_by("ema", F.struct(*order))
+    seeded = fold(chunks.df, F.lit(None)).groupBy(key, "_chunk").agg(last.alias("own"), F.count(value).alias("n"))
+    mapped = fold(chunks.df, F.lit(0.0)).groupBy(key, "_chunk").agg(last.alias("b"))
+    steps = F.array_sort(F.collect_list(F.struct("_chunk", "own", F.pow(F.lit(1 - alpha), F.col("n")).alias("a"), "b", "n")))  # one for each chunk
+    empty = F.array(F.lit(None).cast("double"))
+
+    def step(ends: Column, x: Column) -> Column:
+        s = F.element_at(ends, -1)
+        return F.array_append(ends, F.when(s.isNull(), x["own"]).when(x["n"] == 0, s).otherwise(x["a"] * s + x["b"]))
+
+    per = seeded.join(mapped, [key, "_chunk"]).groupBy(key).agg(steps.alias("x"))
+    starts = per.select(key, F.explode(F.arrays_zip(F.col("x._chunk").alias("_chunk"), F.aggregate("x", empty, step).alias("_from"))).alias("x")).where("x._chunk is not null")
+    carried = scan._join(chunks.df, scan.staged(starts.select(key, "x._chunk", "x._from"), "starts"), [key, "_chunk"])
+    return fold(carried, F.col("_from")).drop("_from")
 
 
 def smoothed(samples: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.35, k: int = 3) -> DataFrame:
     """samples with ema, the exponential moving average of each key's values in order, and ma, its centred mean over k
-    rows, with the ends repeated outwards.
-
-    A row looks back over MEMORY values, whose oldest stands for all before it, so no key's values meet in one array."""
-    w = Window.partitionBy(key).orderBy(*order)
-    back = F.collect_list(value).over(w.rowsBetween(-(MEMORY - 1), 0))
-    ema = F.aggregate(F.slice(back, F.lit(2), F.greatest(F.size(back) - 1, F.lit(0))), F.get(back, F.lit(0)), lambda s, x: alpha * x + (1 - alpha) * s)
-    out = samples.withColumn("ema", ema)
+    rows, with the ends repeated outwards. order begins with a number. Any alpha from 0 to 1 and any number of rows of a
+    key: no task holds more than a chunk, and no array of values is built."""
+    c = Chunks(samples, key, order[0])
+    placed = numbered(c, ema(c, order, value, alpha), *order, name="_place").drop("_chunk")
+    if c.hot:
+        placed = halo(scan.staged(placed, "ema"), key, "_place", k // 2, BLOCK)
+    else:
+        placed = placed.withColumns({"_block": F.lit(0), "_copy": F.lit(False)})
+    w = Window.partitionBy(key, "_block").orderBy("_place")
     first, last = F.first("ema").over(w), F.last("ema").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     near = [F.coalesce(F.lag("ema", -i).over(w), first if i < 0 else last) for i in range(-(k // 2), k // 2 + 1)]
-    return out.withColumn("ma", sum(near[1:], near[0]) / k)
+    out = placed.withColumn("ma", sum(near[1:], near[0]) / k).where(~F.col("_copy"))
+    return out.select(*samples.columns, "ema", "ma")
 
 
 def best_window(profile: DataFrame, key: str, i: str, p: str, width: int) -> DataFrame:

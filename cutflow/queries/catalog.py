@@ -63,11 +63,32 @@ def q_pair_by_position(spark, d):
     return X.pair_by_position(left, right, "track", "pos").select("track", "pos", "kind", "translated")
 
 
-def q_image_features(spark, d):
-    """Of twenty pixels of three values from each vector."""
+def _pixels():
+    """Twenty pixels of three values from each vector."""
     unit = lambda i: F.abs(F.get("embedding", i).cast("double"))
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct(unit(i * 3).alias("r"), unit(i * 3 + 1).alias("g"), unit(i * 3 + 2).alias("b")))
-    return table(spark, d, "embeddings").select("vec_id", X.image_features(pixels).alias("f")).select("vec_id", "f.*")
+    return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct(unit(i * 3).alias("r"), unit(i * 3 + 1).alias("g"), unit(i * 3 + 2).alias("b")))
+
+
+def q_image_features(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", X.image_features(_pixels()).alias("f")).select("vec_id", "f.*")
+
+
+def _image_index(spark, d):
+    e = table(spark, d, "embeddings")
+    path = f"{shared_folder(spark, 'index')}/images"
+    X.save_index(e.select("vec_id"), e.select("vec_id", X.image_vector(_pixels()).alias("embedding")), "vec_id", path, "pixels", supports_text=False)
+    return path
+
+
+def q_image_search(spark, d):
+    """Every 50th image against all."""
+    images = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), _pixels().alias("pixels"))
+    found = X.search_image(X.load_index(spark, _image_index(spark, d), dim=4), images, 5)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+def q_index_header(spark, d):
+    return X.header(spark, _image_index(spark, d)).select("embedder", "dim", "supports_text", "count")
 
 
 def _landed(spark, d):
@@ -143,11 +164,15 @@ def q_best_frame(spark, d):
 
 
 _items = "i as (select track, id, id // 100 as page, case when id % 11 > 0 then 'BV' || id else '' end as bvid, kind || ' & more' as title, (id % 14) * 60.0 + id % 60 as seconds, least(id % 300, 200) as n from s)"
+IMAGES = "with p as (select vec_id, list_transform(range(20), lambda i: {'r': abs(embedding[i * 3 + 1]::double), 'g': abs(embedding[i * 3 + 2]::double), 'b': abs(embedding[i * 3 + 3]::double)}) as p from embeddings), g as (select *, list_transform(p, lambda x: x.r * 0.299::double + x.g * 0.587::double + x.b * 0.114::double) as g from p) select vec_id, list_avg(g) as brightness, least(1.0, sqrt(greatest(list_avg(list_transform(g, lambda x: x * x)) - pow(list_avg(g), 2), 0)) / 0.35::double) as contrast, list_avg(list_transform(p, lambda x: case when greatest(x.r, x.g, x.b) > 1e-6 then (greatest(x.r, x.g, x.b) - least(x.r, x.g, x.b)) / greatest(x.r, x.g, x.b) else 0 end)) as saturation, (list_avg(list_transform(p, lambda x: x.r)) - list_avg(list_transform(p, lambda x: x.b)) + 1) / 2 as warmth from g"
+_FEATURES = f"f as ({IMAGES}), v as (select vec_id, [brightness - 0.5, contrast - 0.5, saturation - 0.5, warmth - 0.5] as v from f), u as (select vec_id, list_transform(v, lambda x: x / case when n = 0 then 1 else n end) as u from (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from v))"
 QUERIES = {
     "index_describe": (q_index_describe, "select count(*) as shots, max(len(embedding[1:30]))::int as dim, count(distinct vec_id % 7) as videos from embeddings"),
     "text_search": (q_text_search, _text_search_sql()),
     "pair_by_position": (q_pair_by_position, f"with {_S} select track, row_number() over (partition by track order by id) - 1 as pos, kind, 'say ' || kind as translated from s"),
-    "image_features": (q_image_features, "with p as (select vec_id, list_transform(range(20), lambda i: {'r': abs(embedding[i * 3 + 1]::double), 'g': abs(embedding[i * 3 + 2]::double), 'b': abs(embedding[i * 3 + 3]::double)}) as p from embeddings), g as (select *, list_transform(p, lambda x: x.r * 0.299::double + x.g * 0.587::double + x.b * 0.114::double) as g from p) select vec_id, list_avg(g) as brightness, least(1.0, sqrt(greatest(list_avg(list_transform(g, lambda x: x * x)) - pow(list_avg(g), 2), 0)) / 0.35::double) as contrast, list_avg(list_transform(p, lambda x: case when greatest(x.r, x.g, x.b) > 1e-6 then (greatest(x.r, x.g, x.b) - least(x.r, x.g, x.b)) / greatest(x.r, x.g, x.b) else 0 end)) as saturation, (list_avg(list_transform(p, lambda x: x.r)) - list_avg(list_transform(p, lambda x: x.b)) + 1) / 2 as warmth from g"),
+    "image_features": (q_image_features, IMAGES),
+    "image_search": (q_image_search, f"with {_FEATURES}, s as (select q.vec_id as query_id, e.vec_id, list_sum(list_transform(list_zip(e.u, q.u), lambda x: x[1] * x[2])) as score from u e, u q where q.vec_id % 50 = 0) select query_id, vec_id, round(score, 6) as score from s where score >= 0 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5"),
+    "index_header": (q_index_header, "select 'pixels' as embedder, case when count(*) > 0 then 4 else 0 end::int as dim, false as supports_text, count(*) as count from embeddings"),
     "search_pages": (q_search_pages, f"with {_S}, {_items} select track, row_number() over (partition by track order by page, id) as place, bvid, title, seconds::double as seconds, n::int as n from i where page % 13 <> 5 and seconds between 10 and 600 and bvid <> '' qualify place <= 20"),
     "search_json_lines": (q_search_json_lines, f"with {_S} select id::varchar as id, '' as title, (id % 90)::double as seconds, case id % 3 when 0 then 'u' else 'w' end || id as url, '' as uploader from s where id % 7 <> 0 and id % 3 < 2"),
     "page_blocks": (q_page_blocks, f"with {_S}, g as (select track, id, 'BV' || id % 40 as bvid, kind as title, (id % 12) * 60.0 + 5 as seconds from s where id % 6 <> 0 and (id % 12) * 60 + 5 between 10 and 600), f as (select * from g qualify row_number() over (partition by track, bvid order by id) = 1) select track, row_number() over (partition by track order by id) as place, bvid, title, seconds::double as seconds from f qualify place <= 20"),

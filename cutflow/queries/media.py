@@ -12,6 +12,7 @@ from ..operators import intervals as I
 from ..operators import nearest as N
 from ..operators import selection as S
 from ..operators import series as R
+from ..operators import vector_index as K
 from ..tables import BEATS, INTERVALS, SAMPLES, SHOTS, beats, intervals, samples, shots, table
 
 SCORE = """least(greatest(0.25 * (1 / (1 + exp(-(magnitude - 3)))) + 0.20 * (case when duration < 1 then duration when duration <= 3 then 1.0 else greatest(0.3, 1 - 0.1 * (duration - 3)) end)
@@ -231,17 +232,17 @@ def q_minmax_normalise(spark, d):
 
 def q_vector_topk(spark, d):
     e = table(spark, d, "embeddings")
-    return N.top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+    return K.top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
 
 
 def q_vector_topk_min_score(spark, d):
     e = table(spark, d, "embeddings")
-    return N.top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10, 0.5)
+    return K.top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10, 0.5)
 
 
 def q_label_topk(spark, d):
     e = table(spark, d, "embeddings")
-    return N.top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 3, -1.0, "label")
+    return K.top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 3, -1.0, "label")
 
 
 def _topk(where: str, k: int, least: float, per: str = "") -> str:

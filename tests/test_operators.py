@@ -10,7 +10,9 @@ import pytest
 from cutflow.functions import text as T
 from cutflow.functions.scoring import highlight_score
 from cutflow.operators import beats as B
+from cutflow.operators import intervals as I
 from cutflow.operators import nearest as N
+from cutflow.operators import scan as X
 from cutflow.operators import selection as S
 from cutflow.operators import series as R
 from cutflow.operators import similar as V
@@ -268,3 +270,111 @@ def test_window_matches(spark, monkeypatch, move):
     want = {(a[0], b[0]): plain_mse(a[3], b[3]) for a in rows for b in rows if a[0] != b[0]}
     got = {(r["a"], r["b"]): r["mse"] for r in V.window_matches(fingerprints(spark, rows).select("id", "frames"), 200.0).collect()}
     assert got == {k: pytest.approx(v) for k, v in want.items() if v < 200} and len(got) > 50
+
+
+@pytest.fixture(params=[10**6, 40, 7])
+def chunk(request, monkeypatch):
+    """Rows of a key in a chunk: keys are cut into many, into a few, or not at all."""
+    monkeypatch.setattr(X, "CHUNK", request.param)
+    monkeypatch.setattr(R, "BLOCK", 16)
+    return request.param
+
+
+def one_key(seed, n=300):
+    """Rows (key, id, t, v) of a hot key with ties, some of a small one, and a single one."""
+    rng = random.Random(seed)
+    rows = [("hot", i, rng.randrange(0, 400) / 4, float(rng.randrange(0, 100))) for i in range(n)]
+    return rows + [("small", n + i, rng.randrange(0, 40) / 4, float(i % 3)) for i in range(9)] + [("single", n + 99, 5.0, 1.0)]
+
+
+def series(spark, rows):
+    return spark.createDataFrame(rows, "k string, id long, t double, v double").repartition(5)
+
+
+def by_key(rows):
+    return {k: sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])) for k in sorted({r[0] for r in rows})}
+
+
+def test_chunks_spread_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(X, "CHUNK", 40)
+    c = X.Chunks(series(spark, one_key(1)), "k", "t")
+    sizes = {tuple(r[:2]): r["count"] for r in c.df.groupBy("k", "_chunk").count().collect()}
+    assert c.hot and max(sizes.values()) < 90 and len(sizes) >= 7 and {k for k, n in sizes if n > 0} == {"hot"}
+
+
+def test_intervals_of_any_size(spark, chunk):
+    rows = by_key(one_key(chunk))
+    merged, left = [], []
+    for k, xs in rows.items():
+        ends = []
+        for a, b in sorted((t, t + v / 90) for _, _, t, v in xs):
+            if ends and a - ends[-1][1] <= 0.1:
+                ends[-1][1] = max(b, ends[-1][1])
+            else:
+                ends.append([a, b])
+        merged += [(k, a, b) for a, b in ends]
+        left += [(k, a, b) for a, b in zip([0.0] + [e[1] for e in ends], [e[0] for e in ends] + [120.0], strict=True) if b - a > 0]
+    frame = series(spark, [r for xs in rows.values() for r in xs]).select("k", F.col("t").alias("a"), (F.col("t") + F.col("v") / 90).alias("b"))
+    got = I.merge(frame, "k", gap=0.1)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(merged)
+    assert sorted(tuple(r) for r in I.complement(got, "k", F.lit(120.0)).collect()) == sorted(left)
+
+
+def test_islands_and_cuts_of_any_size(spark, chunk):
+    rows = by_key(one_key(chunk + 1))
+    want, cuts = [], []
+    for k, xs in rows.items():
+        start = None
+        for _, _, t, v in xs:
+            if v > 50 and start is None:
+                start = t
+            elif v <= 50 and start is not None:
+                want += [(k, start, t)] * (t - start > 0.3)
+                start = None
+        ts = sorted(x[2] for x in xs)
+        pairs = ([(0.0, ts[0])] if ts[0] > 0 else []) + [*zip(ts, ts[1:] + [200.0], strict=True)]
+        cuts += [(k, i, a, b) for i, (a, b) in enumerate(sorted(pairs)) if b - a >= 0.4]
+    frame = series(spark, [r for xs in rows.values() for r in xs])
+    assert sorted(tuple(r) for r in I.islands(frame, "k", "t", F.col("v") > 50, "id", 0.3).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in I.pair_cuts(frame, "k", "t", F.lit(200.0), 0.4).collect()) == sorted(cuts)
+
+
+def test_neighbours_of_any_size(spark, chunk):
+    rows = one_key(chunk + 2)
+    probes, points = [r for r in rows if r[1] % 3 == 0], [r for r in rows if r[1] % 3 == 1]
+    want = {}
+    for k, i, t, _ in probes:
+        mine = [(p[2], p[3]) for p in points if p[0] == k]
+        before, after = ({x for x in mine if sign * (t - x[0]) >= 0} for sign in (1, -1))
+        near = lambda xs, pick: min(x for x in xs if x[0] == pick(y[0] for y in xs)) if xs else None
+        want[i] = near(before, max), near(after, min)
+    found = N.neighbours(series(spark, probes).select("k", "id", "t"), series(spark, points).select("k", "t", "v"), "k", "id").collect()
+    assert {r["id"]: (r["before"] and tuple(r["before"]), r["after"] and tuple(r["after"])) for r in found} == want
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.35, 0.9, 1.0])
+def test_averages_of_any_size(spark, chunk, alpha):
+    rows = [(k, i, t, None if i % 17 == 5 else v) for k, i, t, v in one_key(chunk + 3)]
+    want = {}
+    for xs in by_key(rows).values():
+        s, ema = None, []
+        for _, _, _, v in xs:
+            s = s if v is None else v if s is None else alpha * v + (1 - alpha) * s
+            ema.append(s)
+        for i, x in enumerate(xs):
+            near = [ema[min(max(i + d, 0), len(xs) - 1)] for d in (-1, 0, 1)]
+            want[x[1]] = ema[i], None if None in near else sum(near) / 3
+    got = {r["id"]: (r["ema"], r["ma"]) for r in R.smoothed(series(spark, rows), "k", ["t", "id"], "v", alpha).collect()}
+    assert got.keys() == want.keys()
+    for i, (e, m) in want.items():
+        assert got[i][0] == pytest.approx(e, abs=1e-9) and (m is None or got[i][1] == pytest.approx(m, abs=1e-9))
+
+
+def test_windows_of_any_length(spark):
+    rng = random.Random(4)
+    windows = [("k", a, a + rng.choice([0.0, 0.5, 3, 40, 3000, 1e6])) for a in (rng.uniform(0, 5000) for _ in range(25))] + [("j", 0.0, 2_592_000.0), ("j", 5.0, 4.0)]
+    points = [(rng.choice("jkq"), i % 40, rng.choice([rng.uniform(-10, 9000), 0.0, 2_592_000.0])) for i in range(300)] * 2
+    want = sorted(p for p in points if any(k == p[0] and a <= p[2] <= b for k, a, b in windows))
+    w = spark.createDataFrame(windows, "k string, a double, b double")
+    got = I.in_windows(spark.createDataFrame(points, "k string, id long, t double"), w, "k", "t", 60.0)
+    assert sorted(tuple(r) for r in got.select("k", "id", "t").collect()) == want
