@@ -192,13 +192,14 @@ def plain_alignments(texts):
     return sorted((len(a), len(b), g.count("|"), len(links), sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links), digest(g)) for a, b, links, g in each)
 
 
-@pytest.mark.parametrize(("pairs", "cache", "flush"), [(10**6, 200_000, 200_000), (10**6, 5, 3), (0, 200_000, 200_000)])
-def test_alignments(spark, monkeypatch, pairs, cache, flush):
+@pytest.mark.parametrize(("pairs", "units", "block", "sums"), [(10**6, 300_000, 100_000, 10**6), (10**6, 5, 3, 3), (0, 300_000, 7, 10**6)])
+def test_alignments(spark, monkeypatch, pairs, units, block, sums):
     rng = random.Random(11)
-    texts = [None, "", " ", "  ", "\n", "word ", "same text", "same text", "\n\nTwo lines\n and\tmore", "unbroken" * 40]
+    texts = [None, "", " ", "  ", "\n", "word ", "same text", "same text", "\n\nTwo lines\n and\tmore", "unbroken" * 40, "\0after, a zero", "two\n\nlines\n\n\nthree"]
     texts += ["".join(rng.choices(PARTS, k=rng.randrange(1, 30))) for _ in range(60)] + ["The quick brown foxes' antidisestablishmentarianism"] * 5
-    monkeypatch.setattr(alignment, "CACHE", cache)
-    monkeypatch.setattr(alignment, "FLUSH", flush)
+    texts += [" ".join(rng.choices(["plain,", "words;", "of", "all\nkinds", "¿ñandú?", "x²."], k=30)) for _ in range(20)]
+    for name, value in (("UNITS", units), ("BLOCK", block), ("SUMS", sums)):
+        monkeypatch.setattr(alignment, name, value)
     rows = [(i if i % 7 else None, t, "", "") for i, t in enumerate(texts)]
     found = alignment.alignments(frame(spark, rows), BYTES, PIECES, pairs)
     assert sorted(tuple(r) for r in found.drop("doc_id").collect()) == plain_alignments(texts)
