@@ -23,7 +23,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from .common import join_checked, remove_staged, staged, table
 
@@ -34,6 +34,7 @@ SLICE = 1 << 20  # bytes that are searched for anchors at a time
 RUN = 32_000_000  # bytes of suffixes that a task sorts at a time
 RANGE = 32_000_000  # bytes of suffixes that a reading task merges, about
 SAMPLE = 32  # suffixes for each range from which the ranges' ends are taken
+SPANS = 500_000  # texts that lose something, a few numbers each, that are sent to all tasks; more are joined
 FEW = 6  # suffixes whose pairs are compared one by one
 BITS = 20  # of an anchor's place, its greatest and least distance from the starts of its strings, 10 bits each
 
@@ -346,6 +347,17 @@ def _cut(batches):
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
 
 
+def _merged(spans: Column) -> Column:
+    """Spans in order of their starts, with those that touch made one."""
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        joined = F.array_append(F.slice(out, 1, F.size(out) - 1), F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi")))
+        return F.when((F.size(out) > 0) & (x["lo"] <= last["hi"]), joined).otherwise(F.array_append(out, x))
+
+    return F.aggregate(spans, F.array().cast("array<struct<lo:bigint,hi:bigint>>"), step)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (bytes).
 
@@ -362,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     found = staged(found.select("h1", "h2", "copies", "x.*"), "anchors")
     each = found.select("h1", "h2", "copies", F.explode(F.arrays_zip("at", "hash")).alias("x")).select("h1", "h2", "copies", "x.at", "x.hash")
     twice = each.groupBy("hash").agg(F.sum("copies").alias("n")).where("n > 1").select("hash")
-    near = staged(each.join(twice, "hash", "left_semi").groupBy("h1", "h2").agg(F.sort_array(F.collect_list("at")).alias("at"), F.first("copies").alias("copies")), "candidates")
+    near = staged(each.join(staged(twice, "twice"), "hash", "left_semi").groupBy("h1", "h2").agg(F.sort_array(F.collect_list("at")).alias("at"), F.first("copies").alias("copies")), "candidates")
     size = near.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0] * (length + window // 2)
     ranges = max(1, -(-size // RANGE))
     sample = found.select(F.explode("sample").alias("s")).distinct()
@@ -376,10 +388,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     at = runs.where("run is null").select("h1", "h2", F.explode(F.arrays_zip("at", "k1", "k2")).alias("x")).select("h1", "h2", "x.*")
     place = F.shiftright("at", BITS)
     spans = at.join(told, ["k1", "k2"]).select("h1", "h2", F.struct((place - F.col("hi")).alias("lo"), (place - F.col("lo") + length).alias("hi")).alias("span"))
-    spans = staged(spans.groupBy("h1", "h2").agg(F.collect_set("span").alias("spans")), "spans")
+    spans = staged(spans.groupBy("h1", "h2").agg(_merged(F.array_sort(F.collect_set("span"))).alias("spans")), "spans")
     for t in (found, near, runs, told):
         remove_staged(t)
-    return join_checked(rows, spans, ["h1", "h2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return join_checked(rows, spans, ["h1", "h2"], "left", SPANS).select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
