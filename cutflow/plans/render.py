@@ -21,12 +21,23 @@ def preset_speed(preset: str, u: Column) -> Column:
     return curves[preset]
 
 
-def speed_segments(clips: DataFrame, length: str, preset: str, steps: int = 10) -> DataFrame:
-    """clips -> a row for each of the curve's equal steps: step, a, b, speed (sampled at its middle, 0.05 at least)."""
-    n = max(steps, 20) if preset == "punch" else steps
+def ramp(start: float, end: float):
+    """A speed function that goes straight from start to end; a constant one, if they are equal."""
+    return lambda u: start + (end - start) * u
+
+
+def sampled_speed(clips: DataFrame, length: str, speed, steps: int = 10) -> DataFrame:
+    """clips -> a row for each of equal steps: step, a, b, speed, which is the function of a column u in [0, 1] at the
+    step's middle, 0.05 at least."""
+    n = max(1, steps)
     out = clips.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     u0, u1 = F.col("step") / n, (F.col("step") + 1) / n
-    return out.withColumns({"a": u0 * F.col(length), "b": u1 * F.col(length), "speed": F.greatest(F.lit(0.05), preset_speed(preset, (u0 + u1) / 2))})
+    return out.withColumns({"a": u0 * F.col(length), "b": u1 * F.col(length), "speed": F.greatest(F.lit(0.05), F.lit(0.0) + speed((u0 + u1) / 2))})
+
+
+def speed_segments(clips: DataFrame, length: str, preset: str, steps: int = 10) -> DataFrame:
+    """As sampled_speed, of a preset curve."""
+    return sampled_speed(clips, length, lambda u: preset_speed(preset, u), max(steps, 20) if preset == "punch" else steps)
 
 
 def atempo(speed: Column, lo: float = 0.5, hi: float = 2.0) -> Column:
