@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import count
+from typing import NamedTuple
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,46 +85,63 @@ TEMPLATES = [
     ),
 ]
 THRESHOLD = 0.9
-#: Words of a block and of the step to the next one, by kind. A template belongs to the first kind whose blocks overlap
-#: by as many words as it has.
-KINDS = ((64, 32), (512, 256))
+#: Words of the step from a block to the next one of the first kind, and how many times as many the next kind has. Blocks
+#: have two steps' words. A template belongs to the first kind of which a step has as many words as it.
+STEP, GROWTH = 32, 8
 
 
-def template_sets(templates) -> list[tuple[str, int, list[str]]]:
-    """label, kind and distinct tokens of each template; one longer than the last kind's overlap is an error."""
+def block_words(kind: int) -> tuple[int, int]:
+    """Words of a block of a kind, and of a step."""
+    return 2 * STEP * GROWTH**kind, STEP * GROWTH**kind
+
+
+class Template(NamedTuple):
+    label: str
+    kind: int
+    words: int
+    tokens: list[str]  # distinct
+
+
+def template_sets(templates) -> list[Template]:
+    """Templates of any length, as they are sought; one without words is an error."""
     out = []
     for label, text in templates:
         words = [w for w in re.split("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
-        kind = next((k for k, (size, step) in enumerate(KINDS) if len(words) <= size - step), None)
-        if kind is None or not words:
-            raise ValueError(f"a template of {len(words)} words fits no kind of block: {text[:60]!r}")
-        out.append((label, kind, sorted(set(words))))
+        if not words:
+            raise ValueError(f"a template without words: {text[:60]!r}")
+        kind = next(k for k in count() if len(words) <= block_words(k)[1])
+        out.append(Template(label, kind, len(words), sorted(set(words))))
     return out
 
 
+BLOCKS = "array<struct<kind:int,at:int,tokens:array<string>,words:array<string>>>"
+
+
 def blocks(w: Column, kind: int, known: list[str], least: int) -> Column:
-    """array<struct<kind, at, tokens>> of the blocks of a word array that hold `least` or more of the known tokens."""
-    size, step = KINDS[kind]
+    """array<struct<kind, at, tokens, words>> of the blocks of a word array that hold `least` or more of the known tokens."""
+    size, step = block_words(kind)
     starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (size - step), F.lit(1)), F.lit(step))
     some = F.array(*map(F.lit, known))
-    each = F.transform(starts, lambda at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.array_intersect(F.slice(w, at, F.lit(size)), some).alias("tokens")))
-    none = F.array().cast("array<struct<kind:int,at:int,tokens:array<string>>>")
+    each = F.transform(starts, lambda at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.array_intersect(F.slice(w, at, F.lit(size)), some).alias("tokens"), F.slice(w, at, F.lit(size)).alias("words")))
+    none = F.array().cast(BLOCKS)
     return F.when(F.size(F.array_intersect(w, some)) >= least, F.filter(each, lambda x: F.size(x["tokens"]) >= least)).otherwise(none)
 
 
-def parsed(docs: DataFrame, sets: list[tuple[str, int, list[str]]], threshold: float) -> DataFrame:
-    """doc_id, h (hash of the text), n_words, p0 and so on (places of PHRASES) and blocks(kind, at, tokens) of every row.
+def parsed(docs: DataFrame, sets: list[Template], threshold: float) -> DataFrame:
+    """doc_id, h (hash of the text), n_words, p0 and so on (places of PHRASES) and blocks(kind, at, tokens, words) of every row.
 
-    The only pass over the texts. tokens are numbers of the templates' distinct tokens, in their order from 1."""
-    vocabulary = sorted({t for _, _, s in sets for t in s})
+    The only pass over the texts. tokens are numbers of the templates' distinct tokens, in their order from 1; words those
+    of all words of the block, 0 for those that no template has."""
+    vocabulary = sorted({t for x in sets for t in x.tokens})
     t, space = F.col("t"), F.lit(" ")
     base = docs.select("doc_id", F.xxhash64("text").alias("h"), alnum_text(F.col("text")).alias("t"))
-    kinds = {k: ([x for _, kk, s in sets if kk == k for x in s], min(needed(s, threshold) for _, kk, s in sets if kk == k)) for k in sorted({k for _, k, _ in sets})}
-    found = F.array().cast("array<struct<kind:int,at:int,tokens:array<string>>>")
+    kinds = {k: ([w for x in sets if x.kind == k for w in x.tokens], min(needed(x.tokens, threshold) for x in sets if x.kind == k)) for k in sorted({x.kind for x in sets})}
+    found = F.array().cast(BLOCKS)
     if kinds:
         found = let(F.split(F.trim(t), " "), lambda w: F.concat(*[blocks(w, k, sorted(set(known)), least) for k, (known, least) in kinds.items()]))
     names = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    numbered = F.transform(found, lambda b: F.struct(b["kind"].alias("kind"), b["at"].alias("at"), F.transform(b["tokens"], lambda x: F.array_position(names, x).cast("int")).alias("tokens")))
+    number = lambda x: F.array_position(names, x).cast("int")
+    numbered = F.transform(found, lambda b: F.struct(b["kind"].alias("kind"), b["at"].alias("at"), F.transform(b["tokens"], number).alias("tokens"), F.transform(b["words"], number).alias("words")))
     n_words = F.when(t == "  ", F.lit(0)).otherwise(F.greatest(F.char_length(t) - F.char_length(F.replace(t, space, F.lit(""))) - 1, F.lit(0)))
     return base.select("doc_id", "h", n_words.cast("long").alias("n_words"), *[phrase_places(t, p).alias(f"p{i}") for i, p in enumerate(PHRASES)], numbered.alias("blocks"))
 
@@ -132,32 +151,55 @@ def needed(tokens: list[str], threshold: float) -> int:
     return math.ceil(threshold * len(tokens) - 1e-9)
 
 
-def matches(found: DataFrame, sets: list[tuple[str, int, list[str]]], threshold: float) -> DataFrame:
+def places(words: Column, template: Column) -> Column:
+    """Starts in a block's words, from 1, of the runs of as many words as the template has that hold most of its tokens."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - template["words"] + 1, F.lit(1)))
+    counts = F.transform(starts, lambda p: F.size(F.array_intersect(F.slice(words, p, template["words"]), template["t"])))
+    return let(counts, lambda n: let(F.array_max(n), lambda top: F.filter(starts, lambda p: F.element_at(n, p) == top)))
+
+
+def covered(words: Column, inner: Column, outer: Column) -> Column:
+    """Whether the best runs of outer cover all of inner's tokens in all its best runs."""
+    within = lambda q, p, template: (q >= p) & (q < p + template["words"])
+
+    def bare(runs: Column) -> Column:
+        every = F.sequence(F.lit(1), F.size(words))
+        return F.filter(every, lambda q: F.array_contains(inner["t"], F.element_at(words, q)) & ~F.exists(runs, lambda p: within(q, p, outer)))
+
+    free = let(places(words, outer), bare)
+    return let(free, lambda f: ~F.exists(places(words, inner), lambda p: F.exists(f, lambda q: within(q, p, inner))))
+
+
+def matches(found: DataFrame, sets: list[Template], threshold: float) -> DataFrame:
     """Of parsed rows: doc_id, h, label, containment, the greatest of a label in a document.
 
     The blocks are counted first: in how many each template token stands gives the order; one row for each such token
     reaches the driver. The templates are a parameter of fixed size, and their prefixes are broadcast."""
-    vocabulary = sorted({t for _, _, s in sets for t in s})
-    each = found.select("doc_id", "h", F.explode("blocks").alias("b")).select("doc_id", "h", "b.kind", "b.at", "b.tokens")
+    vocabulary = sorted({t for x in sets for t in x.tokens})
+    each = found.select("doc_id", "h", F.explode("blocks").alias("b")).select("doc_id", "h", "b.kind", "b.at", "b.tokens", "b.words")
     often = {r["w"]: r["n"] for r in each.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted(range(len(vocabulary)), key=lambda i: (often.get(i + 1, 0), vocabulary[i]))
     rank = {vocabulary[i]: r for r, i in enumerate(order)}
     index = []
-    for label, kind, tokens in sets:
+    for label, kind, words, tokens in sets:
         t, need = sorted(rank[w] for w in tokens), needed(tokens, threshold)
         # Some of the first |T| - need + 1 tokens of T must be in a block that holds `need` of them.
-        index += [(r, kind, i, len(t), need, label, ",".join(map(str, t))) for i, r in enumerate(t[: len(t) - need + 1])]
-    index = values(found.sparkSession, "r int, kind int, i int, size int, need int, label string, t string", index)
+        index += [(r, kind, i, len(t), need, label, words, ",".join(map(str, t))) for i, r in enumerate(t[: len(t) - need + 1])]
+    index = values(found.sparkSession, "r int, kind int, i int, size int, need int, label string, n int, t string", index)
     index = F.broadcast(index.withColumn("t", F.split("t", ",").cast("array<int>")))
     ranks = F.array(*[F.lit(rank[w]) for w in vocabulary]) if vocabulary else F.array().cast("array<int>")
     key = ["doc_id", "h", "kind", "at"]
-    held = each.select(*key, F.array_sort(F.transform("tokens", lambda i: F.element_at(ranks, i))).alias("b"))
-    pairs = held.select(*key, "b", F.posexplode_outer("b").alias("j", "r")).join(index, ["r", "kind"])
+    ranked = lambda i: F.when(i > 0, F.element_at(ranks, F.greatest(i, F.lit(1)))).otherwise(-1)
+    held = each.select(*key, F.array_sort(F.transform("tokens", ranked)).alias("b"), F.transform("words", ranked).alias("words"))
+    pairs = held.select(*key, "b", "words", F.posexplode_outer("b").alias("j", "r")).join(index, ["r", "kind"])
     pairs = pairs.where((F.size("b") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("b") - F.col("j") - 1) >= F.col("need")))
     pairs = pairs.withColumn("m", F.array_intersect("b", "t")).where(F.size("m") >= F.col("need"))
-    # A template gives way in a block to one that explains the same tokens better: cc-by to cc-by-nc, lgpl-3 to gpl-3.
-    grouped = pairs.groupBy(*key).agg(F.collect_set(F.struct("label", "m", (F.size("m") / F.col("size")).alias("c"))).alias("all"))
-    better = lambda x, o: (F.size(F.array_except(x["m"], o["m"])) == 0) & ((F.size(o["m"]) > F.size(x["m"])) | (o["c"] > x["c"]))
+    # A template gives way in a block to one that explains the same tokens better, if it does so wherever the template
+    # stands best: cc-by to cc-by-nc, gpl-3 to lgpl-3, but not where a notice of its own stands beside the other one.
+    match = F.struct("label", "m", (F.size("m") / F.col("size")).alias("c"), "t", F.col("n").alias("words"))
+    grouped = pairs.groupBy(*key).agg(F.collect_set(match).alias("all"), F.first("words").alias("words"))
+    fuller = lambda x, o: (F.size(F.array_except(x["m"], o["m"])) == 0) & ((F.size(o["m"]) > F.size(x["m"])) | (o["c"] > x["c"]))
+    better = lambda x, o: F.when(fuller(x, o), covered(F.col("words"), x, o)).otherwise(False)
     best = grouped.select("doc_id", "h", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda o: better(x, o)))).alias("x"))
     return best.groupBy("doc_id", "h", F.col("x.label").alias("label")).agg(F.max("x.c").alias("containment"))
 
@@ -211,19 +253,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     words = r"regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {kind}, {t!r}, {needed(t, THRESHOLD)})" for label, kind, t in template_sets(TEMPLATES))
-    kinds = ", ".join(f"({k}, {size}, {step})" for k, (size, step) in enumerate(KINDS))
+    sets = template_sets(TEMPLATES)
+    templates = ", ".join(f"({i}, '{x.label}', {x.kind}, {x.words}, {x.tokens!r}, {needed(x.tokens, THRESHOLD)})" for i, x in enumerate(sets))
+    kinds = ", ".join(f"({k}, {size}, {step})" for k in sorted({x.kind for x in sets}) for size, step in [block_words(k)])
     return f"""
 with d as (select row_number() over () as rid, doc_id, text, list_filter({words}, lambda w: w <> '') as w from documents),
 p(phrase, label, size) as (values {phrases}),
-t(label, kind, toks, need) as (values {templates}),
+t(tid, label, kind, n, toks, need) as (values {templates}),
 k(kind, size, step) as (values {kinds}),
 hit as (select rid, label, pos from (select rid, label, size, phrase, w, unnest(range(len(w))) as pos from d, p where contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')) where array_to_string(w[pos + 1:pos + size], ' ') = phrase),
 base as (select rid, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as l from hit group by rid),
-block as (select rid, kind, pos, list_distinct(w[pos + 1:pos + size]) as b from (select rid, w, kind, size, unnest(range(0, greatest(len(w) - (size - step), 1), step)) as pos from d, k)),
-near as (select rid, kind, pos, label, list_intersect(b, toks) as m, len(list_intersect(b, toks)) / len(toks) as c from block join t using (kind) where len(list_intersect(b, toks)) >= need),
-worse as (select x.rid, x.kind, x.pos, x.label, x.m from near x join near o using (rid, kind, pos) where len(list_filter(x.m, lambda w: not list_contains(o.m, w))) = 0 and (len(o.m) > len(x.m) or o.c > x.c)),
-best as (select rid, list(distinct label) as l, max(c) as c from near anti join worse using (rid, kind, pos, label, m) group by rid)
+block as (select rid, kind, pos, w[pos + 1:pos + size] as b from (select rid, w, kind, size, unnest(range(0, greatest(len(w) - (size - step), 1), step)) as pos from d, k)),
+near as (select rid, kind, pos, tid, label, n, toks, b, list_intersect(list_distinct(b), toks) as m, len(list_intersect(list_distinct(b), toks)) / len(toks) as c from block join t using (kind) where len(list_intersect(list_distinct(b), toks)) >= need),
+runs as (select *, list_transform(range(1, greatest(len(b) - n + 1, 1) + 1), lambda p: len(list_intersect(list_distinct(b[p:p + n - 1]), toks))) as held from near),
+stand as (select *, list_filter(range(1, len(held) + 1), lambda p: held[p] = list_max(held)) as spots from runs),
+over as (select x.rid, x.kind, x.pos, x.tid, x.n, x.spots, list_filter(range(1, len(x.b) + 1), lambda q: list_contains(x.toks, x.b[q]) and len(list_filter(o.spots, lambda p: p <= q and q < p + o.n)) = 0) as free
+  from stand x join stand o using (rid, kind, pos) where len(list_filter(x.m, lambda w: not list_contains(o.m, w))) = 0 and (len(o.m) > len(x.m) or o.c > x.c)),
+worse as (select rid, kind, pos, tid from over where len(list_filter(spots, lambda p: len(list_filter(free, lambda q: p <= q and q < p + n)) > 0)) = 0),
+best as (select rid, list(distinct label) as l, max(c) as c from near anti join worse using (rid, kind, pos, tid) group by rid)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base.l), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(best.l, [])))), ','), '') as labels,
