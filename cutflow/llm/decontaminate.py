@@ -64,11 +64,12 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """item, key, place, seed: a seed stands once for each place."""
-    n, parts = F.size("item"), replaced(F.size("item")) + 1
+    """item (its words, or null from LONG words on), key, place, seed: a seed stands once for each place."""
+    n, parts = F.col("n"), replaced(F.col("n")) + 1
     starts = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.floor(k * n / parts).cast("int"))
-    each = items.select("item", "key", F.posexplode(seeds(F.col("item"))).alias("mask", "s")).select("item", "key", "mask", F.posexplode("s").alias("place", "seed"))
-    return each.where((F.col("mask") < len(MASKS)) | ((n < LONG) & F.array_contains(starts, F.col("place")))).select("item", "key", "place", "seed")
+    few = F.when(F.size("item") < LONG, F.col("item")).alias("few")
+    each = items.select(few, "key", F.size("item").alias("n"), F.posexplode(seeds(F.col("item"))).alias("mask", "s")).select("few", "key", "n", "mask", F.posexplode("s").alias("place", "seed"))
+    return each.where((F.col("mask") < len(MASKS)) | ((n < LONG) & F.array_contains(starts, F.col("place")))).select(F.col("few").alias("item"), "key", "place", "seed")
 
 
 def replaced(n: Column) -> Column:
@@ -98,12 +99,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block: i
     """docs(doc_id, text, ...), benchmark(item_id, text) -> doc_id, h (hash of the text), key (of the item), score.
 
     A row for each document and benchmark text whose best overlap reaches `least`. The documents' seeds are made where
-    the document is read. A benchmark of at most `block` seeds, which are counted first, is broadcast, and hits are
-    verified in that task too. A larger one is too large for that: its seeds are broadcast as bare numbers, `sieve` at a
-    time, and only the documents' seeds that are among them, with the words around, are shuffled to the items."""
+    the document is read. A benchmark of at most `block` seeds, which are counted first, is broadcast. A larger one is
+    too large for that: its seeds are broadcast as bare numbers, `sieve` at a time, and only the documents' seeds that
+    are among them are shuffled to the items. Seeds of items of fewer than LONG words bring those words along, and the
+    words around a hit are cut out where the document is read. A longer item's seeds bring its key and place only: hits
+    become distinct diagonals first, and then the words of the documents and items that have such are fetched, so that
+    the work is in proportion to an item's length."""
     items = staged(items_of(benchmark), "items")
     known = staged(item_seeds(items), "seeds")
-    n_seeds, longest = known.count(), items.agg(F.coalesce(F.max(F.size("item")), F.lit(0))).first()[0]
+    n_seeds = known.count()
     w = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
     hashed = w.select("doc_id", "h", "w", F.flatten(seeds(F.col("w"))).alias("s"), F.size("w").alias("n"))
     probes = hashed.select("doc_id", "h", "w", "n", F.posexplode_outer("s").alias("i", "seed"))
@@ -120,18 +124,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block: i
         blocks = [numbers.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == k) for k in range(parts)]
         left = None
         for b in blocks:
-            one = probes.join(F.broadcast(b), "seed", "left_semi").select("doc_id", "h", "seed", at.alias("at"), short.alias("short"), F.greatest(at - longest, F.lit(0)).alias("from"), "w")
-            one = one.withColumn("part", F.slice("w", F.col("from") + 1, F.lit(2 * longest))).drop("w")
+            one = probes.join(F.broadcast(b), "seed", "left_semi").select("doc_id", "h", "seed", at.alias("at"), short.alias("short"), F.greatest(at - LONG, F.lit(0)).alias("from"), "w")
+            one = one.withColumn("part", F.slice("w", F.col("from") + 1, F.lit(2 * LONG))).drop("w")
             left = one if left is None else left.unionByName(one)
         hits = left.join(known.hint("shuffle_hash"), "seed").withColumn("shift", F.col("at") - F.col("place"))
-    # The item's words and the document's words along the hit; what stands outside the document counts as different.
-    lo, size = F.greatest(F.col("shift"), F.lit(0)), F.size("item")
-    there = F.concat(F.array_repeat(F.lit(""), F.least(lo - F.col("shift"), size)), F.slice("part", lo - F.col("from") + 1, F.greatest(F.col("shift") + size - lo, F.lit(0))))
+    def along(shift: Column, part: Column, begin: Column, item: Column) -> Column:
+        """The document's words beside an item's; what stands outside the document counts as different."""
+        lo, size = F.greatest(shift, F.lit(0)), F.size(item)
+        return F.concat(F.array_repeat(F.lit(""), F.least(lo - shift, size)), F.slice(part, lo - begin + 1, F.greatest(shift + size - lo, F.lit(0))))
+
     # Three words stand in prose by chance, so their hits are verified before they leave the task; by a generator, as
     # a filter would go into the join and have it handle a copy of the document for each of its seeds.
+    there = F.when(F.col("item").isNull(), F.array().cast("array<string>")).otherwise(along(F.col("shift"), F.col("part"), F.col("from"), F.col("item")))
     hits = hits.select("doc_id", "h", "item", "key", "shift", "short", there.alias("there"))
     hits = hits.select("doc_id", "h", "item", "key", "shift", F.explode_outer(F.when(~F.col("short") | whole(F.col("there"), F.col("item")), F.array("there"))).alias("there")).where("there is not null")
-    near = hits.groupBy("doc_id", "h", "key", "shift").agg(F.first("there").alias("there"), F.first("item").alias("item"))
+    lines = staged(hits.groupBy("doc_id", "h", "key", "shift").agg(F.first("there").alias("there"), F.first("item").alias("item")), "diagonals")
+    near = lines.where("item is not null").select("doc_id", "h", "key", "there", "item")
+    far = lines.where("item is null").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "key", "shift")
+    if not far.isEmpty():
+        texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").dropDuplicates(["doc_id", "h"])
+        found = join_checked(texts, staged(far, "far"), texts["doc_id"].eqNullSafe(F.col("d")) & (texts["h"] == F.col("g")), "inner")
+        found = found.select("doc_id", "h", words(F.col("text")).alias("w"), "key", "shift").join(items, "key")
+        near = near.unionByName(found.select("doc_id", "h", "key", along(F.col("shift"), F.col("w"), F.lit(0), F.col("item")).alias("there"), "item"))
     near = near.withColumn("score", score(F.col("there"), F.col("item"))).where((F.col("score") >= F.least(F.lit(least), F.size("item"))) | whole(F.col("there"), F.col("item")))
     # Items too short for a seed: the document is no more than that.
     bare = F.filter(words(F.col("text")), lambda x: x != "")

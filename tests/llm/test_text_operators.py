@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import struct
 from collections import Counter
 
@@ -152,6 +153,50 @@ def test_decontamination_of_short_items(spark):
     assert 151 in got[0] and 1 in got[1]
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 1, "sieve": 3000}])
+def test_decontamination_of_long_items(spark, options):
+    """Items of 25 words and more against brute force along all diagonals, where seven words in a row are equal."""
+    rng = random.Random(8)
+    known = [f"word{i}" for i in range(400)]
+    items = {n: rng.choices(known, k=n) for n in (25, 40, 90, 300, 1000)}
+    texts = []
+    for item in items.values():
+        for size in (7, 9, 10, 12, 20, 25):
+            at = rng.randrange(len(item) - size + 1)
+            part = item[at : at + size]
+            texts.append(rng.choices(known, k=rng.randrange(30)) + part + rng.choices(known, k=rng.randrange(30)))
+            texts.append(["x" if i % 8 == 7 else w for i, w in enumerate(part)] + rng.choices(known, k=5))
+        texts.append(item)
+
+    def best(text, item):
+        top, seven = 0, False
+        for s in range(-len(item), len(text)):
+            now = row = 0
+            for i in range(max(0, -s), min(len(item), len(text) - s)):
+                equal = text[s + i] == item[i]
+                now, row = max(0, now + (1 if equal else -2)), row + 1 if equal else 0
+                top, seven = max(top, now), seven or row >= 7
+        return top if seven else 0
+
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    out = {r["doc_id"]: r for r in decontaminate.decontaminate(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), bench, **options).collect()}
+    for i, text in enumerate(texts):
+        scores = {k: best(text, item) for k, item in items.items()}
+        assert {int(x) for x in out[i]["items"].split(",") if x} == {k for k, v in scores.items() if v >= 10}, (i, scores)
+        assert out[i]["score"] == max([v for v in scores.values() if v >= 10], default=0)
+
+
+def test_decontamination_of_a_very_long_item(spark):
+    """The work is in proportion to the item's length: tens of thousands of words in a document take seconds."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(20_000)}" for _ in range(50_000)]
+    bench = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
+    rows = [(1, " ".join(long)), (2, " ".join(long[20_000:20_040])), (3, " ".join(rng.sample(long, 3000)))]
+    began = time.monotonic()
+    out = {r["doc_id"]: (r["kept"], r["score"]) for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
+    assert out == {1: (False, 50_000), 2: (False, 40), 3: (True, 0)} and time.monotonic() - began < 90
+
+
 # ---- licenses
 
 
