@@ -9,14 +9,15 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import ascii_lower, let, staged, table
+from .common import ascii_lower, let, running, staged, table
 from .components import connected_components
 
 #: Verdict, host and path of each rule (fixed values).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
 TRACKING = "^(utm_[^=]*|fbclid|gclid|ref)="
-SEGMENTS = 1000  # dot segments of paths that have more are left as they stand
+#: Parts of a page whose tags aren't its own: comments, and elements whose text isn't shown as markup.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "template", "textarea"))
 REFERENCES = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}  # the last one is decoded last
 
 
@@ -39,22 +40,24 @@ def rule_of(host: Column, path: Column, rules) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """The form by which urls are the same: no scheme, www., fragment, tracking parameter or trailing slash."""
+    """The form by which urls are the same: no scheme, its port, www., fragment, tracking parameter or trailing slash."""
     rest = F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1), r"(?s)#.*$", "")
     params = F.filter(F.split(F.regexp_extract(rest, r"(?s)\?(.*)$", 1), "&"), lambda x: ~F.regexp_like(x, F.lit(TRACKING)))
     query = F.regexp_replace(F.array_join(params, "&"), "&$", "")
     hp = host_path(url)
-    form = F.concat(F.regexp_replace(hp["host"], r"^www\.", ""), F.regexp_replace(hp["path"], r"/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    form = F.concat(F.regexp_replace(F.regexp_replace(hp["host"], r"^www\.", ""), ":(80|443)$", ""), F.regexp_replace(hp["path"], r"/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     return F.when(hp["host"] != "", form)
 
 
 def decoded(text: Column) -> Column:
-    """text without character references: numeric ones below 256 and those that attributes need."""
+    """text without character references: all numeric ones, and those that attributes need."""
 
     def one(x: Column) -> Column:
-        decimal, hexa = F.regexp_extract(x, "^0*([0-9]{1,3});", 1).try_cast("int"), F.conv(F.regexp_extract(x, "^[xX]0*([0-9a-fA-F]{1,2});", 1), 16, 10).try_cast("int")
-        code = F.coalesce(F.when(decimal < 256, decimal), hexa)
-        return F.when(code > 0, F.concat(F.char(code), F.regexp_replace(x, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), x))
+        decimal, hexa = F.regexp_extract(x, "^0*([0-9]{1,7});", 1).try_cast("int"), F.conv(F.regexp_extract(x, "^[xX]0*([0-9a-fA-F]{1,6});", 1), 16, 10).try_cast("int")
+        code = F.coalesce(decimal, F.when(F.regexp_like(x, F.lit("^[xX]0*[1-9a-fA-F]")), hexa))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(known, F.concat(char, F.regexp_replace(x, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), x))
 
     out = let(F.split(text, "&#"), lambda p: F.array_join(F.concat(F.slice(p, 1, 1), F.transform(F.slice(p, F.lit(2), F.size(p)), one)), ""))
     for name, char in REFERENCES.items():
@@ -82,9 +85,19 @@ def resolved(base: Column, ref: Column) -> Column:
 def without_dots(url: Column) -> Column:
     """url with the segments . and .. of its path carried out."""
     part = lambda k: F.regexp_extract(url, r"(?s)^([^:/?#]*://[^/?#]*)([^?#]*)(.*)$", k)
-    step = lambda out, x: F.when(x == ".", out).when(x == "..", F.regexp_replace(out, "/[^/]*$", "")).otherwise(F.concat(out, F.lit("/"), x))
-    fold = lambda p: F.concat(F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.lit(""), step), F.when(F.element_at(p, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
-    path = let(F.split(part(2), "/"), lambda p: F.when(F.size(p) <= SEGMENTS, fold(p)).otherwise(part(2)))
+    # From the end, a segment stands unless more .. than segments have come since. Some segments together take `need`
+    # pending .. away, if there are so many, and leave `more` of their own.
+    pair = lambda need, more: F.struct(need, more).cast("struct<need:int,more:int>")
+    one = lambda x: pair(F.when(x.isin(".", ".."), 0).otherwise(1), F.when(x == "..", 1).otherwise(0))
+    both = lambda a, b: pair(a["need"] + F.greatest(b["need"] - a["more"], F.lit(0)), F.greatest(a["more"] - b["need"], F.lit(0)) + b["more"])
+
+    def fold(p: Column) -> Column:
+        pending = running(F.transform(p, one), pair(F.lit(0), F.lit(0)), both)
+        stands = F.zip_with(p, pending, lambda x, n: F.when((n["more"] == 0) & ~x.isin(".", ".."), F.concat(F.lit("/"), x)))
+        return F.array_join(F.reverse(F.array_compact(stands)), "")
+
+    segments = F.split(part(2), "/")
+    path = F.concat(let(F.reverse(F.slice(segments, F.lit(2), F.size(segments))), fold), F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
     return F.when(F.regexp_like(part(2), F.lit(r"/\.\.?(/|$)")), F.concat(part(1), path, part(3))).otherwise(url)
 
 
@@ -103,6 +116,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     refresh = r"(?is)url\s*=\s*['\"]?([^'\"\s]+)"
     redirects = F.transform(tags("meta", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), lambda x: F.regexp_extract(decoded(attr(x, "content")), refresh, 1))
     some = pages.where(F.col("url").isNotNull() & F.regexp_like("html", F.lit(r"(?i)canonical|http-equiv\s*=\s*[\"']?refresh")))
+    some = some.withColumn("html", F.regexp_replace("html", HIDDEN, " "))
     own_base = decoded(attr(F.get(tags("base", "(?i)href"), F.lit(0)), "href"))
     base = F.when(own_base != "", F.coalesce(resolved(F.col("url"), F.trim(own_base)), F.col("url"))).otherwise(F.col("url"))
     found = some.select(F.col("url").alias("from_url"), base.alias("base"), F.explode(F.concat(F.transform(canonicals, decoded), redirects)).alias("ref"))
@@ -151,14 +165,15 @@ def _oracle() -> str:
     def node(u: str) -> str:
         host, path = host_path_sql(u)
         query = f"regexp_replace(array_to_string(list_filter(string_split(regexp_extract(regexp_replace({u}, '#.*$', '', 's'), '\\?(.*)$', 1, 's'), '&'), lambda x: not regexp_matches(x, '{TRACKING}')), '&'), '&$', '')"
-        return f"case when {host} <> '' then regexp_replace({host}, '^www\\.', '') || regexp_replace({path}, '/+$', '') || case when {query} <> '' then '?' || {query} else '' end end"
+        return f"case when {host} <> '' then regexp_replace(regexp_replace({host}, '^www\\.', ''), ':(80|443)$', '') || regexp_replace({path}, '/+$', '') || case when {query} <> '' then '?' || {query} else '' end end"
 
     def attr(name: str) -> str:
         of = lambda v: f"nullif(regexp_extract(tag, {quote(rf'(?is)\b{name}\s*=\s*' + v)}, 1), '')"
         return f"""coalesce({of('"([^"]*)"')}, {of("'([^']*)'")}, {of("([^\\s\"'>]+)")}, '')"""
 
     def refs(x: str) -> str:
-        piece = "case when regexp_matches(y, '^0*[0-9]{1,3};') and regexp_extract(y, '^0*([0-9]{1,3});', 1)::int between 1 and 255 then chr(regexp_extract(y, '^0*([0-9]{1,3});', 1)::int) || regexp_replace(y, '^[^;]*;', '') when regexp_matches(y, '^[xX]0*[1-9a-fA-F][0-9a-fA-F]?;') then chr(('0x' || regexp_extract(y, '^[xX]0*([0-9a-fA-F]{1,2});', 1))::int) || regexp_replace(y, '^[^;]*;', '') else '&#' || y end"
+        code = "case when regexp_matches(y, '^0*[0-9]{1,7};') then regexp_extract(y, '^0*([0-9]{1,7});', 1)::int when regexp_matches(y, '^[xX]0*[1-9a-fA-F][0-9a-fA-F]{0,5};') then ('0x' || regexp_extract(y, '^[xX]0*([0-9a-fA-F]{1,6});', 1))::int end"
+        piece = f"case when {code} between 1 and 55295 or {code} between 57344 and 1114111 then chr({code}) || regexp_replace(y, '^[^;]*;', '') else '&#' || y end"
         out = f"(string_split({x}, '&#')[1] || array_to_string(list_transform(string_split({x}, '&#')[2:], lambda y: {piece}), ''))"
         for name, char in REFERENCES.items():
             out = f"replace({out}, '{name}', {quote(char)})"
@@ -171,12 +186,12 @@ def _oracle() -> str:
     def dots(u: str) -> str:
         part = lambda k: f"regexp_extract({u}, '^([^:/?#]*://[^/?#]*)([^?#]*)(.*)$', {k}, 's')"
         step = "case when x = '.' then a when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end"
-        return f"case when regexp_matches({part(2)}, '/\\.\\.?(/|$)') and len(string_split({part(2)}, '/')) <= {SEGMENTS} then {part(1)} || list_reduce(list_concat([''], string_split({part(2)}, '/')[2:]), lambda a, x: {step}) || case when string_split({part(2)}, '/')[-1] in ('.', '..') then '/' else '' end || {part(3)} else {u} end"
+        return f"case when regexp_matches({part(2)}, '/\\.\\.?(/|$)') then {part(1)} || list_reduce(list_concat([''], string_split({part(2)}, '/')[2:]), lambda a, x: {step}) || case when string_split({part(2)}, '/')[-1] in ('.', '..') then '/' else '' end || {part(3)} else {u} end"
 
     host, path = host_path_sql("url")
     ends = {x: node(x) for x in ("f", "t")}
     return f"""
-with recursive p as (select row_number() over () as rid, page_id, url, html, coalesce({host}, '') as host, coalesce({path}, '') as path from pages),
+with recursive p as (select row_number() over () as rid, page_id, url, html, coalesce({host}, '') as host, coalesce({path}, '') as path from (select page_id, url, regexp_replace(html, {quote(HIDDEN)}, ' ', 'g') as html from pages)),
 b as (select rid, tag, {refs(attr("href"))} as href from (select rid, regexp_extract_all(html, '(?is)<base\\b[^>]*>') as all_tags, list_filter(all_tags, lambda x: regexp_matches(x, '(?i)href'))[1] as tag from p) where tag is not null),
 pb as (select p.*, coalesce(case when href <> '' then {dots("(" + resolve("url", "trim(href)") + ")")} end, url) as base from p left join b using (rid) where url is not null and html is not null),
 tags as (select url, base, 'link' as kind, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) as tag from pb union all select url, base, 'meta', unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')) from pb),

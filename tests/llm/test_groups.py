@@ -219,6 +219,14 @@ def test_url_aliases_by_every_kind_of_link(spark, tmp_path):
         (13, "https://i.example.edu/" + "a/" * 3000 + "b", link("../" * 20 + "c", "https://j.example.edu/" + "../" * 2000)),
         (14, "https://i.example.edu/" + "long" * 20_000, "<p>"),
         (15, "https://k.example.edu/alias", "<p>"),
+        (16, "https://l.example.edu/1", "<!-- " + link("https://bad.net/") + " --><p>a <!-- open" + link("https://bad.net/")),
+        (17, "https://l.example.edu/2", f'<SCRIPT>x = "{link("https://bad.net/")}"</SCRIPT ><template>{link("https://bad.net/")}</template>' + "<script>" + link("https://bad.net/")),
+        (18, "https://bad.net/deep", link("https://m.example.edu/" + "s/" * 601 + "../" * 601 + "k")),
+        (19, "https://m.example.edu/k", ""),
+        (20, "https://bad.net/dash", link("https://n.example.edu/a&#8211;b&#x1F600;&#xD800;c")),
+        (21, "https://n.example.edu/a–b😀&#xD800;c", ""),
+        (22, "https://bad.net/port", link("http://o.example.edu:80/p")),
+        (23, "https://o.example.edu:443/p/", "<textarea>" + link("https://p.example.org/fr/") + "</textarea>"),
     ]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, node string")
     pages.coalesce(1).write.parquet(f"{tmp_path}/t/pages.parquet")
@@ -227,7 +235,7 @@ def test_url_aliases_by_every_kind_of_link(spark, tmp_path):
     same(urls.op2_urls, urls.OP2_SQL, spark, f"{tmp_path}/d")
     redirects = spark.createDataFrame([("https://k.example.edu/alias", "http://x.net/1"), (None, "http://x.net/1"), ("https://f.example.edu/1", None)], "from_url string, to_url string")
     got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, redirects=redirects).collect()}
-    assert got == {**{i: "allow" for i in range(1, 16)}, **{i: "block" for i in (1, 2, 3, 4, 5, 6, 7, 8, 15)}}
+    assert got == {**{i: "allow" for i in range(1, 24)}, **{i: "block" for i in (1, 2, 3, 4, 5, 6, 7, 8, 15, 18, 19, 20, 21, 22, 23)}}
     assert urls.filter_urls(pages.limit(0), redirects=redirects).count() == 0
     assert {r["verdict"] for r in urls.filter_urls(pages, rules=[]).collect()} == {"allow"}
 
