@@ -28,11 +28,11 @@ class Chunks:
     def __init__(self, df: DataFrame, key: str, t: str):
         self.key, self.w = key, Window.partitionBy(key, "_chunk")
         counts = df.groupBy(key).agg(F.count(t).alias("_n")).where(F.col("_n") > CHUNK)
-        hot = staged(counts, "hot")
-        self.hot = not hot.isEmpty()
+        self.hot = not counts.isEmpty()
         if not self.hot:
             self.df = df.withColumn("_chunk", F.lit(0))
             return
+        hot = staged(counts, "hot")
         parts = F.ceil(F.col("_n") / CHUNK).cast("int")
         most = hot.agg(F.max(parts)).first()[0]
         # One quantile for each chunk of the largest key; smaller ones use every so many.

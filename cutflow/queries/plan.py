@@ -11,13 +11,17 @@ from ..tables import SHOTS, shots, table
 from .media import CLASSIFIED, classified
 
 
+FIFTY = 50  # clips of a video, at most
+
+
 def clips(spark, d):
-    """A video for each source: its shots in order, in whole hundredths."""
+    """A video for every fifty shots, of each source: its shots in order, in whole hundredths. So a video, and the document
+    of one, has fifty clips at most."""
     s = shots(spark, d)
     cents = lambda x: F.floor(x * 100).cast("bigint") / F.lit(100.0)
     types = F.array(*map(F.lit, ["cut", "fade", "dissolve", "wipe"]))
     return s.select(
-        F.col("source_video").alias("video"),
+        F.concat("source_video", F.lit("-"), F.floor(F.col("shot_id") / FIFTY).cast("string")).alias("video"),
         (F.col("shot_id") + 1).alias("i"),
         F.concat(F.lit("/media/"), F.col("source_video"), F.lit("/clip_"), F.col("shot_id").cast("string"), F.lit(".mp4")).alias("source_path"),
         cents(F.col("start_time") % 7200).alias("start_time"),
@@ -29,7 +33,7 @@ def clips(spark, d):
     )
 
 
-CLIPS = f"""{SHOTS}, clips as (select source_video as video, shot_id + 1 as i, '/media/' || source_video || '/clip_' || shot_id || '.mp4' as source_path, floor((start_time % 7200) * 100)::bigint / 100.0::double as start_time, floor(duration * 100)::bigint / 100.0::double as duration,
+CLIPS = f"""{SHOTS}, clips as (select source_video || '-' || (shot_id // {FIFTY}) as video, shot_id + 1 as i, '/media/' || source_video || '/clip_' || shot_id || '.mp4' as source_path, floor((start_time % 7200) * 100)::bigint / 100.0::double as start_time, floor(duration * 100)::bigint / 100.0::double as duration,
 (shot_id % 5000) * 1.5::double as timeline_start, (['cut', 'fade', 'dissolve', 'wipe'])[(shot_id % 4) + 1] as transition_type, (shot_id % 4) * 0.25::double as transition_duration, magnitude * 3 as luma from shots)"""
 
 
