@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from ..tables import staged
+
 BEST = 512  # rows of a source looked at in one round
 
 
@@ -48,14 +50,14 @@ def select_highlights(shots: DataFrame, most: int | str = 15, gap: float | str =
 
         none = F.array().cast(f"array<{item}>")
         now = best.select("source_video", F.aggregate(F.coalesce("rows", none), F.coalesce("chosen", none), step).alias("chosen"), (F.coalesce("n", F.lit(0)) >= BEST).alias("more"), F.coalesce("most", "full").alias("full"))
-        now = now.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else now.persist()
+        now = staged(now, "selected")
         chosen = now.select("source_video", "chosen", "full")
         last = now.where(F.col("more") & (F.size("chosen") < F.col("full")))
         if last.isEmpty():
             break
         here = F.struct(F.col("start_time"), F.col("end_time"))
         ranked = left.join(top.select("source_video", "shot_id"), ["source_video", "shot_id"], "left_anti").join(last.select("source_video", "chosen"), "source_video")
-        left = ranked.where(F.forall("chosen", lambda y: _apart(here, y) >= F.col("min_sep"))).select(*left.columns)
+        left = staged(ranked.where(F.forall("chosen", lambda y: _apart(here, y) >= F.col("min_sep"))).select(*left.columns), "left")
     out = chosen.select("source_video", F.posexplode("chosen").alias("rank", "x"))
     return out.select("source_video", "rank", "x.shot_id", "x.start_time", "x.end_time", (-F.col("x.score")).alias("highlight_score"))
 

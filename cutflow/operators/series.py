@@ -98,3 +98,9 @@ def best_window(profile: DataFrame, key: str, i: str, p: str, width: int) -> Dat
 def every(samples: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
     """Every k-th row of each key, from the first."""
     return samples.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).where(F.col("_n") % k == 0).drop("_n")
+
+
+def minmax(samples: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """samples with out: the value between the least and the greatest of its key, from 0 to almost 1; 0 where all are equal."""
+    ends = samples.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    return samples.join(ends, key).withColumn(out, (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-8)).drop("_lo", "_hi")

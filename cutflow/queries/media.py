@@ -226,8 +226,7 @@ def q_motion_stats(spark, d):
 
 
 def q_minmax_normalise(spark, d):
-    w = Window.partitionBy("track")
-    return samples(spark, d).select("track", "id", ((F.col("v") - F.min("v").over(w)) / (F.max("v").over(w) - F.min("v").over(w) + 1e-8)).alias("energy"))
+    return R.minmax(samples(spark, d), "track", "v", "energy").select("track", "id", "energy")
 
 
 def q_vector_topk(spark, d):

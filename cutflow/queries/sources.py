@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from ..functions import features as V
 from ..operators import similar as S
 from ..sources import logs as L
-from ..tables import samples, table
+from ..tables import SHOTS, samples, table
+from .media import SCORE, SCORED, SELECTED, scored
 from .text import PROMPT_SQL, prompts
 
 DAY = 86400.0
@@ -113,10 +114,19 @@ def q_visual_dedup(spark, d):
     return S.visual_dedup(f, CLOSE)
 
 
+def q_select_distinct(spark, d):
+    """Highlights without shots that look like a better one; the first shots have fingerprints."""
+    return S.select_distinct(scored(spark, d), _frames(spark, d).withColumnRenamed("vec_id", "shot_id"), CLOSE)
+
+
 CLOSE = 120.0
 _WINDOWS = """f as (select vec_id, list_transform(range(7), lambda i: list_transform(embedding[1 + i * 8:8 + i * 8], lambda x: x::double * 100)) as fr from embeddings),
 wa as (select vec_id as a, flatten(fr[i + 1:i + 4]) as w from f, range(0, 4, 2) r(i)), wb as (select vec_id as b, flatten(fr[j + 1:j + 4]) as w from f, range(4) r(j)),
 m as (select a, b, min(list_sum(list_transform(list_zip(wa.w, wb.w), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) / 32) as mse from wa, wb where a <> b and sqrt(greatest(list_avg(list_transform(wa.w, lambda x: x * x)) - pow(list_avg(wa.w), 2), 0)) >= 2 group by a, b)"""
+_DISTINCT = f"""{SHOTS}, all_scored as (select *, {SCORE} as highlight_score from shots), {_WINDOWS},
+ed as (select a, list(b) as near from m where mse < {CLOSE} group by a), od as (select list([{{'id': shot_id, 'near': coalesce(near, [])}}] order by highlight_score desc, start_time, shot_id) as l from all_scored join embeddings on vec_id = shot_id left join ed on a = shot_id),
+kd as (select list_reduce(l, lambda t, x: case when len(list_filter(t, lambda y: list_contains(x[1].near, y.id))) > 0 then t else list_concat(t, x) end) as k from od),
+scored as (select * from all_scored where shot_id not in (select vec_id from embeddings) or shot_id in (select unnest(list_transform(k, lambda x: x.id)) from kd))"""
 MSE = """with f as (select vec_id, list_transform(range(7), lambda i: list_transform(embedding[1 + i * 8:8 + i * 8], lambda x: x::double * 100)) as fr from embeddings),
 wa as (select vec_id as a, i, flatten(fr[i + 1:i + 4]) as w from f, range(0, 4, 2) r(i) where vec_id % 50 = 0), wb as (select vec_id as b, j, flatten(fr[j + 1:j + 4]) as w from f, range(4) r(j)),
 m as (select a, b, case when sqrt(greatest(list_avg(list_transform(wa.w, lambda x: x * x)) - pow(list_avg(wa.w), 2), 0)) < 2 then 'infinity'::double else list_avg(list_transform(list_zip(wa.w, wb.w), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) end as mse from wa, wb)
@@ -156,6 +166,7 @@ QUERIES = {
     "window_min_mse": (q_window_min_mse, MSE),
     "window_matches": (q_window_matches, f"with {_WINDOWS} select a, b, round(mse, 6) as mse from m where mse < {CLOSE}"),
     "visual_dedup": (q_visual_dedup, f"with {_WINDOWS}, e as (select a, list(b) as near from m where mse < {CLOSE} and a % 13 > 0 and a % 11 > 0 and b % 13 > 0 and b % 11 > 0 group by a), o as (select list([{{'id': vec_id, 'near': coalesce(near, [])}}] order by vec_id % 17 desc, vec_id % 5, vec_id) as l from embeddings left join e on a = vec_id), k as (select list_reduce(l, lambda t, x: case when len(list_filter(t, lambda y: list_contains(x[1].near, y.id))) > 0 then t else list_concat(t, x) end) as k from o), s as (select unnest(list_transform(k, lambda x: x.id)) as id from k) select vec_id as id, vec_id not in (select id from s) as dropped from embeddings"),
+    "select_distinct_highlights": (q_select_distinct, f"with recursive {SELECTED.replace(SCORED, _DISTINCT)} select * from picked"),
     "crop_expression": (q_crop_expression, f"with {_S}, k as (select id, (id % 5)::int as t, (id % 7)::int as v from s) select id, 'if(lt(t,' || t + 2 || '),' || v || '+(3)*(t-' || t || ')/2,if(lt(t,' || t + 4 || '),' || v + 3 || '+(3)*(t-' || t + 2 || ')/2,' || v + 6 || '))' as expr from k"),
     "content_fingerprint": (q_fingerprint, "select page_id, left(sha1(url), 16) as key, left(md5(url), 10) as short from pages"),
     "suggest_transition": (q_suggest_transition, f"with {_S}, p as (select *, lag(v) over w as pv, lag(kind) over w as pk from s window w as (partition by track order by ts, id)) select track, id, case when v > 80 and pv > 80 then 'motion_blur' when kind <> pk then 'dissolve' else 'fade' end as transition, case when v > 80 and pv > 80 then 0.2 when kind <> pk then 0.5 else 0.3 end::double as duration from p where pv is not null"),

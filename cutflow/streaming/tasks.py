@@ -74,7 +74,8 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     Append mode leaves out what the watermark has not closed by the end; complete mode returns that too."""
     spark = stream.sparkSession
     if mode == "update":
-        write = stream.writeStream.outputMode("update").foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{folder}/out"))
+        # A batch that is tried again writes its own folder again.
+        write = stream.writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{folder}/out/batch={k}"))
     elif mode == "complete":
         write = stream.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{folder}/out"))
     else:
