@@ -114,24 +114,28 @@ def template_sets(templates) -> list[Template]:
     return out
 
 
-BLOCKS = "array<struct<kind:int,at:int,tokens:array<string>,words:array<string>>>"
+BLOCKS = "array<struct<kind:int,at:int,tokens:array<string>,words:array<int>>>"
 
 
 def blocks(w: Column, kind: int, known: list[str], least: int) -> Column:
-    """array<struct<kind, at, tokens, words>> of the blocks of a word array that hold `least` or more of the known tokens."""
+    """array<struct<kind, at, tokens, words>> of the blocks of a word array that hold `least` or more of the known tokens.
+    words has for each word of the block its place among tokens, from 1, or 0."""
     size, step = block_words(kind)
     starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (size - step), F.lit(1)), F.lit(step))
     some = F.array(*map(F.lit, known))
-    each = F.transform(starts, lambda at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.array_intersect(F.slice(w, at, F.lit(size)), some).alias("tokens"), F.slice(w, at, F.lit(size)).alias("words")))
+    each = F.transform(starts, lambda at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.array_intersect(F.slice(w, at, F.lit(size)), some).alias("tokens")))
     none = F.array().cast(BLOCKS)
-    return F.when(F.size(F.array_intersect(w, some)) >= least, F.filter(each, lambda x: F.size(x["tokens"]) >= least)).otherwise(none)
+    held = F.filter(each, lambda x: F.size(x["tokens"]) >= least)
+    words = lambda x: F.transform(F.slice(w, x["at"], F.lit(size)), lambda v: F.array_position(x["tokens"], v).cast("int"))
+    whole = F.transform(held, lambda x: F.struct(x["kind"].alias("kind"), x["at"].alias("at"), x["tokens"].alias("tokens"), words(x).alias("words")))
+    return F.when(F.size(F.array_intersect(w, some)) >= least, whole).otherwise(none)
 
 
 def parsed(docs: DataFrame, sets: list[Template], threshold: float) -> DataFrame:
     """doc_id, h (hash of the text), n_words, p0 and so on (places of PHRASES) and blocks(kind, at, tokens, words) of every row.
 
-    The only pass over the texts. tokens are numbers of the templates' distinct tokens, in their order from 1; words those
-    of all words of the block, 0 for those that no template has."""
+    The only pass over the texts. tokens are numbers of the templates' distinct tokens, in their order from 1; words the
+    places in tokens of all words of the block, 0 for those that no template has."""
     vocabulary = sorted({t for x in sets for t in x.tokens})
     t, space = F.col("t"), F.lit(" ")
     base = docs.select("doc_id", F.xxhash64("text").alias("h"), alnum_text(F.col("text")).alias("t"))
@@ -141,7 +145,7 @@ def parsed(docs: DataFrame, sets: list[Template], threshold: float) -> DataFrame
         found = let(F.split(F.trim(t), " "), lambda w: F.concat(*[blocks(w, k, sorted(set(known)), least) for k, (known, least) in kinds.items()]))
     names = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
     number = lambda x: F.array_position(names, x).cast("int")
-    numbered = F.transform(found, lambda b: F.struct(b["kind"].alias("kind"), b["at"].alias("at"), F.transform(b["tokens"], number).alias("tokens"), F.transform(b["words"], number).alias("words")))
+    numbered = F.transform(found, lambda b: F.struct(b["kind"].alias("kind"), b["at"].alias("at"), F.transform(b["tokens"], number).alias("tokens"), b["words"].alias("words")))
     n_words = F.when(t == "  ", F.lit(0)).otherwise(F.greatest(F.char_length(t) - F.char_length(F.replace(t, space, F.lit(""))) - 1, F.lit(0)))
     return base.select("doc_id", "h", n_words.cast("long").alias("n_words"), *[phrase_places(t, p).alias(f"p{i}") for i, p in enumerate(PHRASES)], numbered.alias("blocks"))
 
@@ -189,8 +193,8 @@ def matches(found: DataFrame, sets: list[Template], threshold: float) -> DataFra
     index = F.broadcast(index.withColumn("t", F.split("t", ",").cast("array<int>")))
     ranks = F.array(*[F.lit(rank[w]) for w in vocabulary]) if vocabulary else F.array().cast("array<int>")
     key = ["doc_id", "h", "kind", "at"]
-    ranked = lambda i: F.when(i > 0, F.element_at(ranks, F.greatest(i, F.lit(1)))).otherwise(-1)
-    held = each.select(*key, F.array_sort(F.transform("tokens", ranked)).alias("b"), F.transform("words", ranked).alias("words"))
+    numbered = each.select(*key, F.transform("tokens", lambda i: F.element_at(ranks, i)).alias("t"), "words")
+    held = numbered.select(*key, F.sort_array("t").alias("b"), F.transform("words", lambda i: F.coalesce(F.get("t", i - 1), F.lit(-1))).alias("words"))
     pairs = held.select(*key, "b", "words", F.posexplode_outer("b").alias("j", "r")).join(index, ["r", "kind"])
     pairs = pairs.where((F.size("b") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("b") - F.col("j") - 1) >= F.col("need")))
     pairs = pairs.withColumn("m", F.array_intersect("b", "t")).where(F.size("m") >= F.col("need"))
