@@ -23,14 +23,15 @@ from .similar import _matrix, in_tiles, usable
 SAMPLE = 20_000  # vectors to which the centres are fitted
 CELLS = 256  # of each length, at most
 MEMBERS = 64  # sampled vectors for each centre, at least
+CELL = 4096  # vectors of a cell, about, while there are fewer than CELLS
 ROUNDS = 8  # of k-means
 PROBE = 4  # cells that a query visits first
 SLACK = 1e-9
 
 
-def _centres(m: np.ndarray) -> np.ndarray:
+def _centres(m: np.ndarray, most: int) -> np.ndarray:
     """k-means of the rows, from rows that are spread out in their order."""
-    count = max(1, min(CELLS, len(m) // MEMBERS))
+    count = max(1, min(CELLS, most, len(m) // MEMBERS))
     c = m[np.linspace(0, len(m) - 1, count).astype(int)].copy()
     for _ in range(ROUNDS):
         own = ((c * c).sum(1) - 2 * m @ c.T).argmin(1)
@@ -49,10 +50,10 @@ class Centres(NamedTuple):
 
 def centres(vectors: DataFrame) -> Centres:
     """Of vectors(id, v), by those of the least hashes, SAMPLE at most."""
-    by_length: dict[int, list] = {}
+    most, by_length = vectors.count() // CELL, {}
     for r in vectors.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect():
         by_length.setdefault(len(r["v"]), []).append(r["v"])
-    return Centres({n: _centres(np.array(some, float).reshape(len(some), n)) for n, some in by_length.items()})
+    return Centres({n: _centres(np.array(some, float).reshape(len(some), n), most) for n, some in by_length.items()})
 
 
 def _deal(held):

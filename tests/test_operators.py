@@ -17,6 +17,7 @@ from cutflow.operators import selection as S
 from cutflow.operators import series as R
 from cutflow.operators import similar as V
 from cutflow.operators import tasks as Q
+from cutflow.operators import vector_index as K
 from cutflow.plans import render as P
 from cutflow.sources import captions as C
 
@@ -378,3 +379,27 @@ def test_windows_of_any_length(spark):
     w = spark.createDataFrame(windows, "k string, a double, b double")
     got = I.in_windows(spark.createDataFrame(points, "k string, id long, t double"), w, "k", "t", 60.0)
     assert sorted(tuple(r) for r in got.select("k", "id", "t").collect()) == want
+
+
+@pytest.mark.parametrize(("cell", "members", "tile"), [(4096, 64, 4096), (20, 4, 4096), (20, 4, 7)])
+@pytest.mark.parametrize("per", [None, "label"])
+def test_top_k_by_cells(spark, monkeypatch, cell, members, tile, per):
+    """One cell, and many; clusters, ties, equal vectors, other lengths, nulls; against all scores."""
+    monkeypatch.setattr(K, "CELL", cell)
+    monkeypatch.setattr(K, "MEMBERS", members)
+    monkeypatch.setattr(V, "TILE", tile)
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(6, 5))
+    rows = [(i, None if i % 9 == 0 else int(i % 3), (middles[i % 6] + rng.normal(scale=0.1, size=5)).round(3).tolist()) for i in range(240)]
+    rows += [(300 + i, 1, [0.5, 0.25, 0.0, 1.0, -1.0]) for i in range(30)] + [(400, 1, None), (401, 1, [None, 1.0]), (402, 2, [1.0, 2.0]), (403, 2, [float("nan")] * 5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    asked = [(1, rows[7][2]), (2, [0.5, 0.25, 0.0, 1.0, -1.0]), (3, [1.0, 1.0]), (4, None), (5, [0.0] * 5), (6, [1.0])]
+    queries = spark.createDataFrame(asked, "query_id long, q array<double>")
+    want = set()
+    for query, q in asked:
+        found = [(sum(a * b for a, b in zip(q, v, strict=True)), i, label) for i, label, v in rows if q and v and len(q) == len(v) and None not in v and v[0] == v[0]]
+        for group in {x[2] for x in found} if per else [None]:
+            mine = sorted((x for x in found if (x[2] == group or not per) and x[0] >= -0.5), key=lambda x: (-round(x[0], 9), x[1]))
+            want |= {(query, *([group] if per else []), i, k + 1) for k, (_, i, _) in enumerate(mine[:7])}
+    got = K.top_k(vectors, queries, 7, -0.5, per).collect()
+    assert {(r["query_id"], *([r["label"]] if per else []), r["vec_id"], r["rank"]) for r in got} == want and len(got) == len(want)
