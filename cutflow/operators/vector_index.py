@@ -169,11 +169,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0
 
     # Of each query and group a row, as each has its own result.
     tasks = q.crossJoin(lists)
-    begun = staged(search(tasks.withColumn("kth", F.lit(None).cast("double")), True), "first")
+    columns = ["query_id", *([F.col("per").alias(per)] if per else []), "vec_id", "score", "rank"]
+    begun = search(tasks.withColumn("kth", F.lit(None).cast("double")), True)
+    if (lists.agg(F.max(F.size("cells"))).first()[0] or 0) <= PROBE:  # the first visit is to all cells
+        return begun.select(*columns)
+    begun = staged(begun, "first")
     kth = begun.where(F.col("rank") == k).select("query_id", "group", F.col("score").alias("kth"))
     rest = search(tasks.join(kth, ["query_id", "group"], "left"), False)
     out = ranked(begun.drop("rank").unionByName(rest.drop("rank")))
-    return out.select("query_id", *([F.col("per").alias(per)] if per else []), "vec_id", "score", "rank")
+    return out.select(*columns)
 
 
 def _arrow_type(kind) -> pa.DataType:
