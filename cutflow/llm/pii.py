@@ -1,11 +1,11 @@
 """Personal data by weak supervision; built-in functions only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. Candidates beyond those are words with a digit
-or an at sign, words after a credential and its sign, names after a title or a known given name, and street addresses.
-Regex, gazetteer and context labelers vote on each candidate or abstain; expectation-maximisation over the counts of vote
+or an at sign, words after a credential and its sign, names after a title or a known given name, two or three capitalised
+words, dates with the name of a month, and street addresses. Regex, gazetteer and context labelers vote on each candidate or abstain; expectation-maximisation over the counts of vote
 patterns estimates how reliable each labeler is and how likely each pattern is personal data; those probabilities train a
-logistic span classifier, whose verdict adds spans. Names without a title or a known given name, and streets without a
-number and a street word, are no candidates.
+logistic span classifier, whose verdict adds spans. Streets without a number and a street word are no candidates; two
+capitalised words are a name only by what stands before or after them, a date personal only after a word of birth.
 """
 
 from __future__ import annotations
@@ -37,6 +37,22 @@ Peter Philip Pierre Rachel Rebecca Richard Robert Rosa Ruth Samuel Sandra Sarah
 Stephen Steven Susan Teresa Thomas Timothy Victoria Virginia William
 """
 STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Dr Boulevard Blvd Court Ct Square Way Place Terrace"
+#: Names that are no personal data (fixed values); find_spans takes another list.
+PUBLIC = [
+    "Abraham Lincoln", "Adam Smith", "Agatha Christie", "Albert Camus", "Albert Einstein", "Alexandre Dumas", "Anton Chekhov",
+    "Charles Darwin", "Charles Dickens", "Charlotte Bronte", "Charlotte Brontë", "Edgar Poe", "Emily Bronte", "Emily Brontë",
+    "Emily Dickinson", "Franz Kafka", "George Eliot", "George Orwell", "George Washington", "Henry James", "Isaac Newton",
+    "Jane Austen", "Johann Bach", "John Keats", "John Locke", "Jules Verne", "Karl Marx", "Leo Tolstoy", "Mark Twain",
+    "Mary Shelley", "Oscar Wilde", "Robert Frost", "Thomas Hardy", "Thomas Jefferson", "Victor Hugo", "Virginia Woolf",
+    "Walt Whitman", "William Blake", "William Shakespeare", "William Wordsworth",
+]
+#: Capitalised words that open a sentence or an entry and are no part of a name; months (fixed values).
+OPENERS = """
+A After All An And As Ask At Because Before But By Call Client Contact Customer Dear Employee For From He Her His How I If
+In It Its Meet My Name On Our Patient Please Regards She Since Sincerely So Tell Tenant That The Their Then There These
+They This Those To We What When Where While Who Why With You Your
+"""
+MONTHS = "January February March April May June July August September October November December"
 EDGE = "\"'`()[]{}<>,;:!?.#*$%&|"
 CREDENTIAL = "password|passwd|pwd|secret|token|api_?key|credential"
 CONTEXT = "password|passwd|pwd|secret|token|key|login|account|passport|iban|ssn|tel|phone|call|card|email|mail|contact|name|address|street|lives?|born"
@@ -50,30 +66,50 @@ WORD_START = r"(?<![^\x20\x09-\x0D(\"'])"
 CAPITAL = r"[A-Z][a-z\x{C0}-\x{24F}'-]++"
 NAME = rf"(?=[A-Z])(?:{_any_of(TITLES)}\.?|{_any_of(GIVEN)})\x20{CAPITAL}(?:\x20{CAPITAL})?+"
 ADDRESS = rf"[0-9]{{1,5}}[A-Za-z]?\x20(?:{CAPITAL}\x20){{1,3}}{_any_of(STREETS)}\b\.?"
+NUMBERED = r"[A-Z][a-z\x{C0}-\x{24F}]{1,30}?(?:stra(?:ß|ss)e|weg|platz|gasse|allee)\x20[0-9]{1,4}[a-z]?\b"
+DATE = rf"(?:[0-9]{{1,2}}\.?\x20{_any_of(MONTHS)}|{_any_of(MONTHS)}\x20[0-9]{{1,2}},?)\x20[0-9]{{4}}\b"
+PAIR = rf"(?!{_any_of(OPENERS)}\x20){CAPITAL}(?:\x20(?!{_any_of(GIVEN)}\x20|{_any_of(TITLES)}\b){CAPITAL}){{1,2}}+"
 AFTER = rf"(?<=[:=\x20])(?<=[:=]\x20?)(?<=(?:{CREDENTIAL})\x20?[:=]\x20?)[^\x20\x09-\x0D:=][^\x20\x09-\x0D]{{3,}}"
 PLAIN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
-CANDIDATE = f"{WORD_START}(?:{NAME}|{ADDRESS})|(?:(?i){AFTER})|{PLAIN}"
+CANDIDATE = f"{WORD_START}(?:{NAME}|{ADDRESS}|{NUMBERED}|{DATE}|{PAIR})|(?:(?i){AFTER})|{PLAIN}"
 STRETCH = 256
-BEFORE = 48  # characters before a candidate that are its context
+BEFORE, BEHIND = 48, 24  # characters before and behind a candidate that are its context
+#: Context of persons, of births, of works and their authors, of numbers that name a publication.
+PERSON_BEFORE = r"(^|[^a-z])(names?|named|(my|his|her|their)\x20name\x20(is|was)|called|call|contact|ask|dear|regards|sincerely|signed|patient|client|customer|employee|tenant|applicant|i\x20am|i'm)[:,]?[\x20\x09-\x0D]+$"
+PERSON_BEHIND = r"^,?\x20(lives|lived|resides|phoned|emailed|signed|applied|aged|can\x20be\x20reached|was\x20born)\b"
+BIRTH_BEFORE = r"(^|[^a-z])(born|birth|birthday|birthdate|dob|d\.o\.b\.)(\x20(on|is|was|in))?[^a-z0-9]*$"
+WORK_BEFORE = r"((novels?|plays?|poems?|essays?|works?|books?|written)\x20(by|of)|novelist|poet|philosopher|economist|composer|painter)\x20$"
+WORK_BEHIND = r"^['’]s\x20(novels?|plays?|poems?|essays?|theory|works?|symphony|paintings?)\b|^\x20\(1[0-8][0-9]{2}"
+PUBLICATION = r"(^|[^a-z])(isbn|issn|doi|rfc|arxiv)([^a-z]*$|[^a-z]*[0-9])"
 
 #: Facts about a candidate, one bit each; labelers and the classifier see nothing else.
-FACTS = ["key_prefix", "hex_run", "credential_word", "assigned", "context", "plain_number", "number_suffix", "long", "upper_digit", "lower_digit", "base_span", "at_sign", "many_digits", "given_name", "title", "street", "after_credential"]
-ADDED = {"name": ["given_name", "title"], "address": ["street"], "secret": []}  # kinds of added spans, by facts
+FACTS = ["key_prefix", "hex_run", "credential_word", "assigned", "context", "plain_number", "number_suffix", "long", "upper_digit", "lower_digit", "base_span", "at_sign", "many_digits", "given_name", "title", "street", "after_credential", "national_id", "date", "birth", "publication", "person_before", "person_behind", "public"]
+#: What phrases, candidates of several words, have; the others are facts of single words. So the patterns of facts are few.
+PHRASE = ["base_span", "given_name", "title", "street", "date", "birth", "person_before", "person_behind", "public", "after_credential"]
+WORD = [f for f in FACTS if f not in ("given_name", "title", "street", "person_before", "person_behind", "public")]
+ADDED = {"name": ["given_name", "title", "person_before", "person_behind"], "address": ["street"], "birth": ["birth"], "id": ["national_id"], "secret": []}  # kinds of added spans, by facts
 #: Labelers: (facts that must hold, facts that must not, vote); otherwise they abstain.
 LABELERS = {
     "regex_key": (["key_prefix"], [], 1),
     "regex_hex": (["hex_run"], [], 1),
     "regex_base": (["base_span"], [], 1),
-    "regex_number": (["plain_number"], [], 0),
+    "regex_national": (["national_id"], [], 1),
+    "regex_date": (["date"], ["birth"], 0),
+    "regex_number": (["plain_number"], ["birth", "national_id"], 0),
     "regex_suffix": (["number_suffix"], [], 0),
-    "regex_digits": (["many_digits"], ["base_span", "upper_digit", "lower_digit"], 0),
+    "regex_digits": (["many_digits"], ["base_span", "upper_digit", "lower_digit", "national_id", "birth"], 0),
     "gazetteer_credential": (["credential_word"], [], 1),
-    "context_word": (["context"], [], 1),
-    "context_assigned": (["assigned"], [], 1),
-    "shape_mixed": (["long", "upper_digit"], [], 1),
-    "shape_plain": ([], ["base_span", "key_prefix", "hex_run", "credential_word", "context", "assigned", "at_sign", "given_name", "title", "street", "after_credential"], 0),
-    "gazetteer_given": (["given_name"], [], 1),
-    "regex_title": (["title"], [], 1),
+    "context_word": (["context"], ["publication"], 1),
+    "context_assigned": (["assigned"], ["publication"], 1),
+    "context_birth": (["birth"], [], 1),
+    "context_publication": (["publication"], [], 0),
+    "context_person_before": (["person_before"], ["public"], 1),
+    "context_person_behind": (["person_behind"], ["public"], 1),
+    "shape_mixed": (["long", "upper_digit"], ["publication"], 1),
+    "shape_plain": ([], ["base_span", "key_prefix", "hex_run", "credential_word", "context", "assigned", "at_sign", "given_name", "title", "street", "after_credential", "national_id", "birth", "person_before", "person_behind"], 0),
+    "gazetteer_given": (["given_name"], ["public"], 1),
+    "gazetteer_public": (["public"], [], 0),
+    "regex_title": (["title"], ["public"], 1),
     "gazetteer_street": (["street"], [], 1),
     "context_credential": (["after_credential"], [], 1),
 }
@@ -84,7 +120,7 @@ FEATURES = [f for f in FACTS if f != "base_span"]
 
 
 def _matches(text: Column, regex: str) -> Column:
-    """array<struct<start, end, m, before>> of a pattern's matches: code points, text, and what stands before it."""
+    """array<struct<start, end, m, before, behind>> of a pattern's matches: code points, text, and what stands around it."""
 
     def place(pieces: Column, found: Column) -> Column:
         long = F.transform(found, lambda m, i: F.char_length(F.get(pieces, i)) + F.char_length(m))
@@ -92,11 +128,11 @@ def _matches(text: Column, regex: str) -> Column:
         def one(starts: Column) -> Column:
             lo = lambda i: F.get(starts, i) + F.char_length(F.get(pieces, i))
             around = lambda i: F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(pieces, i)), F.lit(BEFORE))
-            return F.transform(found, lambda m, i: F.struct(lo(i).alias("start"), (lo(i) + F.char_length(m)).alias("end"), m.alias("m"), around(i).alias("before")))
+            return F.transform(found, lambda m, i: F.struct(lo(i).alias("start"), (lo(i) + F.char_length(m)).alias("end"), m.alias("m"), around(i).alias("before"), F.left(F.get(pieces, i + 1), F.lit(BEHIND)).alias("behind")))
 
         return let(running(long, F.lit(0), lambda x, y: x + y), one)
 
-    none = F.array().cast("array<struct<start:int,end:int,m:string,before:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,m:string,before:string,behind:string>>")
     both = let(F.split(text, regex, -1), lambda p: let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda f: F.when(F.size(f) > 0, place(p, f)).otherwise(none)))
     return F.when(F.regexp_like(text, F.lit(regex)), both).otherwise(none)
 
@@ -137,24 +173,27 @@ def base_spans(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit("[0-9@]")), F.concat(*kinds)).otherwise(none)
 
 
-def candidates(text: Column, base: Column) -> Column:
+def candidates(text: Column, base: Column, public: list[str] = PUBLIC) -> Column:
     """array<struct<start, end, facts>>: every candidate, without punctuation at its ends, unless it is but a part of a
     base span. Base spans are looked up for STRETCH candidates at a time."""
 
     def one(x: Column, near: Column) -> Column:
         head = F.char_length(x["m"]) - F.char_length(F.ltrim(x["m"], F.lit(EDGE)))
-        bare = F.struct((x["start"] + head).alias("start"), F.btrim(x["m"], F.lit(EDGE)).alias("m"), F.lower(x["before"]).alias("before"))
+        bare = F.struct((x["start"] + head).alias("start"), F.btrim(x["m"], F.lit(EDGE)).alias("m"), F.lower(x["before"]).alias("before"), F.lower(x["behind"]).alias("behind"))
         return let(bare, lambda b: facts(b, near))
 
     def facts(x: Column, near: Column) -> Column:
         m, end = x["m"], x["start"] + F.char_length(x["m"])
         has = lambda regex: F.regexp_like(m, F.lit(regex))
+        before, behind = (lambda regex, c=x[c]: F.regexp_like(c, F.lit(regex)) for c in ("before", "behind"))
+        national = has(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+        date = has(rf"^([0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{2,4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|{DATE})$")
         tests = {
             "key_prefix": has(r"^(AKIA|ASIA|AIza|ghp_|gho_|sk-|xox[abp]-)"),
             "hex_run": has(r"[0-9a-fA-F]{12}") & has("[0-9]") & has("[a-fA-F]"),
             "credential_word": F.regexp_like(F.lower(m), F.lit(CREDENTIAL)),
             "assigned": has(r"[A-Za-z][=:][^\s=:]{6}"),
-            "context": F.regexp_like(x["before"], F.lit(rf"(^|[^a-z])({CONTEXT})[^a-z]*$")),
+            "context": before(rf"(^|[^a-z])({CONTEXT})(\x20(is|was|no|nr|number|code))*[^a-z]*$"),
             "plain_number": has(r"^[0-9]{1,6}([.,:/-][0-9]{1,4}){0,2}%?$"),
             "number_suffix": has(r"^[0-9]+[A-Za-z]{1,3}$"),
             "long": F.char_length(m) >= 12,
@@ -165,10 +204,18 @@ def candidates(text: Column, base: Column) -> Column:
             "many_digits": F.char_length(_digits(m)) >= 8,
             "given_name": has(rf"^{_any_of(GIVEN)}\x20[A-Z]"),
             "title": has(rf"^{_any_of(TITLES)}\.?\x20[A-Z]"),
-            "street": has(rf"^[0-9]{{1,5}}[A-Za-z]?\x20(?:{CAPITAL}\x20){{1,3}}{_any_of(STREETS)}$"),
-            "after_credential": F.regexp_like(x["before"], F.lit(rf"({CREDENTIAL})\x20?[:=]\x20?[^a-z0-9]*$")),
+            "street": has(rf"^([0-9]{{1,5}}[A-Za-z]?\x20(?:{CAPITAL}\x20){{1,3}}{_any_of(STREETS)}|{NUMBERED})$"),
+            "after_credential": before(rf"({CREDENTIAL})(\x20?[:=]\x20?|\x20(is|was)\x20)[^a-z0-9]*$"),
+            "national_id": national,
+            "date": date,
+            "birth": date & before(BIRTH_BEFORE),
+            "publication": before(PUBLICATION) | F.regexp_like(F.lower(m), F.lit(PUBLICATION)),
+            "person_before": before(PERSON_BEFORE),
+            "person_behind": behind(PERSON_BEHIND),
+            "public": m.isin(*public) | before(WORK_BEFORE) | behind(WORK_BEHIND),
         }
-        bits = sum((F.when(tests[f], F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(FACTS)), F.lit(0))
+        bit = lambda names: sum((F.when(tests[f], F.lit(1 << FACTS.index(f))).otherwise(F.lit(0)) for f in names), F.lit(0))
+        bits = F.when(F.contains(m, F.lit(" ")), bit(PHRASE)).otherwise(bit(WORD))
         return F.struct(x["start"].alias("start"), end.alias("end"), bits.cast("int").alias("facts"))
 
     part = lambda x, near: F.exists(near, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]) & ((b["start"] < x["start"]) | (b["end"] > x["end"])))
@@ -229,20 +276,21 @@ def train(facts: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, float
     return float(w[0]), dict(zip(FEATURES, map(float, w[1:]), strict=True))
 
 
-def find_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
+def find_spans(docs: DataFrame, name: str = "spans", public: list[str] = PUBLIC) -> DataFrame:
     """docs(doc_id, text, ...) with a column `name`: array<struct<kind, start, end>>, code points, end exclusive.
 
     Base spans come first, by kind and start; then the added ones, which never overlap a base span. The labelers learn
-    from the candidates of all documents: one row for each pattern of facts that occurs, 2^17 at most, reaches the
-    driver. Added spans are of the kinds of ADDED. Null and empty texts have no spans; rows are judged alone, so nulls and repeated rows keep their row; other
-    columns pass through; a column of that name is replaced."""
+    from the candidates of all documents: one row for each pattern of facts that occurs, 2^18 + 2^10 at most,
+    reaches the driver. Added spans are of the kinds of ADDED; names in public, a bounded list, are of none. Null and empty
+    texts have no spans; rows are judged alone, so nulls and repeated rows keep their row; other columns pass through; a
+    column of that name is replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("_b", base_spans(text))
-    patterns = found.select(F.explode_outer(candidates(text, F.col("_b")))).select("col.facts").where("facts is not null").groupBy("facts").agg(F.count("*").alias("n")).collect()
+    patterns = found.select(F.explode_outer(candidates(text, F.col("_b"), public))).select("col.facts").where("facts is not null").groupBy("facts").agg(F.count("*").alias("n")).collect()
     bias, weights = train(np.array([r["facts"] for r in patterns], int), np.array([r["n"] for r in patterns], float))
     on = lambda x, f: F.shiftright(x["facts"], FACTS.index(f)).bitwiseAND(F.lit(1))
     margin = lambda x: sum((on(x, f) * F.lit(w) for f, w in weights.items()), F.lit(bias))
-    more = F.filter(candidates(text, F.col("_b")), lambda x: (on(x, "base_span") == 0) & (margin(x) > 0))
+    more = F.filter(candidates(text, F.col("_b"), public), lambda x: (on(x, "base_span") == 0) & (margin(x) > 0))
     kind = lambda x: F.coalesce(*[F.when(sum((on(x, f) for f in facts), F.lit(0)) > 0, F.lit(k)) for k, facts in ADDED.items() if facts], F.lit("secret"))
     more = F.transform(more, lambda x: F.struct(kind(x).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return found.withColumn(name, F.concat("_b", more)).drop("_b")

@@ -298,6 +298,36 @@ def test_pii_names_streets_and_letter_only_secrets(spark):
     assert all(not out[i] for i in range(5 * len(told), len(rows)))
 
 
+PERSONAL = [
+    ("ssn on file 078-05-1120 today", "078-05-1120"),
+    ("his passport is X1234567 now", "X1234567"),
+    ("the password is hunter2 there", "hunter2"),
+    ("she was born on 12 March 1984 here", "12 March 1984"),
+    ("date of birth: 03/12/1984 noted", "03/12/1984"),
+    ("my name is Priya Raghunathan and", "Priya Raghunathan"),
+    ("Contact Wei Zhang for more", "Wei Zhang"),
+    ("then Keiko Tanaka lives nearby", "Keiko Tanaka"),
+    ("at Hauptstraße 12 in town", "Hauptstraße 12"),
+    ("Yesterday Maria Lopez came", "Maria Lopez"),
+]
+HARMLESS = [
+    "as Virginia Woolf said", "Charlotte Bronte came later", "in Adam Smith we read", "a novel by Helen Marrow again", "see ISBN 978-3-16-148410-0 there",
+    "ISBN:0-306-40615-X", "on 12 March 1984 it rained", "from 03/12/1984 on", "The Great Barrier of ice", "New Model Army marched", "the password is lost", "page 12 of 300", "in 12 ways", "at 10:30 or 25%",
+]
+
+
+def test_pii_beyond_lists(spark):
+    """Names of any words, births, national ids, house numbers; authors, ISBN and other dates are none. Each is found
+    to the character, and nothing else is."""
+    rows = [(i, t) for i, t in enumerate([t for t, _ in PERSONAL] * 3 + HARMLESS * 5)]
+    out = {r["doc_id"]: [t[s["start"] : s["end"]] for s in r["spans"]] for r in pii.find_spans(docs(spark, rows)).collect() for t in [r["text"]]}
+    told = [want for _, want in PERSONAL] * 3
+    wrong = [(rows[i][1], out[i]) for i in range(len(rows)) if out[i] != ([told[i]] if i < len(told) else [])]
+    assert not wrong
+    named = pii.find_spans(docs(spark, rows), public=["Wei Zhang"]).where("doc_id = 6").first()
+    assert not named["spans"]
+
+
 def test_pii_estimate_matches_plain():
     """EM candidate by candidate, in plain loops."""
     rng = random.Random(8)
