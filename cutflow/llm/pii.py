@@ -70,9 +70,10 @@ NUMBERED = r"[A-Z][a-z\x{C0}-\x{24F}]{1,30}?(?:stra(?:ß|ss)e|weg|platz|gasse|al
 DATE = rf"(?:[0-9]{{1,2}}\.?\x20{_any_of(MONTHS)}|{_any_of(MONTHS)}\x20[0-9]{{1,2}},?)\x20[0-9]{{4}}\b"
 PAIR = rf"(?!{_any_of(OPENERS)}\x20){CAPITAL}(?:\x20(?!{_any_of(GIVEN)}\x20|{_any_of(TITLES)}\b){CAPITAL}){{1,2}}+"
 AFTER = rf"(?<=[:=\x20])(?<=[:=]\x20?)(?<=(?:{CREDENTIAL})\x20?[:=]\x20?)[^\x20\x09-\x0D:=][^\x20\x09-\x0D]{{3,}}"
-PLAIN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
-CANDIDATE = f"{WORD_START}(?:{NAME}|{ADDRESS}|{NUMBERED}|{DATE}|{PAIR})|(?:(?i){AFTER})|{PLAIN}"
+PLAIN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+CANDIDATE = f"(?=[A-Z0-9]){WORD_START}(?:{NAME}|{ADDRESS}|{NUMBERED}|{DATE}|{PAIR})|(?:(?i){AFTER})|{PLAIN}"
 STRETCH = 256
+MARK = "\x1e"
 BEFORE, BEHIND = 48, 24  # characters before and behind a candidate that are its context
 #: Context of persons, of births, of works and their authors, of numbers that name a publication.
 PERSON_BEFORE = r"(^|[^a-z])(names?|named|(my|his|her|their)\x20name\x20(is|was)|called|call|contact|ask|dear|regards|sincerely|signed|patient|client|customer|employee|tenant|applicant|i\x20am|i'm)[:,]?[\x20\x09-\x0D]+$"
@@ -120,21 +121,29 @@ FEATURES = [f for f in FACTS if f != "base_span"]
 
 
 def _matches(text: Column, regex: str) -> Column:
-    """array<struct<start, end, m, before, behind>> of a pattern's matches: code points, text, and what stands around it."""
+    """array<struct<start, end, m, before, behind>> of a pattern's matches: code points, text, and what stands around it.
 
-    def place(pieces: Column, found: Column) -> Column:
-        long = F.transform(found, lambda m, i: F.char_length(F.get(pieces, i)) + F.char_length(m))
+    Matches are set off by MARK and the text is split there, so that it is searched once; a text that holds MARK itself
+    is split and searched."""
 
+    def place(parts: Column) -> Column:
         def one(starts: Column) -> Column:
-            lo = lambda i: F.get(starts, i) + F.char_length(F.get(pieces, i))
-            around = lambda i: F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(pieces, i)), F.lit(BEFORE))
-            return F.transform(found, lambda m, i: F.struct(lo(i).alias("start"), (lo(i) + F.char_length(m)).alias("end"), m.alias("m"), around(i).alias("before"), F.left(F.get(pieces, i + 1), F.lit(BEHIND)).alias("behind")))
+            def match(j: Column) -> Column:
+                at, m = F.get(starts, 2 * j + 1), F.get(parts, 2 * j + 1)
+                before = F.right(F.concat(F.coalesce(F.get(parts, 2 * j - 1), F.lit("")), F.get(parts, 2 * j)), F.lit(BEFORE))
+                return F.struct(at.alias("start"), (at + F.char_length(m)).alias("end"), m.alias("m"), before.alias("before"), F.left(F.get(parts, 2 * j + 2), F.lit(BEHIND)).alias("behind"))
 
-        return let(running(long, F.lit(0), lambda x, y: x + y), one)
+            return F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), match)
+
+        return let(running(F.transform(parts, F.char_length), F.lit(0), lambda x, y: x + y), one)
+
+    def both(found: Column) -> Column:
+        return F.flatten(F.transform(F.split(text, regex, -1), lambda p, i: F.when(i < F.size(found), F.array(p, F.get(found, i))).otherwise(F.array(p))))
 
     none = F.array().cast("array<struct<start:int,end:int,m:string,before:string,behind:string>>")
-    both = let(F.split(text, regex, -1), lambda p: let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda f: F.when(F.size(f) > 0, place(p, f)).otherwise(none)))
-    return F.when(F.regexp_like(text, F.lit(regex)), both).otherwise(none)
+    once = F.split(F.regexp_replace(text, F.lit(regex), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    parts = F.when(F.contains(text, F.lit(MARK)), let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), both)).otherwise(once)
+    return let(parts, lambda p: F.when(F.size(p) > 1, place(p)).otherwise(none))
 
 
 def _digits(m: Column) -> Column:
