@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
+
+from ..operators.scan import Chunks
 
 #: Output sizes of the usual aspect ratios (fixed values).
 SIZES = [(9 / 16, 1080, 1920), (2 / 3, 1080, 1620), (3 / 4, 1080, 1440), (4 / 5, 1080, 1350), (1.0, 1080, 1080), (4 / 3, 1440, 1080), (16 / 9, 1920, 1080), (21 / 9, 2520, 1080)]
@@ -68,9 +70,12 @@ def output_size(crop: Column, aspect: Column, base: int = 1080) -> Column:
 
 
 def segments(entries: DataFrame, key: str, i: str) -> DataFrame:
-    """Runs of clips joined by transitions: a cut starts a new one -> entries with segment."""
-    w = Window.partitionBy(key).orderBy(i)
-    return entries.withColumn("segment", F.sum(F.when((F.col("transition_type") == "cut") | (F.col("transition_duration") <= 0), 1).otherwise(0)).over(w))
+    """Runs of clips joined by transitions: a cut starts a new one -> entries with segment. A key has any number of
+    clips; i is a number."""
+    c = Chunks(entries, key, i)
+    cuts = F.sum(F.when((F.col("transition_type") == "cut") | (F.col("transition_duration") <= 0), 1).otherwise(0))
+    found = c.before(c.df, _before=(cuts, "sum"))
+    return found.withColumn("segment", cuts.over(c.w.orderBy(i)) + F.coalesce("_before", F.lit(0))).drop("_before", "_chunk")
 
 
 def xfade_offsets(entries: DataFrame, key: str, i: str) -> DataFrame:

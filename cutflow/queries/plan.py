@@ -14,14 +14,14 @@ from .media import CLASSIFIED, classified
 FIFTY = 50  # clips of a video, at most
 
 
-def clips(spark, d):
+def clips(spark, d, whole=False):
     """A video for every fifty shots, of each source: its shots in order, in whole hundredths. So a video, and the document
-    of one, has fifty clips at most."""
+    of one, has fifty clips at most. If whole, a source is one video, however many shots it has."""
     s = shots(spark, d)
     cents = lambda x: F.floor(x * 100).cast("bigint") / F.lit(100.0)
     types = F.array(*map(F.lit, ["cut", "fade", "dissolve", "wipe"]))
     return s.select(
-        F.concat("source_video", F.lit("-"), F.floor(F.col("shot_id") / FIFTY).cast("string")).alias("video"),
+        (F.col("source_video") if whole else F.concat("source_video", F.lit("-"), F.floor(F.col("shot_id") / FIFTY).cast("string"))).alias("video"),
         (F.col("shot_id") + 1).alias("i"),
         F.concat(F.lit("/media/"), F.col("source_video"), F.lit("/clip_"), F.col("shot_id").cast("string"), F.lit(".mp4")).alias("source_path"),
         cents(F.col("start_time") % 7200).alias("start_time"),
@@ -33,8 +33,10 @@ def clips(spark, d):
     )
 
 
-CLIPS = f"""{SHOTS}, clips as (select source_video || '-' || (shot_id // {FIFTY}) as video, shot_id + 1 as i, '/media/' || source_video || '/clip_' || shot_id || '.mp4' as source_path, floor((start_time % 7200) * 100)::bigint / 100.0::double as start_time, floor(duration * 100)::bigint / 100.0::double as duration,
-(shot_id % 5000) * 1.5::double as timeline_start, (['cut', 'fade', 'dissolve', 'wipe'])[(shot_id % 4) + 1] as transition_type, (shot_id % 4) * 0.25::double as transition_duration, magnitude * 3 as luma from shots)"""
+_clips = lambda video: f"""{SHOTS}, clips as (select {video} as video, shot_id + 1 as i, '/media/' || source_video || '/clip_' || shot_id || '.mp4' as source_path, floor((start_time % 7200) * 100)::bigint / 100.0::double as start_time, floor(duration * 100)::bigint / 100.0::double as duration,
+(shot_id % 5000) * 1.5::double as timeline_start, (['cut', 'fade', 'dissolve', 'wipe'])[(shot_id % 4) + 1] as transition_type, (shot_id % 4) * 0.25::double as transition_duration, magnitude * 3 as luma from shots)"""
+CLIPS = _clips(f"source_video || '-' || (shot_id // {FIFTY})")
+WHOLE = _clips("source_video")
 
 
 def _tc(x: str) -> str:
@@ -71,7 +73,7 @@ def q_json(spark, d):
 
 
 def q_segments(spark, d):
-    return R.segments(clips(spark, d), "video", "i").select("video", "i", "segment")
+    return R.segments(clips(spark, d, whole=True), "video", "i").select("video", "i", "segment")
 
 
 def q_xfade(spark, d):
@@ -161,7 +163,7 @@ QUERIES = {
     "export_fcp_frames": (q_frames, f"with {CLIPS}, f as (select i, floor({_C} * 30)::bigint as start, floor({_E} * 30)::bigint as stop, floor({_A} * 30)::bigint as src_in from clips) select i, start, stop as \"end\", src_in, src_in + stop - start as src_out from f"),
     "export_otio_rows": (q_otio, f"with {CLIPS} select i, 0 as part, 'Transition.1' as schema, case when transition_type = 'dissolve' then transition_type else 'custom_' || transition_type end as name, floor(transition_duration / 2 * 30)::bigint as start, floor(transition_duration / 2 * 30)::bigint as length from clips where transition_duration > 0 and transition_type <> 'cut' and i > 1 union all select i, 1, 'Clip.1', source_path, floor(start_time * 30)::bigint, floor(duration * 30)::bigint from clips"),
     "export_json": (q_json, f"with {CLIPS} select i, '{{\"i\":' || i || ',\"source_path\":\"' || source_path || '\",\"start_ms\":' || floor(start_time * 1000)::bigint || ',\"duration_ms\":' || floor(duration * 1000)::bigint || '}}' as json from clips"),
-    "render_segments": (q_segments, f"with {CLIPS} select video, i, sum(case when transition_type = 'cut' or transition_duration <= 0 then 1 else 0 end) over (partition by video order by i)::bigint as segment from clips"),
+    "render_segments": (q_segments, f"with {WHOLE} select video, i, sum(case when transition_type = 'cut' or transition_duration <= 0 then 1 else 0 end) over (partition by video order by i)::bigint as segment from clips"),
     "xfade_offsets": (q_xfade, XFADE),
     "harmonize_luma": (q_harmonise, f"with {CLIPS}, m as (select avg(luma) as m from clips) select i, luma, case when abs(m - luma) >= 2 then (m - luma) * 0.5 / 255 end as brightness from clips, m"),
     "crop_geometry": (q_crop, CROP),

@@ -19,6 +19,7 @@ from cutflow.operators import similar as V
 from cutflow.operators import tasks as Q
 from cutflow.operators import vector_index as K
 from cutflow.plans import render as P
+from cutflow.queries import QUERIES
 from cutflow.sources import captions as C
 
 
@@ -371,6 +372,18 @@ def test_averages_of_any_size(spark, chunk, alpha):
         assert got[i][0] == pytest.approx(e, abs=1e-9) and (m is None or got[i][1] == pytest.approx(m, abs=1e-9))
 
 
+def test_segments_of_any_size(spark, data, chunk):
+    """A source is one video, whose segments are counted through all its shots."""
+    events = spark.read.parquet(f"{data}/events.parquet").select("event_type", "event_id").collect()
+    want = {}
+    for kind in {r["event_type"] for r in events}:
+        n = 0
+        for i in sorted(r["event_id"] for r in events if r["event_type"] == kind):
+            n += i % 4 == 0
+            want[kind, i + 1] = n
+    assert {tuple(r)[:2]: r["segment"] for r in QUERIES["render_segments"](spark, data).collect()} == want
+
+
 def test_windows_of_any_length(spark):
     rng = random.Random(4)
     windows = [("k", a, a + rng.choice([0.0, 0.5, 3, 40, 3000, 1e6])) for a in (rng.uniform(0, 5000) for _ in range(25))] + [("j", 0.0, 2_592_000.0), ("j", 5.0, 4.0)]
