@@ -1,5 +1,6 @@
 """Operators with no SQL equivalent against plain Python, and published fixtures."""
 
+import json
 import math
 import random
 
@@ -18,6 +19,7 @@ from cutflow.operators import series as R
 from cutflow.operators import similar as V
 from cutflow.operators import tasks as Q
 from cutflow.operators import vector_index as K
+from cutflow.plans import documents as D
 from cutflow.plans import render as P
 from cutflow.queries import QUERIES
 from cutflow.sources import captions as C
@@ -384,6 +386,26 @@ def test_segments_of_any_size(spark, data, chunk):
     assert {tuple(r)[:2]: r["segment"] for r in QUERIES["render_segments"](spark, data).collect()} == want
 
 
+def test_otio_document_of_a_whole_source(spark, data, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 16)
+    events = spark.read.parquet(f"{data}/events.parquet").select("event_type", "event_id").collect()
+    got = {r["video"]: json.loads(r["document"])["tracks"][0]["children"] for r in QUERIES["export_otio"](spark, data).collect()}
+    for kind in {r["event_type"] for r in events}:
+        want = []
+        for i in sorted(r["event_id"] for r in events if r["event_type"] == kind):
+            want += [f"Transition_{i}"] * (i % 4 > 0 and i > 0) + [f"clip_{i}"]
+        assert [x["name"] for x in got.pop(kind)] == want
+    assert not got
+
+
+def test_documents_join_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 3)
+    rows = [("a", i, None if i in (4, 6, 7, 8) else f"x{i}") for i in range(11)] + [("none", i, None) for i in range(5)] + [("one", -2, "y"), ("one", None, "first")]
+    frame = spark.createDataFrame(rows, "k string, n long, t string").repartition(4)
+    want = {"a": "x0,x1,x2,x3,x5,x9,x10", "none": "", "one": "first,y"}
+    assert {r["k"]: r["body"] for r in D._joined(frame, "k", ["n"], "t", ",").collect()} == want
+
+
 def test_windows_of_any_length(spark):
     rng = random.Random(4)
     windows = [("k", a, a + rng.choice([0.0, 0.5, 3, 40, 3000, 1e6])) for a in (rng.uniform(0, 5000) for _ in range(25))] + [("j", 0.0, 2_592_000.0), ("j", 5.0, 4.0)]
