@@ -382,6 +382,32 @@ def test_language_model_odd_rows(spark):
     assert len({r["score"] for r in got if r["doc_id"] is None}) <= 7 and len({r["score"] for r in got if r["doc_id"] == 5}) == 2
 
 
+def test_language_model_tells_contexts_apart(spark):
+    """Each of 3000 words has a successor of its own: a model of classes of them mixes those."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.choices(range(3000), k=60))) for i in range(400)]
+    held = [r for r in hpylm.score_documents(docs(spark, rows), 20_000).collect() if r["held_out"]]
+    assert len(held) > 30 and sum(r["score"] for r in held) > -4.0 * 60 * len(held)
+
+
+def test_contexts_of_their_own_sum_to_one():
+    rng = np.random.default_rng(3)
+    per, words = np.full(30, 40, np.int32), 40
+    word, count = np.tile(np.arange(words, dtype=np.int32), 30), rng.poisson(0.6, 1200).astype(np.int32)
+    none = np.zeros(0, np.int64)
+    leaves = hpylm.Leaves(hpylm.pack(per, word, count, none, none, none, none), count > 0, None)
+    root = None
+    for _ in range(4):
+        c = leaves.sums(words)
+        t = root.seat(c, rng) if root else (c > 0).astype(int)
+        root = hpylm.Root(float(c.sum()), float(t.sum()), float(words), (0.4, 0.7))
+        assert (leaves.fine <= count).all() and (leaves.fine >= (count > 0)).all() and (t <= c).all()
+        p, new = leaves.probabilities(root, c, t), root.probability(np.zeros(1), np.zeros(1))
+        unseen = (1 + 0.7 * leaves.tables()) / (1 + leaves.customers) * new
+        assert np.bincount(leaves.context, weights=p) + unseen == pytest.approx(np.ones(30), abs=1e-9)
+        leaves.sweep(root, c, t, rng)
+
+
 def test_a_chain_is_repeated_as_it_was():
     """Repeating the sweeps of all rounds gives the state they left."""
     rng = np.random.default_rng(2)
