@@ -17,7 +17,7 @@ broadcast and its tokens don't travel; all other tokens travel to their pair's b
 from __future__ import annotations
 
 import gc
-import io
+import json
 from collections import defaultdict
 from typing import NamedTuple
 
@@ -43,16 +43,28 @@ END = b" "  # no word: words hold no space
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Flat arrays, compressed; the first bytes of all numbers, then the second ones, and so on, as these are alike."""
-    out = io.BytesIO()
-    np.save(out, np.array([a.dtype.str for a in arrays]), allow_pickle=False)
-    for a in arrays:
-        np.save(out, np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T) if len(a) else np.zeros((a.itemsize, 0), np.uint8), allow_pickle=False)
-    return zstandard.ZstdCompressor(level=3).compress(out.getbuffer())
+    head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
+    to = zstandard.ZstdCompressor(level=3).compressobj()
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1)[:, k] for a in arrays if len(a) for k in range(a.itemsize))
+    return b"".join([len(head).to_bytes(4, "little"), head, *(to.compress(p.tobytes()) for p in planes), to.flush()])
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(data))
-    return [np.ascontiguousarray(np.load(raw, allow_pickle=False).T).view(t).ravel() for t in np.load(raw, allow_pickle=False).tolist()]
+    at, out = 4 + int.from_bytes(data[:4], "little"), []
+    raw, lo = zstandard.ZstdDecompressor().decompressobj().decompress(data[at:]), 0
+    for kind, n in json.loads(data[4:at]):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, lo).reshape(size, n).T).view(kind).ravel() if n else np.zeros(0, kind))
+        lo += n * size
+    return [a if a.flags.writeable else a.copy() for a in out]
+
+
+def counted(a: np.ndarray, n: int) -> np.ndarray:
+    """How often each number below n occurs."""
+    total = np.zeros(n, np.int64)
+    for lo in range(0, len(a), SORT):
+        total += np.bincount(a[lo : lo + SORT], minlength=n)
+    return total
 
 
 def narrow(a: np.ndarray) -> np.ndarray:
@@ -81,12 +93,13 @@ def _tokenize(batches):
     def out(rows, each, index):
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
         sizes, words = np.array([len(x) for x in each], np.int32), np.concatenate(each)
+        each.clear()
         before, least = contexts(words, sizes), HOT_SHARE / 4 * len(words)
         held, ids, salts = (rows.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-        n = np.bincount(before, minlength=len(hashes))
+        n = counted(before, len(hashes))
         some, name = np.flatnonzero(n >= least), hashes.view(np.int64)
         often = [{"u": int(name[u]), "w": None, "n": int(n[u])} for u in some]
-        also = (n >= least)[before] & (np.bincount(words, minlength=len(hashes)) >= least)[words]
+        also = (n >= least)[before] & (counted(words, len(hashes)) >= least)[words]
         pairs, m = np.unique(before[also].astype(np.int64) * len(hashes) + words[also], return_counts=True)
         often += [{"u": int(name[x // len(hashes)]), "w": int(name[x % len(hashes)]), "n": int(k)} for x, k in zip(pairs, m, strict=True) if k >= least]
         packed = pack(ids, salts, held, sizes, hashes, words)
