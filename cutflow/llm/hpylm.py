@@ -7,11 +7,12 @@ at an old or a new table, by what the rest of the hierarchy predicts. Predictive
 sweeps.
 
 Texts are split into words once; what follows reads packed numbers. A bucket is a task's share of the contexts, and has
-all pairs (context, word) of them. A shard is a task's share of the words at the root. In a round, buckets send to shards
-how many tables serve each word, shards seat the root's customers and send back customers and tables, and buckets seat
-theirs. A context that makes up more than HOT_SHARE of the tokens is dealt over all buckets by word: there are fewer than
-1 / HOT_SHARE of those, so buckets exchange their totals through the driver. Scores of a pair that makes up as much are
-broadcast and its tokens don't travel; all other tokens travel to their pair's bucket, and sums by document come back.
+all pairs (context, word) of them. A shard is a task's share of the words at the root; there are fewer of those. In a
+round, buckets send to shards how many tables serve each word, shards seat the root's customers and send back customers
+and tables, and buckets seat theirs. A context that makes up more than HOT_SHARE of the tokens is dealt over all buckets
+by word: there are fewer than 1 / HOT_SHARE of those, so buckets exchange their totals through the driver. Scores of a
+pair that makes up as much are broadcast and its tokens don't travel; all other tokens travel to their pair's bucket, and
+sums by document come back.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import remove_staged, staged, table
 
 HOT_SHARE = 1 / 2048
-BUCKET = 4_000_000  # tokens
+BUCKET = 2_000_000  # tokens
+PER_SHARD = 4  # buckets for each shard
+SENT = 4_000_000  # bytes of packed tokens that a task hands to Spark at a time, about
 PART = 5_000_000  # tokens of documents that are kept together, about
 SORT = 1_000_000  # tokens that are sorted at a time, to hold less
 ROUNDS, SAMPLES = 3, 4  # sweeps with an exchange before each, and sweeps whose probabilities are averaged
@@ -190,6 +193,7 @@ def _deal(hot: Hot, buckets: int):
                     f = first[k]
                     more[int(bucket[f])].append((hashes[before[f]], hashes[words[f]], np.uint64(n[k])))
                 bucket[often] = buckets  # these don't travel
+                del at, pair, is_hot, place, often, first
                 out: list[list] = [[], []]
                 seen = set()
                 for k, o in grouped(bucket, np.argsort(bucket.astype(np.int16) if buckets < 32_000 else bucket, kind="stable")):
@@ -200,11 +204,17 @@ def _deal(hot: Hot, buckets: int):
                     at_w = at_w.astype(np.int32)
                     out[0].append(k)
                     out[1].append(pack(narrow(row[o]), ~held[row[o]], hashes[w], narrow(at_w[: len(o)]), narrow(at_w[len(o) :]), np.array(more.get(k, []), np.uint64).ravel()))
+                    if sum(map(len, out[1])) >= SENT:
+                        yield sent(part, *out)
+                        out = [[], []]
                 none = np.zeros(0, np.int32)
                 for k in more.keys() - seen:
                     out[0].append(k)
                     out[1].append(pack(none, none.astype(bool), none.astype(np.uint64), none, none, np.array(more[k], np.uint64).ravel()))
-                yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array([part] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "part", "packed"])
+                yield sent(part, *out)
+
+    def sent(part: int, bucket: list, packed: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(bucket, pa.int32()), pa.array([part] * len(bucket), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "part", "packed"])
 
     return run
 
@@ -218,7 +228,7 @@ def sends(sums: np.ndarray, cuts: np.ndarray) -> list[dict]:
     return [{"shard": k, "c": pack(sums[lo:hi])} for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
 
 
-def _gather(hot: Hot, buckets: int):
+def _gather(hot: Hot, shards: int):
     """A bucket's rows -> one row. occurrences: parts, tokens of each, row of every token and step from pair to pair; words: by shard;
     pairs: of each context their number, words, counts, and places of frequent contexts and pairs; and a first seating."""
     schema = pa.schema([("bucket", pa.int32()), ("occurrences", pa.binary()), ("words", _SENDS), ("pairs", pa.binary()), ("tables", pa.binary()), ("sends", _SENDS), ("totals", pa.list_(pa.float64()))])
@@ -229,7 +239,7 @@ def _gather(hot: Hot, buckets: int):
         n, more = np.cumsum([0, *[len(x[2]) for x in found]]), np.concatenate([x[5] for x in found]).reshape(-1, 3)
         names = np.concatenate([*[x[2] for x in found], more[:, :2].ravel()])
         every = np.unique(names)
-        every = every[np.argsort(share(every, buckets), kind="stable")]  # by shard, then by hash
+        every = every[np.argsort(share(every, shards), kind="stable")]  # by shard, then by hash
         by_hash = np.argsort(every)
         at = by_hash[np.searchsorted(every[by_hash], names)].astype(np.int32)
         del names
@@ -259,7 +269,7 @@ def _gather(hot: Hot, buckets: int):
         often = np.flatnonzero(np.isin(u, distinct[shared]))
         found_pair, which = among(hot.pairs, mixed(every[u[often]], every[w[often]]))
         static = pack(per.astype(np.int32), w, count, shared, place[shared], often[found_pair], which[found_pair])
-        cuts = np.searchsorted(share(every, buckets), np.arange(buckets + 1))
+        cuts = np.searchsorted(share(every, shards), np.arange(shards + 1))
         used = np.bincount(w, weights=count, minlength=len(every)).astype(np.int64)
         words = [{"shard": k, "c": pack(every[lo:hi], used[lo:hi])} for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
         leaves = Leaves(static, (count > 0).astype(np.int32), None)
@@ -501,33 +511,35 @@ def score_documents(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows without doc_id are learnt from and scored, told apart by two hashes of their texts. Other columns are ignored."""
     spark = docs.sparkSession
     rows = docs.select("text", held_out(F.col("doc_id")).alias("held"), F.coalesce("doc_id", F.xxhash64("text")).cast("long").alias("id"), (F.hash("text").cast("long") * 2 + F.col("doc_id").isNull().cast("long")).alias("salt"))
-    tokens = staged(rows.mapInArrow(_tokenize, TOKENS), "tokens")
+    tokens = staged(rows.mapInArrow(_tokenize, TOKENS), "tokens", "none")  # what is packed is compressed
     n, train = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
     often = tokens.select(F.explode("often").alias("x")).groupBy("x.u", "x.w").agg(F.sum("x.n").alias("n")).where(F.col("n") >= HOT_SHARE * n).collect()
     key = lambda k, some: np.array([r[k] for r in some], np.int64).view(np.uint64)
     pairs = [r for r in often if r["w"] is not None]
     hot = Hot(np.sort(key("u", [r for r in often if r["w"] is None])), np.sort(mixed(key("u", pairs), key("w", pairs))))
     buckets = 1 + (n - sum(r["n"] for r in pairs)) // bucket
+    n_shards = 1 + buckets // PER_SHARD
 
     dealt = tokens.select("part", "packed").mapInArrow(_deal(hot, buckets), "bucket int, part long, packed binary")
-    state = staged(dealt.groupBy("bucket").applyInArrow(_gather(hot, buckets), f"bucket int, occurrences binary, words array<struct<shard:int,c:binary>>, pairs binary, tables binary, {SENDS}"), "buckets")
+    state = staged(dealt.groupBy("bucket").applyInArrow(_gather(hot, n_shards), f"bucket int, occurrences binary, words array<struct<shard:int,c:binary>>, pairs binary, tables binary, {SENDS}"), "buckets", "none")
     del dealt
-    _forget(spark)
+    tables, root = state.select("bucket", "tables", "sends", "totals"), None
+    sums = _sum(tables, "totals") if n else np.zeros(3)
+    _forget(spark)  # of the tokens dealt; right after they are gathered Spark still holds that plan
     out = lambda df, column: df.select("bucket", F.explode(column).alias("x")).select("bucket", "x.shard", "x.c")
-    shards = staged(out(state, "words").groupBy("shard").applyInArrow(_meet, "shard int, known binary, words double"), "shards")
+    shards = staged(out(state, "words").groupBy("shard").applyInArrow(_meet, "shard int, known binary, words double"), "shards", "none")
     words = shards.agg(F.coalesce(F.sum("words"), F.lit(0.0))).first()[0]
 
-    tables, root = state.select("bucket", "tables", "sends", "totals"), None
     for step in range(ROUNDS + 1):
-        sums = _sum(tables, "totals") if n else np.zeros(3)
         met = shards.select("shard", "known").unionByName(out(tables, "sends"), allowMissingColumns=True)
-        back = staged(met.groupBy("shard").applyInArrow(_root(step, root, step >= ROUNDS - 1), "bucket int, shard int, back binary, stats array<double>"), "root")
+        back = staged(met.groupBy("shard").applyInArrow(_root(step, root, step >= ROUNDS - 1), "bucket int, shard int, back binary, stats array<double>"), "root", "none")
         stats = _sum(back, "stats") if n else np.zeros(3)
         root = Root(float(sums[2]), float(stats[0]), words, root.discounts if root else (discount(*stats[1:]), discount(*sums[:2])))
         both = sums[3:].reshape(2, -1)
         needed = state.select("bucket", "pairs", *["occurrences"] * (step == ROUNDS)).unionByName(tables.select("bucket", "tables"), allowMissingColumns=True).unionByName(back.drop("stats"), allowMissingColumns=True).groupBy("bucket")
         if step < ROUNDS:
-            before, tables = tables, staged(needed.applyInArrow(_sweep(step, root, both, step == ROUNDS - 1), f"bucket int, tables binary, {SENDS}, hot binary"), "tables")
+            before, tables = tables, staged(needed.applyInArrow(_sweep(step, root, both, step == ROUNDS - 1), f"bucket int, tables binary, {SENDS}, hot binary"), "tables", "none")
+            sums = _sum(tables, "totals") if n else sums
             for t in [back] + [before] * (step > 0):
                 remove_staged(t)
             del needed, met, back, before

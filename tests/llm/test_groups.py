@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
@@ -382,6 +383,23 @@ def test_language_model_odd_rows(spark):
     assert len({r["score"] for r in got if r["doc_id"] is None}) <= 7 and len({r["score"] for r in got if r["doc_id"] == 5}) == 2
 
 
+def test_language_model_hands_over_little_at_a_time(spark, monkeypatch):
+    """Dealt tokens go to Spark in small batches, all of them; packed tables aren't compressed again beside the heap."""
+    monkeypatch.setattr(hpylm, "SENT", 20_000)
+    rng = random.Random(8)
+    texts = pa.array([" ".join(str(rng.randrange(5000)) for _ in range(200)) for _ in range(300)])
+    rows = pa.record_batch([texts, pa.array([False] * 300), pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64())], ["text", "held", "id", "salt"])
+    parts = [b.select(["part", "packed"]) for b in hpylm._tokenize([rows])]
+    dealt = list(hpylm._deal(hpylm.Hot(np.zeros(0, np.uint64), np.zeros(0, np.uint64)), 30)(parts))
+    sizes = [[len(x) for x in b.column("packed").to_pylist()] for b in dealt]
+    assert len(sizes) > 3 and all(sum(x[:-1]) < hpylm.SENT for x in sizes)
+    assert sum(len(hpylm.unpack(x)[0]) for b in dealt for x in b.column("packed").to_pylist()) == 300 * 201
+    assert sorted(k for b in dealt for k in b.column("bucket").to_pylist()) == list(range(30))
+    hpylm.score_documents(docs(spark, [(1, "a b c")])).collect()
+    files = [x.name for name in ("tokens", "buckets") for x in Path(spark.conf.get("spark.checkpoint.dir")).glob(f"{name}-*/part-*")]
+    assert files and not any("snappy" in x or "gz" in x for x in files)
+
+
 def test_language_model_tells_contexts_apart(spark):
     """Each of 3000 words has a successor of its own: a model of classes of them mixes those."""
     rng = random.Random(7)
