@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from .common import SPACE, let, table
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 15  # a power of two
+WINDOW = 5  # words
 TRUSTED = 20_000  # the target is learnt from at most so many labelled documents, those with the smallest hash of their id
 THRESHOLD = -0.5  # nats an n-gram
 WHITE = " \t\n\x0b\x0c\r"
@@ -21,40 +22,40 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
-def ngrams(words: Column) -> Column:
-    """Buckets of the n-grams of a document: each word, each pair of neighbouring words, and each word's last three
+def hashes(words: Column) -> Column:
+    """64-bit hashes of a document's n-grams: each word, each pair of neighbouring words, and each word's last three
     characters; 3 n - 1 of them for n words."""
-    bucket = lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")
-    single = F.transform(words, lambda w: bucket(F.xxhash64(w)))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: bucket(F.xxhash64(a, b)))
-    return F.concat(single, pairs, F.transform(words, lambda w: bucket(F.xxhash64(F.right(w, F.lit(3)), F.lit(3)))))
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
+    ends = F.transform(words, lambda w: F.xxhash64(F.substring(w, -3, 3), F.lit(3)))
+    return F.struct(F.transform(words, lambda w: F.xxhash64(w)).alias("words"), pairs.alias("pairs"), ends.alias("ends"))
 
 
-def repeated_words(words: Column, size: int = 5) -> Column:
-    """How many words stand in a window of `size` words that occurs twice or more in the text.
+def bucket(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
-    Windows are compared by a 64-bit hash. Only a text that repeats one sorts its windows: equal ones become
-    neighbours, and the words covered are counted along the sorted positions."""
 
-    def windows(h: Column) -> Column:
-        out = h
-        for i in range(1, size):
-            out = F.zip_with(F.slice(out, 1, F.size(h) - i), F.slice(h, i + 1, F.size(h) - i), lambda a, b: F.xxhash64(a, b))
-        return out
+def windows(h: Column) -> Column:
+    """A hash of each window of WINDOW words, from the hashes of words and of pairs: one pair, the next, and a word."""
+    fours = F.zip_with(F.slice(h["pairs"], 1, F.size(h["pairs"]) - 2), F.slice(h["pairs"], 3, F.size(h["pairs"]) - 2), lambda a, b: F.xxhash64(a, b))
+    fives = let(fours, lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(h["words"], WINDOW, F.size(x) - 1), lambda a, b: F.xxhash64(a, b)))
+    return F.when(F.size(h["words"]) < WINDOW, F.array().cast("array<bigint>")).otherwise(fives)
+
+
+def repeated_words(found: Column) -> Column:
+    """How many words stand in a window that occurs twice or more in the text, by the hashes of its windows.
+
+    Only a text that repeats one sorts its windows: equal ones become neighbours, and the words covered are counted
+    along the sorted positions."""
 
     def covered(found: Column) -> Column:
         ordered = F.sort_array(F.transform(found, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         equal = lambda x, s, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
         marked = lambda s: F.transform(s, lambda x, i: F.when(equal(x, s, i - 1) | equal(x, s, i + 1), x["i"]))
         places = let(ordered, lambda s: F.sort_array(F.array_compact(marked(s))))
-        steps = lambda p: F.zip_with(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, F.size(p) - 1), lambda b, a: F.least(b - a, F.lit(size)))
-        return let(places, lambda p: F.aggregate(steps(p), F.lit(size), lambda total, x: total + x))
-
-    def count(found: Column) -> Column:
-        return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0)).otherwise(covered(found))
+        steps = lambda p: F.zip_with(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, F.size(p) - 1), lambda b, a: F.least(b - a, F.lit(WINDOW)))
+        return let(places, lambda p: F.aggregate(steps(p), F.lit(WINDOW), lambda total, x: total + x))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) < size, F.lit(0)).otherwise(let(hashes, lambda h: let(windows(h), count)))
+    return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0)).otherwise(covered(found))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -68,8 +69,9 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> li
 
     Every n-gram of every document is counted; the counts are pre-aggregated to at most BUCKETS rows a task."""
     mark = F.broadcast(trusted_ids(labels, most)).select(F.col("doc_id"), F.lit(1).alias("good"))
-    grams = docs.select("doc_id", "text").join(mark, "doc_id", "left").select("good", F.explode_outer(ngrams(word_array(F.col("text")))).alias("b"))
-    counts = grams.where("b is not null").groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
+    every = let(word_array(F.col("text")), lambda w: let(hashes(w), lambda h: F.concat(h["words"], h["pairs"], h["ends"])))
+    grams = docs.select("doc_id", "text").join(mark, "doc_id", "left").select("good", F.explode(every).alias("h"))
+    counts = grams.groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for r in counts:
         raw[r["b"]] += r["raw"]
@@ -91,19 +93,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     table = F.split(F.lit(",".join(repr(x) for x in bucket_ratios(docs, labels, most))), ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(table, b))
+    add = lambda total, x: total + F.get(table, bucket(x))
+    total = lambda h: F.aggregate(h["ends"], F.aggregate(h["pairs"], F.aggregate(h["words"], F.lit(0.0), add), add), add)
     stats = let(
         word_array(F.col("text")),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeated_words(w).cast("long").alias("n_repeat_words"),
-            F.when(F.size(w) == 0, F.lit(0.0)).otherwise(total(ngrams(w)) / (3 * F.size(w) - 1)).alias("llr"),
+        lambda w: let(
+            hashes(w),
+            lambda h: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                windows(h).alias("windows"),
+                F.when(F.size(w) == 0, F.lit(0.0)).otherwise(total(h) / (3 * F.size(w) - 1)).alias("llr"),
+            ),
         ),
     )
     symbols = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))
     out = docs.withColumn("_s", stats)
-    out = out.withColumns({"n_words": F.col("_s.n_words"), "word_chars": F.col("_s.word_chars"), "n_symbols": symbols.cast("long"), "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"), "n_repeat_words": F.col("_s.n_repeat_words"), "llr": F.col("_s.llr")}).drop("_s")
+    out = out.withColumns({"n_words": F.col("_s.n_words"), "word_chars": F.col("_s.word_chars"), "n_symbols": symbols.cast("long"), "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"), "n_repeat_words": repeated_words(F.col("_s.windows")).cast("long"), "llr": F.col("_s.llr")}).drop("_s")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 

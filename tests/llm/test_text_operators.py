@@ -64,6 +64,15 @@ def test_quality_odd_rows(spark):
     assert quality.quality_rules(docs(spark, []), labels.limit(0)).count() == 0
 
 
+def test_quality_hashes_words_once(spark):
+    """Windows are told by the hashes that the n-grams have, two more a window, and repeated ones as in plain Python."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("abcdefgh"[: rng.randrange(2, 9)], k=rng.randrange(0, 120)))) for i in range(300)]
+    out = quality.quality_rules(docs(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert {r["doc_id"]: r["n_repeat_words"] for r in out.collect()} == {i: plain_quality(t)[4] for i, t in rows}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 5
+
+
 def test_quality_ratio_matches_plain(spark):
     """llr of a small corpus from plain counts of the hashed words, pairs and endings."""
     rng = random.Random(6)
