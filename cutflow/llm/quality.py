@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import SPACE, let, table
+from .common import SPACE, let, staged, table
 
 BUCKETS = 1 << 15  # a power of two
 WINDOW = 5  # words
@@ -64,22 +62,20 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def bucket_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> list[float]:
-    """Log ratio of each bucket's share in the trusted documents to its share in all documents, add-one smoothed.
+def bucket_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+    """One row, ratios array<double>: the log ratio of each bucket's share in the trusted documents to its share in all
+    documents, add-one smoothed; zeros if no document is trusted.
 
     Every n-gram of every document is counted; the counts are pre-aggregated to at most BUCKETS rows a task."""
     mark = F.broadcast(trusted_ids(labels, most)).select(F.col("doc_id"), F.lit(1).alias("good"))
     every = let(word_array(F.col("text")), lambda w: let(hashes(w), lambda h: F.concat(h["words"], h["pairs"], h["ends"])))
     grams = docs.select("doc_id", "text").join(mark, "doc_id", "left").select("good", F.explode(every).alias("h"))
-    counts = grams.groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
-    raw, target = [1] * BUCKETS, [1] * BUCKETS
-    for r in counts:
-        raw[r["b"]] += r["raw"]
-        target[r["b"]] += r["target"]
-    if not any(r["target"] for r in counts):
-        return [0.0] * BUCKETS
-    n_raw, n_target = sum(raw), sum(target)
-    return [math.log(t / n_target) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True)]
+    counts = grams.groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
+    buckets = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    one = lambda x: F.coalesce(x, F.lit(0).cast("long")) + 1
+    whole = buckets.select("b", one("raw").alias("raw"), one("target").alias("target")).agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("x"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
+    ratio = lambda x: F.when(F.col("n_target") == BUCKETS, F.lit(0.0)).otherwise(F.ln(x["target"] / F.col("n_target")) - F.ln(x["raw"] / F.col("n_raw")))
+    return whole.select(F.transform("x", ratio).alias("ratios"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = TRUSTED) -> DataFrame:
@@ -90,11 +86,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     Rows are judged alone: repeated rows and null ids keep their columns, other columns pass through; columns of docs
     with the names above are replaced. Without trusted documents nothing is told apart, and every llr is 0.
     """
-    table = F.split(F.lit(",".join(repr(x) for x in bucket_ratios(docs, labels, most))), ",").cast("array<double>")
+    # A scalar subquery over a written table: as a literal, the ratios would stand in each of the plan's texts, which the
+    # driver keeps.
+    ratios = staged(bucket_ratios(docs, labels, most), "ratios").scalar()
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    add = lambda total, x: total + F.get(table, bucket(x))
-    total = lambda h: F.aggregate(h["ends"], F.aggregate(h["pairs"], F.aggregate(h["words"], F.lit(0.0), add), add), add)
+    add = lambda table: lambda total, x: total + F.get(table, bucket(x))
+    total = lambda h: let(F.col("_r"), lambda r: F.aggregate(h["ends"], F.aggregate(h["pairs"], F.aggregate(h["words"], F.lit(0.0), add(r)), add(r)), add(r)))
     stats = let(
         word_array(F.col("text")),
         lambda w: let(
@@ -108,7 +106,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         ),
     )
     symbols = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))
-    out = docs.withColumn("_s", stats)
+    out = docs.withColumn("_r", ratios).withColumn("_s", stats).drop("_r")
     out = out.withColumns({"n_words": F.col("_s.n_words"), "word_chars": F.col("_s.word_chars"), "n_symbols": symbols.cast("long"), "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"), "n_repeat_words": repeated_words(F.col("_s.windows")).cast("long"), "llr": F.col("_s.llr")}).drop("_s")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))

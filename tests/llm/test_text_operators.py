@@ -73,6 +73,12 @@ def test_quality_hashes_words_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 5
 
 
+def test_quality_plan_is_short(spark, data):
+    """The ratios of all buckets don't stand in the plan, whose texts the driver keeps for each query."""
+    out = quality.op5_quality(spark, data)
+    assert len(out._jdf.queryExecution().toString()) < 200_000
+
+
 def test_quality_ratio_matches_plain(spark):
     """llr of a small corpus from plain counts of the hashed words, pairs and endings."""
     rng = random.Random(6)
