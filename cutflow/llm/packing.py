@@ -68,13 +68,13 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t if b"<|" in t else t.lower()).split() for t in ((x or "").encode("utf-8", "surrogatepass") for x in texts)]
-        needed = {c for s in split for c in s}
-        missing = {c for c in needed if c not in _cache}
+        needed = set().union(*split)
+        missing = needed.difference(_cache)
         if missing:
             if len(_cache) + 2 * len(missing) > CACHE:
                 missing = needed  # the cache is about to be cleared
             self._learn(missing)
-        return [b"".join([_cache[c] for c in s]) for s in split]
+        return [b"".join(map(_cache.__getitem__, s)) for s in split]
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
