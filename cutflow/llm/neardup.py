@@ -12,7 +12,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import join_checked, staged, table
+from .common import join_checked, parts_for, staged, table
 from .components import connected_components
 
 K = 48  # retained values per document
@@ -99,7 +99,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """doc_id, full, bits0 and so on: whole shingle sets of the documents in ids(doc_id), and of a few more, and of each
     the parities of its values' counts in 64 * WORDS hash slots.
 
-    A bitmap of fixed size tells which documents are meant; false positives only cost time. Spark counts the 4 KB
+    A bitmap of fixed size tells which documents are meant; false positives and repeated ids only cost time. Spark counts the 4 KB
     buckets from 1 and the values from 1."""
     rows = ids.select((_slot("doc_id") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     bits = np.zeros((1 << BITS) // 8, np.uint8)
@@ -111,22 +111,21 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return staged(full, "full")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those whose full sets reach the threshold."""
+def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
+    """Of the candidate pairs (a, b), those whose full sets reach the threshold; some may come out more than once."""
     sk = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"))
-    near = pairs.join(sk("a"), "a").join(sk("b"), "b")
+    near = pairs.join(sk("a"), "a").coalesce(parts).join(sk("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    near = staged(near.where(shared * K >= F.size(union) * SHARED).select("a", "b"), "near")
-    ids = near.select(F.col("a").alias("doc_id")).distinct().unionByName(near.select(F.col("b").alias("doc_id")).distinct())
-    full = _full_sets(docs, ids, size)
+    near = staged(near.where(shared * K >= F.size(union) * SHARED).select("a", "b"), "near", parts=parts)
+    full = _full_sets(docs, near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))), size)
     side = lambda x: full.select(F.col("doc_id").alias(x), F.col("full").alias(f"f{x}"))
-    both = near.join(side("a"), "a").join(side("b"), "b")
+    both = near.join(side("a"), "a").coalesce(parts).join(side("b"), "b")
     common = F.size(F.array_intersect("fa", "fb"))
-    return both.where(100 * common >= percent * (F.size("fa") + F.size("fb") - common)).select("a", "b").distinct()
+    return both.where(100 * common >= percent * (F.size("fa") + F.size("fb") - common)).select("a", "b").coalesce(parts)
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """sets(doc_id, sid, c, full) -> pairs (a, b) of different c that can reach the threshold: exact prefix filtering.
 
     All sets are put in one order, values rarest among them first. With an overlap of percent / (100 + percent) of both
@@ -151,8 +150,8 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     kept = sets.select("doc_id", "sid", "c", F.size("full").alias("n"), *bits).join(ranked, "sid").where(probe > n - F.size(v))
     kept = kept.select("doc_id", "c", "n", *bits, (n - F.size(v)).alias("own"), (index - n + F.size(v)).alias("few"), F.slice(v, F.lit(1), F.greatest(probe - n + F.size(v), F.lit(0)).cast("int")).alias("v"))
     placed = kept.select("doc_id", "c", "n", *bits, "own", "few", F.col("v.value").alias("v"), F.posexplode("v.value").alias("i", "value"))
-    placed = staged(placed.withColumn("before", F.slice("v", F.lit(1), F.least("i", F.lit(BEFORE)))).drop("v"), "prefixes")
-    hot = staged(placed.groupBy("value").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot")
+    placed = staged(placed.withColumn("before", F.slice("v", F.lit(1), F.least("i", F.lit(BEFORE)))).drop("v"), "prefixes", parts=parts)
+    hot = staged(placed.groupBy("value").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot", parts=parts)
     dealt = join_checked(placed, hot, "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own, other = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     sides = {"x": dealt.withColumn("p", own).withColumn("q", other), "y": dealt.withColumn("q", own).withColumn("p", other)}
@@ -187,39 +186,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, reps: int
     meta = staged(docs.mapInArrow(_sketches(size), f"doc_id {_id_type(docs)}, n long, f1 long, f2 long, sketch array<long>"), "sketches")
     some = meta.where("n > 0 and doc_id is not null")
     classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    classes = staged(classes, "classes")
+    parts = parts_for(meta)
+    classes = staged(classes, "classes", parts=parts)
     member = some.join(classes, ["f1", "f2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
-    several = staged(member.groupBy("u").agg(F.count("*").alias("m")).where("m > 1").select("u"), "several")
-    shared = staged(join_checked(member.where("u <> v"), several, "u", "left_semi"), "shared")
+    several = staged(member.groupBy("u").agg(F.count("*").alias("m")).where("m > 1").select("u"), "several", parts=parts)
+    shared = staged(join_checked(member.where("u <> v"), several, "u", "left_semi"), "shared", parts=parts)
     one = some.join(classes, ["f1", "f2"]).where("doc_id = rep").select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "sketch"])
-    one = staged(one, "one")
+    one = staged(one, "one", parts=parts)
 
     need = F.when(F.col("n") < SHORT, F.ceil(F.col("n") * (percent / 100) - 1e-9).cast("int")).otherwise(SHARED)
     rows = one.select("doc_id", "n", F.explode("sketch").alias("value"))
     often = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = rows.join(often, "value").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     lists = ranked.withColumn("need", need).where("size(v) >= need").select("doc_id", "n", F.explode(F.expr("slice(v, 1, size(v) - need + 1).value")).alias("value"))
-    lists = staged(lists, "lists")
+    lists = staged(lists, "lists", parts=parts)
 
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     order = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("o"), "doc_id", "n")).alias(f"r{i}") for i in range(reps)]
     heads = lists.groupBy("value").agg(*order, F.count("*").alias("df")).where("df > 1").select("value", F.explode(F.array_distinct(F.array(*[f"r{i}" for i in range(reps)]))).alias("r"))
     first = lists.join(heads, "value").where((F.col("doc_id") != F.col("r.doc_id")) & alike(F.col("n"), F.col("r.n")))
-    first = staged(first.select(F.least("doc_id", "r.doc_id").alias("a"), F.greatest("doc_id", "r.doc_id").alias("b")).distinct(), "pairs")
-    sure = staged(_confirmed(docs, first, one, size, percent), "links")
-    joined = staged(connected_components(sure.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    first = staged(first.select(F.least("doc_id", "r.doc_id").alias("a"), F.greatest("doc_id", "r.doc_id").alias("b")).distinct(), "pairs", parts=parts)
+    sure = staged(_confirmed(docs, first, one, size, percent, parts), "links")
+    joined = staged(connected_components(sure.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components", parts=parts)
 
     # Second pass: lists with members that are neither joined nor all compared. Short ones give their pairs; for long
     # ones whole sets tell which pairs are left.
     left = lists.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     mixed = left.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi and df > 2").select("value", "df")
-    left = staged(left.join(mixed, "value"), "left")
+    left = staged(left.join(mixed, "value"), "left", parts=parts)
     x, y = (left.where(F.col("df") <= LIST).select("value", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("c").alias(f"c{d}")) for d in "ab")
     few = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    some = left.where(F.col("df") > LIST).select("doc_id", "c").distinct()
-    sets = staged(some.join(_full_sets(docs, some.select("doc_id"), size), "doc_id").withColumn("sid", F.xxhash64("doc_id", "full")), "sets")
-    rest = few.unionByName(_prefix_pairs(sets, percent)).distinct().join(first, ["a", "b"], "left_anti")
-    more = _confirmed(docs, staged(rest, "pairs"), one, size, percent)
+    some = left.where(F.col("df") > LIST).select("doc_id", "c")
+    sets = staged(some.distinct().join(_full_sets(docs, some.select("doc_id"), size), "doc_id").withColumn("sid", F.xxhash64("doc_id", "full")), "sets", parts=parts)
+    rest = few.unionByName(_prefix_pairs(sets, percent, parts)).distinct().join(first, ["a", "b"], "left_anti")
+    more = _confirmed(docs, staged(rest, "pairs", parts=parts), one, size, percent, parts)
     links = sure.unionByName(more)
     final = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(shared))
 

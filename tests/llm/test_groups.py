@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -118,9 +119,50 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
+def test_small_tables_are_written_in_few_files(spark, tmp_path, monkeypatch):
+    """However many shuffle partitions there are, and though Spark doesn't join small ones."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(WORDS, k=40))) for i in range(150)]
+    rows += [(i + 1000, f"{t} more") for i, t in rows]
+    monkeypatch.setattr("cutflow.llm.common.shared_dir", lambda spark: str(tmp_path))
+    options = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        found = neardup.near_duplicates(docs(spark, rows), size=2).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["component_id"] for r in found} == plain_components(rows, 2)[0]
+    files = {d.name.split("-")[0]: len(list(d.glob("*.parquet"))) for d in tmp_path.iterdir()}
+    assert {"classes", "one", "lists", "pairs", "near", "links"} <= set(files)
+    assert max(n for k, n in files.items() if k in ("classes", "one", "lists", "pairs", "near", "links")) <= 12
+
+
 # ---- packing
 
 
+def test_packing_known_chunks_take_no_python_steps():
+    """Chunks whose ids are known are looked up in C; Python runs a few steps for a text, whatever its length."""
+    encoder, texts, steps = packing.ChunkEncoder(packing.tokenizer_file()), ["alpha beta gamma " * 2000], 0
+    want = encoder.encode(texts)
+
+    def trace(frame, event, arg):
+        nonlocal steps
+        frame.f_trace_opcodes = True
+        steps += event == "opcode"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        got = encoder.encode(texts)
+    finally:
+        sys.settrace(before)
+    assert got == want and steps < 2000
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
