@@ -36,9 +36,9 @@ class Chunks:
         parts = F.ceil(F.col("_n") / CHUNK).cast("int")
         most = hot.agg(F.max(parts)).first()[0]
         # One quantile for each chunk of the largest key; smaller ones use every so many.
-        found = df.join(F.broadcast(hot), key).groupBy(key, "_n").agg(F.percentile_approx(F.col(t).cast("double"), [(i + 1) / most for i in range(most - 1)] or [1.0], 10 * most).alias("_all"))
+        found = df.join(F.broadcast(hot), key).groupBy(key, "_n").agg(F.percentile_approx(F.col(t).cast("double"), [(i + 1) / most for i in range(most - 1)] or [1.0], 10 * most).alias("_quantiles"))
         step = F.greatest(F.floor(F.lit(most) / parts).cast("int"), F.lit(1))
-        cuts = staged(found.select(key, F.array_sort(F.array_distinct(F.filter("_all", lambda _, i: (i + 1) % step == 0))).alias("_cuts")), "cuts")
+        cuts = staged(found.select(key, F.array_sort(F.array_distinct(F.filter("_quantiles", lambda _, i: (i + 1) % step == 0))).alias("_cuts")), "cuts")
         place = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(t).cast("double")))
         self.df = staged(_join(df, cuts, [key]).withColumn("_chunk", F.greatest(place, F.lit(0))).drop("_cuts"), "chunks")
 

@@ -7,6 +7,7 @@ import pytest
 
 from cutflow.operators import plugins as M
 from cutflow.operators import previews as V
+from cutflow.operators import scan as X
 from cutflow.operators.claims import TaskLog, put_if_absent
 from cutflow.sources import files as D
 
@@ -139,6 +140,18 @@ def test_the_second_run_makes_no_previews(spark, tmp_path):
     assert V.evict(cache, 10.0, 5.0, 100).where("kept").count() == 0 and V.evict(cache, 10.0, 50.0, 10).where("kept").count() == 2
 
 
+def test_a_cache_of_several_chunks_is_evicted(spark, monkeypatch):
+    monkeypatch.setattr(X, "CHUNK", 7)
+    rows = [(f"k{i:02}", "a", 3 + i % 4, float(i % 30)) for i in range(60)]
+    got = V.evict(spark.createDataFrame(rows, V.CACHE).repartition(4), 30.0, 25.0, 120)
+    want, total = {}, 0
+    for key, _, size, at in sorted(rows, key=lambda r: (-r[3], r[0])):
+        total += size if 30.0 - at <= 25.0 else 0
+        want[key] = 30.0 - at <= 25.0 and total <= 120
+    assert got.columns == ["key", "source", "bytes", "made_at", "kept"] and 0 < sum(want.values()) < 50
+    assert {r["key"]: r["kept"] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("form", sorted(D.FORMATS))
 def test_files_hold_odd_names(spark, tmp_path, form):
     D.register(spark)
