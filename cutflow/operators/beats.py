@@ -124,11 +124,15 @@ def sync(shots: DataFrame, beats: DataFrame, key: str, style: str = "dynamic", p
 
 
 def closest_version(timelines: DataFrame, key: str, target: float) -> DataFrame:
-    """timelines(key, version, duration) -> key, version, total, clips: for each track the version closest to the target.
+    """timelines(key, version, duration, start_time if there is one) -> key, version, total, clips: for each track the version
+    closest to the target. Versions can differ by the last bits of their totals only, so durations are summed in order of
+    start, however the rows are dealt to tasks.
 
     Version 0 is what there is; the others are tried in order. One that is closer takes its place, and the first that
     reaches 95 % of the target is the last one tried. A track without a timeline of version 0 has no row."""
-    totals = timelines.groupBy(key, "version").agg(F.sum("duration").alias("total"), F.count("*").alias("clips"))
+    ordered = F.array_sort(F.collect_list(F.struct(*[c for c in ("start_time", "duration") if c in timelines.columns])))
+    total = F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["duration"])
+    totals = timelines.groupBy(key, "version").agg(total.alias("total"), F.count("*").alias("clips"))
     item = "struct<version:int,total:double,clips:bigint>"
     tried = totals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("version").cast("int").alias("version"), "total", "clips"))).cast(f"array<{item}>").alias("v")).where("v[0].version = 0")
     off = lambda x: F.abs(x["total"] - target)

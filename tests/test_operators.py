@@ -104,6 +104,16 @@ def test_closest_version(spark):
     assert {r["track"]: (r["version"], r["total"], r["clips"]) for r in got} == {"a": (2, 7.0, 1), "b": (0, 8.0, 1), "c": (2, 3.0, 1)}
 
 
+def test_closest_version_sums_in_order(spark):
+    """0.1, 0.2 and 0.3 sum to a bit more than the other way round; versions of the same shots are equal."""
+    rows = [("a", v, t, x) for v, order in enumerate(([2, 1, 0], [0, 1, 2], [1, 2, 0])) for t, x in [list(enumerate([0.1, 0.2, 0.3]))[k] for k in order]]
+    for one_task in (True, False):
+        frame = spark.createDataFrame(rows, "track string, version int, start_time int, duration double")
+        frame = frame.coalesce(1) if one_task else frame.repartition(9, "start_time", "version")
+        (got,) = B.closest_version(frame, "track", 1.0).collect()
+        assert (got["version"], got["total"], got["clips"]) == (0, (0.1 + 0.2) + 0.3, 3)
+
+
 def test_similarity_dedup(spark):
     rows = [(i, s, [float(x) for x in v]) for i, s, v in [(1, 0.9, [1, 0]), (2, 0.8, [0.999, 0.04]), (3, 0.7, [0, 1]), (4, 0.1, [0.02, 0.9998])]]
     v = spark.createDataFrame(rows, "id long, score double, embedding array<double>")
