@@ -8,6 +8,7 @@ import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
+from cutflow.functions import features
 from cutflow.functions import text as T
 from cutflow.functions.scoring import highlight_score
 from cutflow.operators import beats as B
@@ -286,6 +287,25 @@ def test_window_matches(spark, monkeypatch, move):
     assert got == {k: pytest.approx(v) for k, v in want.items() if v < 200} and len(got) > 50
 
 
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_window_distances_of_any_rows(spark, data, monkeypatch, tile):
+    """Every pair has the value that window_mse tells, rows that are no vectors of the common shape as well."""
+    monkeypatch.setattr(V, "ALL", tile)
+    rng = random.Random(3)
+    frames = lambda n, length: [[rng.choice([0.0, 1.0, rng.uniform(-9, 90)]) for _ in range(length)] for _ in range(n)]
+    even = [(i, frames(7, 3)) for i in range(40)] + [(40, [[5.0] * 3] * 7), (41, [[5.0] * 3] * 4 + frames(3, 3)), (41, frames(7, 3))]
+    odd = [(50, None), (51, []), (52, frames(3, 3)), (53, frames(4, 3)), (54, frames(7, 2)), (55, [*frames(6, 3), None]), (56, [*frames(6, 3), [1.0, None, 2.0]]), (57, [*frames(6, 3), [float("nan")] * 3]), (58, [*frames(6, 3), [1.0]]), (None, frames(7, 3)), (59, [*frames(6, 3), [float("inf")] * 3])]
+    for rows in (even, even + odd):
+        f = spark.createDataFrame(rows, "id long, frames array<array<double>>").repartition(3)
+        a, b = f.where("id is null or id % 3 > 0").withColumnRenamed("id", "a"), f.withColumnRenamed("id", "b")
+        want = a.withColumnRenamed("frames", "fa").crossJoin(b.withColumnRenamed("frames", "fb")).select("a", "b", features.window_mse(F.col("fa"), F.col("fb")).alias("mse"))
+        key = lambda df: sorted(str(tuple(r)) for r in df.select("a", "b", "mse").collect())
+        got = V.window_distances(a, b)
+        assert key(got) == key(want) and V.window_distances(a, b.limit(0)).count() == 0
+    plan = QUERIES["window_min_mse"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Join Inner, (" in plan and "Join Inner\n" not in plan
+
+
 @pytest.fixture(params=[10**6, 40, 7])
 def chunk(request, monkeypatch):
     """Rows of a key in a chunk: keys are cut into many, into a few, or not at all."""
